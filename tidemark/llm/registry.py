@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import exact_dedup, sharding
+from tidemark.llm import exact_dedup, packing, sharding, token_files
 
 QUERIES = {
     "op2_sharding": sharding.query,
+    "op5_token_files": token_files.query,
     "op6_exact_dedup": exact_dedup.query,
+    "op9_packing": packing.query,
 }
 ORACLES = {"op6_exact_dedup": exact_dedup.ORACLE}
