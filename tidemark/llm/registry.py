@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.llm import exact_dedup, packing, sharding, token_files
+from tidemark.llm import exact_dedup, merkle, packing, sharding, token_files
 
 QUERIES = {
+    "op1_merkle": merkle.query,
     "op2_sharding": sharding.query,
     "op5_token_files": token_files.query,
     "op6_exact_dedup": exact_dedup.query,
