@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tidemark.llm import exact_dedup, merkle, packing, sharding, token_files
+from tidemark.llm import exact_dedup, language_id, merkle, packing, sharding, token_files
 
 QUERIES = {
     "op1_merkle": merkle.query,
     "op2_sharding": sharding.query,
     "op5_token_files": token_files.query,
     "op6_exact_dedup": exact_dedup.query,
+    "op7_language_id": language_id.query,
     "op9_packing": packing.query,
 }
 ORACLES = {"op6_exact_dedup": exact_dedup.ORACLE}
