@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -82,21 +84,41 @@ def batch_of(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
 _ENCODERS: dict[str, "CachedEncoder"] = {}
 
 
+#: Fixed value: the word pattern of public word_bpe files, for which plain chunks can be cut without the library.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PLAIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: Printable ASCII but for <, which can begin a special token, and the letters of Latin-1, which no normal form changes.
+PLAIN = re.compile("[!-;=-~À-ÖØ-öø-ÿ]+")
+
+
 class CachedEncoder:
     """Ids of a tokenizers-library file, computed once per white-space chunk.
 
     The tokenizers handled here drop white space and never join tokens across it, so the ids of a text are those of
-    its chunks in order. Only space and newline are cut at, which every such tokenizer counts as white space. Chunks
-    longer than max_len are encoded without being kept; the table is emptied when it holds max_entries.
+    its chunks in order. Only space and newline are cut at, which every such tokenizer counts as white space. A chunk
+    not met yet is put together from its words where the file's own pattern shows how they are cut (ASCII and Latin-1 letters,
+    lower-cased by the file); words not met yet go to the library, many in one call. Chunks longer than max_len are
+    encoded without being kept; the tables are emptied when they hold max_entries.
     """
 
-    def __init__(self, path: str, max_entries: int = 250_000, max_len: int = 48):
+    def __init__(self, path: str, max_entries: int = 300_000, max_len: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import numpy as np
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.max_entries, self.max_len = max_entries, max_len
         self.known: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {}
+        spec = json.loads(self.tokenizer.to_str())
+        patterns = [p["pattern"].get("Regex") for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if p["type"] == "Split"]
+        lowers = any(n["type"] == "Lowercase" for n in (spec.get("normalizer") or {}).get("normalizers", []))
+        specials = all(t["content"].startswith("<") for t in spec.get("added_tokens", []))
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.word_end = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
+        if suffix:
+            self.word_end[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith(suffix)]] = True
+        self.cuts_words = lowers and bool(suffix) and specials and patterns == [WORD_PATTERN]
 
     @classmethod
     def of(cls, path: str) -> "CachedEncoder":
@@ -105,24 +127,70 @@ class CachedEncoder:
             _ENCODERS[path] = cls(path)
         return _ENCODERS[path]
 
+    def fresh(self, parts: list[str], single: bool = False) -> list[bytes]:
+        """Ids of each part, from the library. single: each part is one word of the file's pattern, which its last piece ends."""
+        import numpy as np
+
+        out: list[bytes] = []
+        for at in range(0, len(parts), 4096):
+            some = parts[at : at + 4096]
+            ends = np.zeros(0)
+            if single:
+                ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+                ends = np.flatnonzero(self.word_end[ids]) + 1
+            if len(ends) != len(some):
+                e = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+                ids = np.array(e.ids, dtype="<u4")
+                ends = np.searchsorted(np.array(e.word_ids, dtype=np.float64), np.arange(1, len(some) + 1))
+            raw, ends = ids.tobytes(), [0, *(ends * 4).tolist()]
+            out += [raw[i:j] for i, j in zip(ends, ends[1:], strict=False)]
+        return out
+
+    def chunks(self, missing: list[str]) -> dict[str, bytes]:
+        if not self.cuts_words:
+            return dict(zip(missing, self.fresh(missing), strict=True))
+        plain = PLAIN.fullmatch
+        cut = {c: PLAIN_WORDS.findall(c.lower()) for c in missing if plain(c)}
+        words = self.words
+        if len(words) > 2 * self.max_entries:
+            words.clear()
+        new = [w for w in set().union(*cut.values()) if w not in words]
+        got = dict(zip(new, self.fresh(new, single=True), strict=True))
+        words.update(got)
+        out = {c: b"".join([words[w] for w in parts]) for c, parts in cut.items()}
+        for w in new:
+            if len(w) > self.max_len:
+                del words[w]
+        other = [c for c in missing if c not in cut]
+        out.update(zip(other, self.fresh(other), strict=True))
+        return out
+
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of the whole text."""
-        import numpy as np
+        return self.encode_all([text])[0]
 
-        chunks = text.replace("\n", " ").split(" ")
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The same for many texts; chunks not met yet are looked up together."""
         known = self.known
         if len(known) > self.max_entries:
             known.clear()
             known[""] = b""
-        missing = [c for c in set(chunks) if c not in known]
-        extra: dict[str, bytes] = {}
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                (known if len(c) <= self.max_len else extra)[c] = np.array(e.ids, dtype="<u4").tobytes()
-        if extra:
-            return b"".join([extra[c] if c in extra else known[c] for c in chunks])
-        return b"".join([known[c] for c in chunks])
+        get, held, missing = known.get, [], set()
+        for t in texts:
+            split = t.replace("\n", " ").split(" ")
+            parts = list(map(get, split))
+            gaps = [k for k, p in enumerate(parts) if p is None] if None in parts else []
+            own = [split[k] for k in gaps]
+            missing.update(own)
+            held.append((parts, gaps, own))
+        fresh = self.chunks(list(missing)) if missing else {}
+        known.update((c, b) for c, b in fresh.items() if len(c) <= self.max_len)
+        out = []
+        for parts, gaps, own in held:
+            for k, c in zip(gaps, own, strict=True):
+                parts[k] = fresh[c]
+            out.append(b"".join(parts))
+        return out
 
 
 def default_vocabulary(name: str) -> Callable[[], str]:

@@ -39,8 +39,8 @@ def pieces_of(df: DataFrame, vocabulary: Callable[[], str], end_id: int, capacit
         encoder = CachedEncoder.of(vocabulary())
         for b in slices(batches):
             out: list[list[int]] = [[] for _ in PIECE]
-            for row, (doc, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
-                ids = encoder.encode(text) + end_id.to_bytes(4, "little")
+            for row, (doc, raw) in enumerate(zip(b.column(0).to_pylist(), encoder.encode_all(b.column(1).to_pylist()), strict=True)):
+                ids = raw + end_id.to_bytes(4, "little")
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     for col, v in zip(out, (row, doc, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):

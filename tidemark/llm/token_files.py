@@ -120,8 +120,8 @@ def write_token_files(df: DataFrame, folder: str, vocabulary: Callable[[], str],
                 tokens, out = TokenFileWriter(fs, f"{name}.arrow", width, length), fs.open_output_stream(f"{name}.index.arrow")
                 index, first = pa.ipc.new_file(out, INDEX), b.column(0)[0].as_py()
             starts, counts = [], []
-            for text in b.column(1).to_pylist():
-                ids = np.append(np.frombuffer(encoder.encode(text), dtype="<u4"), np.uint32(end_id))
+            for raw in encoder.encode_all(b.column(1).to_pylist()):
+                ids = np.append(np.frombuffer(raw, dtype="<u4"), np.uint32(end_id))
                 starts.append(tokens.total)
                 counts.append(len(ids))
                 tokens.add(ids)
