@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import exact_dedup, language_id, merkle, packing, sharding, token_files, viterbi
+from tidemark.llm import exact_dedup, language_id, merkle, near_dedup, packing, sharding, token_files, viterbi
 
 QUERIES = {
     "op1_merkle": merkle.query,
     "op2_sharding": sharding.query,
+    "op3_near_dedup": near_dedup.query,
     "op4_viterbi": viterbi.query,
     "op5_token_files": token_files.query,
     "op6_exact_dedup": exact_dedup.query,
