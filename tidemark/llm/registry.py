@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import exact_dedup, language_id, merkle, near_dedup, packing, sharding, token_files, viterbi
+from tidemark.llm import exact_dedup, language_id, merkle, near_dedup, packing, quality, sharding, token_files, viterbi
 
 QUERIES = {
     "op1_merkle": merkle.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_token_files": token_files.query,
     "op6_exact_dedup": exact_dedup.query,
     "op7_language_id": language_id.query,
+    "op8_quality": quality.query,
     "op9_packing": packing.query,
 }
 ORACLES = {"op6_exact_dedup": exact_dedup.ORACLE}
