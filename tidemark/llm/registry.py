@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import exact_dedup, language_id, merkle, near_dedup, packing, quality, sharding, token_files, viterbi
+from tidemark.llm import exact_dedup, language_id, lm_score, merkle, near_dedup, packing, quality, sharding, token_files, viterbi
 
 QUERIES = {
     "op1_merkle": merkle.query,
@@ -14,5 +14,6 @@ QUERIES = {
     "op7_language_id": language_id.query,
     "op8_quality": quality.query,
     "op9_packing": packing.query,
+    "op10_lm_score": lm_score.query,
 }
 ORACLES = {"op6_exact_dedup": exact_dedup.ORACLE}
