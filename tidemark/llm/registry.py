@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tidemark.llm import exact_dedup, language_id, lm_score, merkle, near_dedup, packing, quality, sharding, token_files, viterbi
 
 QUERIES = {
@@ -15,5 +16,6 @@ QUERIES = {
     "op8_quality": quality.query,
     "op9_packing": packing.query,
     "op10_lm_score": lm_score.query,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {"op6_exact_dedup": exact_dedup.ORACLE}
