@@ -229,7 +229,7 @@ def averaged_weights(texts: DataFrame, start: np.ndarray) -> np.ndarray:
             flat = trainer.net.flat().astype(np.float64) * trainer.seen
             yield pa.RecordBatch.from_pydict({"entry": np.arange(len(flat)), "weight": flat, "seen": np.full(len(flat), trainer.seen)})
 
-    sums = texts.mapInArrow(run, "entry int, weight double, seen long").groupBy("entry").agg(F.sum("weight").alias("w"), F.sum("seen").alias("n"))
+    sums = texts.mapInArrow(run, "entry long, weight double, seen long").groupBy("entry").agg(F.sum("weight").alias("w"), F.sum("seen").alias("n"))
     out = start.astype(np.float64)
     for r in stash(sums.select("entry", (F.col("w") / F.col("n")).alias("w")), "weights").collect():  # a row a parameter
         out[r.entry] = r.w
