@@ -116,9 +116,8 @@ def time_summary(row_ts: Column, ts: Column, cap: int) -> list[Column]:
     some = lambda c: F.when(n > 0, c).otherwise(F.lit(0.0))
     out = [some(F.log1p(age(newest_).cast("double")) / SUMMARY_SPAN), some(F.log1p(age(oldest).cast("double")) / SUMMARY_SPAN), some(F.log1p(span.cast("double")) / SUMMARY_SPAN)]
     out.append(some(F.log1p(n / F.log1p(span / 86400.0 + 1)) / scale))
-    for w in SUMMARY_WINDOWS:
-        out.append(some(F.log1p(F.size(F.filter(padded, lambda t, w=w: (t > 0) & (age(t) <= w))).cast("double")) / scale))
-    return out
+    within = lambda w: F.size(F.filter(padded, lambda t: (t > 0) & (age(t) <= w)))
+    return out + [some(F.log1p(within(w).cast("double")) / scale) for w in SUMMARY_WINDOWS]
 
 
 SUMMARY_NAMES = ("age_newest", "age_oldest", "span", "density", "within_1h", "within_1d", "within_7d", "within_30d")

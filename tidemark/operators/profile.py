@@ -11,7 +11,7 @@ from tidemark.functions.sequences import ratio
 
 def dense_profile(df: DataFrame, column: str) -> DataFrame:
     """One row: rows, values, mean, std, min, max, median, p99, NaN count, all-zero rows."""
-    values = df.select(F.explode(column).cast("double").alias("v"))
+    values = df.select(F.explode(column).alias("v")).select(F.col("v").cast("double").alias("v"))
     good = ~F.isnan("v")
     v = F.when(good, F.col("v"))
     stats = values.agg(F.count("*").alias("n_values"), F.avg(v).alias("mean"), F.stddev(v).alias("std"), F.min(v).alias("lowest"), F.max(v).alias("highest"), F.percentile(v, F.lit(0.5)).alias("p50"), F.percentile(v, F.lit(0.99)).alias("p99"), F.sum(F.when(good, 0).otherwise(1)).cast("long").alias("nan_values"))

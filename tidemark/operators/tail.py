@@ -13,7 +13,10 @@ from pyspark.sql.window import Window
 from tidemark.functions.edges import position_bucket
 from tidemark.functions.sequences import ratio
 
-POSITIVE = F.coalesce(F.col("label_type"), F.lit(0)) == 2
+
+def positive() -> Column:
+    """Null labels are not positive."""
+    return F.coalesce(F.col("label_type"), F.lit(0)) == 2
 
 
 def count_if(c: Column) -> Column:
@@ -31,9 +34,9 @@ def sample_lengths(tokens: DataFrame, rows: DataFrame, key: str) -> DataFrame:
 def token_statistics(tokens: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     per = sample_lengths(tokens, rows, key)
     return per.groupBy("domain").agg(
-        F.count("*").alias("n_rows"), count_if(POSITIVE).alias("pos_rows"), count_if(F.col("nonzero_len") > 0).alias("rows_present"),
-        count_if((F.col("nonzero_len") > 0) & POSITIVE).alias("pos_rows_present"), F.sum("raw_len").alias("total_tokens"),
-        F.sum("nonzero_len").alias("nonzero_tokens"), F.sum(F.when(POSITIVE, F.col("nonzero_len")).otherwise(0)).alias("nonzero_pos_tokens"),
+        F.count("*").alias("n_rows"), count_if(positive()).alias("pos_rows"), count_if(F.col("nonzero_len") > 0).alias("rows_present"),
+        count_if((F.col("nonzero_len") > 0) & positive()).alias("pos_rows_present"), F.sum("raw_len").alias("total_tokens"),
+        F.sum("nonzero_len").alias("nonzero_tokens"), F.sum(F.when(positive(), F.col("nonzero_len")).otherwise(0)).alias("nonzero_pos_tokens"),
     )
 
 
@@ -48,12 +51,12 @@ def length_histogram(per: DataFrame) -> DataFrame:
 
 
 def position_totals(tokens: DataFrame) -> DataFrame:
-    return tokens.where("token > 0").groupBy("domain", position_bucket(F.col("pos")).alias("bucket")).agg(F.count("*").alias("n"), count_if(POSITIVE).alias("pos"))
+    return tokens.where("token > 0").groupBy("domain", position_bucket(F.col("pos")).alias("bucket")).agg(F.count("*").alias("n"), count_if(positive()).alias("pos"))
 
 
 def token_counts(tokens: DataFrame) -> DataFrame:
     """domain, token, n, pos, head (tokens at positions under 50)."""
-    return tokens.where("token > 0").groupBy("domain", "token").agg(F.count("*").alias("n"), count_if(POSITIVE).alias("pos"), count_if(F.col("pos") < 50).alias("head"))
+    return tokens.where("token > 0").groupBy("domain", "token").agg(F.count("*").alias("n"), count_if(positive()).alias("pos"), count_if(F.col("pos") < 50).alias("head"))
 
 
 def ranked(counts: DataFrame) -> DataFrame:
@@ -78,7 +81,7 @@ def topk_coverage(counts: DataFrame, ks: list[int]) -> DataFrame:
     """A row a domain and K; a K beyond the number of ids takes all of them."""
     wanted = F.explode(F.array(*[F.lit(k) for k in ks])).alias("k")
     rows = ranked(counts).select("*", wanted).where(F.col("rank") <= F.col("k"))
-    quantile = lambda p: F.floor(F.expr(f"percentile(n, {p})")).cast("long")
+    quantile = lambda p: F.floor(F.round(F.expr(f"percentile(n, {p})"), 6)).cast("long")
     low = lambda t: ratio(count_if(F.col("n") < t), F.count("*")).alias(f"share_lt{t}")
     got = rows.groupBy("domain", "k").agg(F.sum("n").alias("count"), F.sum("pos").alias("pos"), F.sum("head").alias("head"), F.min("n").alias("cutoff_count"), quantile(0.1).alias("count_p10"), quantile(0.5).alias("count_p50"), low(10), low(50), low(100))
     got = got.join(F.broadcast(domain_totals(counts)), "domain")

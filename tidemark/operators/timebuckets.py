@@ -66,7 +66,7 @@ def bucket_statistics(hist: DataFrame) -> DataFrame:
 
 def value_summary(values: DataFrame) -> DataFrame:
     """count, min, max, mean and nine linear-interpolated quantiles, cut to whole seconds."""
-    q = [F.floor(F.expr(f"percentile(value, {x})")).cast("long").alias(quantile_name(x)) for x in QUANTILES]
+    q = [F.floor(F.round(F.expr(f"percentile(value, {x})"), 6)).cast("long").alias(quantile_name(x)) for x in QUANTILES]
     return values.groupBy("domain").agg(F.count("*").alias("n"), F.min("value").alias("lowest"), F.max("value").alias("highest"), F.avg("value").alias("mean"), *q)
 
 
@@ -92,7 +92,7 @@ def slot_recency(valid: DataFrame) -> DataFrame:
     slots = F.array(F.struct(F.lit("first").alias("slot"), F.lit(0).cast("long").alias("want")), F.struct(F.lit("middle").alias("slot"), F.least(n - 1, F.floor(F.col("cap") / 2)).cast("long").alias("want")), F.struct(F.lit("last").alias("slot"), (n - 1).cast("long").alias("want")))
     rows = valid.where("kept").select("domain", "at", "row_ts", "ts", F.explode(slots).alias("s")).where(F.col("at") == F.col("s.want"))
     age = F.greatest(F.col("row_ts") - F.col("ts"), F.lit(0).cast("long"))
-    return rows.groupBy("domain", F.col("s.slot").alias("slot")).agg(F.count("*").alias("n"), F.floor(F.percentile(age, F.lit(0.5))).cast("long").alias("p50"))
+    return rows.groupBy("domain", F.col("s.slot").alias("slot")).agg(F.count("*").alias("n"), F.floor(F.round(F.percentile(age, F.lit(0.5)), 6)).cast("long").alias("p50"))
 
 
 def edge_candidates(values: DataFrame, quantiles: list[float], reducer: str = "mean") -> list[int]:
