@@ -45,6 +45,7 @@ class Pieces:
             for k in range(1, len(text)):
                 self.at.setdefault(text[:k], None)
             self.at[text] = (score, i)
+        long = [t for t, _, _ in pieces if len(t) > 1]
         self.longest = max(len(t) for t, _, _ in pieces)
         self.unknown = min(s for _, s, _ in pieces) - UNKNOWN_PENALTY
         self.byte_id = bytes_
@@ -53,7 +54,7 @@ class Pieces:
             self.spell[i] = text.encode()
         for b, i in bytes_.items():
             self.spell[i] = bytes([b])
-        long = [t for t, _, _ in pieces if len(t) > 1]
+        self.pairs = {t[i : i + 2] for t in long for i in range(len(t) - 1)}
         self.cut_spaces = not any(" " in t.lstrip(" ") for t in long)
         self.cut_lines = not any("\n" in t for t in long)
 
@@ -157,13 +158,23 @@ class StreamingViterbi:
         self.start()
         return [*self.feed(text), *self.finish()]
 
+    def stretches(self, text: str) -> list[str]:
+        """text cut wherever no piece has the two neighbouring characters side by side: every path has a boundary there."""
+        pairs, out, at = self.pieces.pairs, [], 0
+        for i in range(1, len(text)):
+            if text[i - 1 : i + 1] not in pairs:
+                out.append(text[at:i])
+                at = i
+        out.append(text[at:])
+        return out
+
 
 class MergeSearch(StreamingViterbi):
     """The same search with the transition scores of a merge vocabulary."""
 
-    def __init__(self, pieces: Pieces, max_pairs: int = 200_000):
-        self.max_pairs = max_pairs
-        self.stable: dict[tuple[str, str], bool] = {}
+    def __init__(self, pieces: Pieces, max_pairs: int = 500_000):
+        self.max_pairs, self.n_pairs = max_pairs, 0
+        self.stable: dict[str, dict[str, bool]] = {}  # by left piece, then right piece
         super().__init__(pieces)
 
     def start(self) -> None:
@@ -184,14 +195,48 @@ class MergeSearch(StreamingViterbi):
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
         return parts
 
-    def _stays(self, one: str, two: str) -> bool:
-        pair = (one, two)
-        known = self.stable.get(pair)
-        if known is None:
-            if len(self.stable) >= self.max_pairs:
-                self.stable.clear()
-            known = self.stable[pair] = self.merged(one + two) == ([one, two] if one else [two])
-        return known
+    def _row(self, one: str) -> dict[str, bool]:
+        """What is known of the pieces that can follow one."""
+        if self.n_pairs >= self.max_pairs:
+            self.stable, self.n_pairs = {}, 0
+        return self.stable.setdefault(one, {})
+
+    def _test(self, row: dict[str, bool], one: str, two: str) -> bool:
+        self.n_pairs += 1
+        row[two] = ok = self.merged(one + two) == ([one, two] if one else [two])
+        return ok
+
+    def encode(self, text: str) -> list[int]:
+        """A text no longer than the open window is one window: the same search on flat lists."""
+        n, longest = len(text), self.pieces.longest
+        if n > 4 * longest:
+            return super().encode(text)
+        get = self.pieces.at.get
+        last: list[str | None] = [None] * (n + 1)
+        ident = [0] * (n + 1)
+        last[0] = ""
+        for s in range(n):
+            one = last[s]
+            row = self._row(one)
+            for e in range(s + 1, min(s + longest, n) + 1):
+                part = text[s:e]
+                hit = get(part, self)
+                if hit is self:  # no piece begins like this
+                    if e == s + 1 and last[e] is None and (row[part] if part in row else self._test(row, one, part)):
+                        last[e], ident[e] = part, -1
+                    break
+                if last[e] is None and (hit is not None or e == s + 1):
+                    ok = row.get(part)
+                    if ok is None:
+                        ok = self._test(row, one, part)
+                    if ok:
+                        last[e], ident[e] = part, -1 if hit is None else hit[1]
+        out: list[int] = []
+        while n:
+            i = ident[n]
+            out += [i] if i >= 0 else [self.pieces.byte_id[b] for b in reversed(last[n].encode("utf-8", "surrogatepass"))]
+            n -= len(last[n])
+        return out[::-1]
 
     def _advance(self, to: int) -> None:
         at, score, back, text = self.pieces.at, self.score, self.back, self.text
@@ -199,14 +244,15 @@ class MergeSearch(StreamingViterbi):
         for s in range(self.pos, to):
             score.pop(s)
             last = text[back[s][0] : s] if s else self.before
+            row = self._row(last)
             for e in range(s + 1, min(s + longest, n) + 1):
                 part = text[s:e]
                 if part not in at:
-                    if e == s + 1 and e not in score and self._stays(last, part):
+                    if e == s + 1 and e not in score and (row[part] if part in row else self._test(row, last, part)):
                         score[e], back[e] = 0.0, (s, -1)
                     break
                 hit = at[part]
-                if e not in score and (hit is not None or e == s + 1) and self._stays(last, part):
+                if e not in score and (hit is not None or e == s + 1) and (row[part] if part in row else self._test(row, last, part)):
                     score[e], back[e] = 0.0, (s, hit[1] if hit is not None else -1)
         self.pos = to
 
@@ -223,10 +269,11 @@ class Encoder:
 
     known_files: dict[str, "Encoder"] = {}
 
-    def __init__(self, pieces: Pieces, kind: str = "bpe", max_entries: int = 250_000, max_len: int = 48):
+    def __init__(self, pieces: Pieces, kind: str = "bpe", max_entries: int = 400_000, max_len: int = 48):
         self.pieces, self.search = pieces, (MergeSearch if kind == "bpe" else StreamingViterbi)(pieces)
         self.max_entries, self.max_len = max_entries, max_len
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.stretches = re.compile("\n| *[^ \n]+| +") if pieces.cut_spaces and pieces.cut_lines else None
 
     @classmethod
@@ -246,13 +293,30 @@ class Encoder:
         known = self.known
         if len(known) > self.max_entries:
             known.clear()
-        extra: dict[str, bytes] = {}
-        for p in set(parts):
-            if p not in known:
-                (known if len(p) <= self.max_len else extra)[p] = np.array(self.search.encode(p), dtype="<u4").tobytes()
-        if extra:
-            return b"".join([extra[p] if p in extra else known[p] for p in parts])
-        return b"".join([known[p] for p in parts])
+        got = list(map(known.get, parts))
+        if None in got:
+            for k, p in enumerate(parts):
+                if got[k] is None:
+                    got[k] = known.get(p)
+                    if got[k] is None:
+                        got[k] = self.fresh(p)
+                        if len(p) <= self.max_len:
+                            known[p] = got[k]
+        return b"".join(got)
+
+    def fresh(self, stretch: str) -> bytes:
+        """Ids of a stretch not met lately, from its shorter stretches."""
+        out = []
+        if len(self.parts) > self.max_entries:
+            self.parts.clear()
+        for p in self.search.stretches(stretch):
+            ids = self.parts.get(p)
+            if ids is None:
+                ids = np.array(self.search.encode(p), dtype="<u4").tobytes()
+                if len(p) <= self.max_len:
+                    self.parts[p] = ids
+            out.append(ids)
+        return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
         spell = self.pieces.spell
