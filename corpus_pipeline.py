@@ -18,13 +18,13 @@ LEAST_LANGUAGE = 0.4
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     langs, net = language_id.learn(docs)
-    got = language_id.identify(docs, langs, net)
-    return got.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE)).select(*docs.columns)
+    got = language_id.identify(docs, langs, net, "__")
+    return got.where((F.col("__lang_pred") != "und") & (F.col("__score") >= LEAST_LANGUAGE)).select(*docs.columns)
 
 
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model).where(F.col("score") >= quality.REJECT).select(*docs.columns)
+    return quality.score(docs, model, "__").where(F.col("__score") >= quality.REJECT).select(*docs.columns)
 
 
 def keep_one_exact_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

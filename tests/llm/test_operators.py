@@ -1,0 +1,422 @@
+"""The ten operators and the pipeline: edge cases, brute force, exact round trips, held-out accuracy."""
+
+import hashlib
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm import exact_dedup, language_id, lm_score, merkle, near_dedup, packing, quality, sharding, token_files, viterbi
+from tidemark.llm.common import CachedEncoder, scratch_path
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key long, norm string, shard int, score double, range int, component_id long, file string"
+PLAIN = "the quick brown fox jumps over the lazy dog and runs away from the big bad wolf again today"
+
+
+def messy_rows():
+    texts = {0: None, 1: "", 2: "   \n\t ", 3: PLAIN, 4: PLAIN.upper(), 5: PLAIN, 6: "one two", 7: "é 日本語 🙂 ▁x\n\n1234 <|endoftext|> !!", 8: "word " * 9000, 9: "7 7 7 7", 10: "ab" * 3000}
+    rows = [(i, t, "en" if i % 3 else None, None if i == 4 else "src0", None if t is None else len(t), 1, "n", 2, 0.5, 3, 4, "f") for i, t in texts.items()]
+    return [*rows, rows[3], rows[0]]  # repeated rows
+
+
+@pytest.fixture(scope="module")
+def messy(spark):
+    return spark.createDataFrame(messy_rows(), SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+
+
+def vocabulary(name):
+    import public_tokenizers
+
+    return lambda: public_tokenizers.path(name)
+
+
+# 1 Merkle
+def brute_merkle(rows):
+    rows = sorted((i, t or "") for i, t in rows)
+    out = []
+    for k, (i, t) in enumerate(rows):
+        nxt = rows[(k + 1) % len(rows)][1]
+        h = len(t) // 2
+        e = t[: len(t) - h] + nxt[:h]
+        out.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), merkle.fingerprint(t), merkle.fingerprint(e)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("ranges", [1, 5])
+def test_merkle_messy(messy, ranges):
+    got = merkle.fingerprints(messy, ranges).collect()
+    want = brute_merkle([r[:2] for r in messy_rows()])
+    assert sorted((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) for r in got) == want
+    assert all(0 <= x <= 1 for r in got for x in (r.near_edited, r.near_next))
+
+
+def test_merkle_documents(docs, texts):
+    got = merkle.fingerprints(docs, 7).collect()
+    assert sorted(tuple(r)[:5] for r in got) == brute_merkle(texts.items())
+    assert np.mean([r.near_edited > r.near_next for r in got]) > 0.95
+
+
+def test_merkle_locates_edits():
+    lines = [f"line {k} has some words that are its own and {k * k} more of them" for k in range(60)]
+    other = lines.copy()
+    other[30] = other[30].replace("words", "swords")
+    one, two = merkle.fingerprint("\n".join(lines)), merkle.fingerprint("\n".join(other))
+    changed = merkle.differing_leaves(one, two)
+    assert len({c[:2] for c in changed}) == 1 and merkle.likeness(one, two) > 0.95
+    assert merkle.likeness(one, one) == 1.0 and merkle.differing_leaves(one, one) == []
+
+
+# 2 sharding
+def check_shards(rows, n):
+    sizes = Counter(r.shard for r in rows)
+    assert len(rows) == n and (not n or max(sizes.values()) - min(sizes.get(s, 0) for s in range(16)) <= 1)
+    for s in sizes:
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sizes[s]))
+
+
+def test_sharding(messy, empty, docs, texts):
+    got = sharding.shard_documents(docs, block_rows=5).collect()
+    check_shards(got, len(texts))
+    assert {r.doc_id: (r.size, r.text_crc32) for r in got} == {i: (len(t.encode()) + 1, zlib.crc32(t.encode())) for i, t in texts.items()}
+    assert [r.slot for r in sorted(got, key=lambda r: r.doc_id)] == [r.slot for r in sorted(sharding.shard_documents(docs, block_rows=5).collect(), key=lambda r: r.doc_id)]
+    check_shards(sharding.shard_documents(messy).collect(), 13)
+    assert sharding.shard_documents(empty).count() == 0
+    assert {"shard", "slot", "file"} <= set(sharding.shuffle_into_shards(messy).columns)
+
+
+def test_communication_matrix():
+    sizes, blocks = [5, 0, 40, 7], np.array([13, 13, 13, 13])
+    m = np.array([sharding.matrix_row(sizes, blocks, k, 3) for k in range(4)])
+    assert m.sum(axis=1).tolist() == sizes and m.sum(axis=0).tolist() == blocks.tolist()
+    big = sharding.draw(np.random.default_rng(1), np.array([3 * 10**9, 10**9]), 10**6)
+    assert big.sum() == 10**6 and abs(big[0] - 750_000) < 5_000
+    mean = np.mean([sharding.draw_one(np.random.default_rng(k), 30, 70, 20) for k in range(400)])
+    assert 5.5 < mean < 6.5
+
+
+# 3 near-dedup
+def words(t):
+    return t.encode().lower().split()
+
+
+def shingles(t):
+    w = words(t or "")
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def brute_components(rows):
+    sets = {i: shingles(t) for i, t in rows}
+    name = {i: i for i in sets}
+
+    def find(i):
+        while name[i] != i:
+            i = name[i]
+        return i
+
+    ids = [i for i in sets if sets[i]]
+    for a in ids:
+        for b in ids:
+            if a < b:
+                k = len(sets[a] & sets[b])
+                if 100 * k >= 85 * (len(sets[a]) + len(sets[b]) - k):
+                    x, y = find(a), find(b)
+                    name[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+def near_copies(base=220, copies=40):
+    rng = np.random.default_rng(5)
+    out = []
+    for g in range(4):
+        w = [f"w{x}" for x in rng.integers(0, 10_000, base)]
+        for c in range(copies):
+            v = list(w)
+            for p in rng.integers(0, base, c % 7):
+                v[p] = f"x{rng.integers(0, 10_000)}"
+            out.append((1000 * g + c, " ".join(v)))
+    return out
+
+
+@pytest.mark.parametrize("most", [1024, 8])
+def test_near_dedup_against_brute_force(spark, most):
+    rows = near_copies()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dedup.near_dedup(df, most=most).collect()
+    want = brute_components(rows)
+    assert {r.doc_id: r.n_shingles for r in got} == {i: v[0] for i, v in want.items()}
+    wrong = sum(r.component_id != want[r.doc_id][1] for r in got)
+    assert wrong == 0 if most > 160 else wrong <= 2  # regions of eight force the deepest cuts
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+def test_near_dedup_messy(messy, empty):
+    got = near_dedup.near_dedup(messy).collect()
+    want = brute_components([r[:2] for r in messy_rows()])
+    assert len(got) == 13 and all((r.n_shingles, r.component_id) == want[r.doc_id] for r in got)
+    assert near_dedup.near_dedup(empty).count() == 0
+
+
+# 4 SentencePiece
+def test_viterbi_is_the_library(docs, texts, spark, messy):
+    import sentencepiece
+
+    path = vocabulary("piece_bpe_32k.model")()
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    encoder = viterbi.Encoder.of(path)
+    more = ["  a   b ", "日本語 🙂", "a" * 300, "\n", " ", "x\n\ny  \n z", "==== //// ----"]
+    for t in [*list(texts.values())[:80], *more]:
+        assert np.frombuffer(encoder.encode(t), "<u4").tolist() == library.encode(t)
+        assert encoder.decode(encoder.encode(t)) == t
+    got = viterbi.digest(messy).collect()
+    assert len(got) == 13 and all(r.round_trip for r in got)
+    assert {r.doc_id: r.n_tokens for r in got}[0] == 0
+    back = viterbi.decode_documents(viterbi.encode_documents(docs)).collect()
+    assert {r.doc_id: r.text for r in back} == texts
+
+
+def test_viterbi_streams():
+    """Windows stay small on a text without spaces, and scores of a unigram vocabulary give the best path."""
+    path = vocabulary("piece_bpe_32k.model")()
+    search = viterbi.MergeSearch(viterbi.Pieces.load(path))
+    text = "supercalifragilistic" * 400
+    out = []
+    for i in range(0, len(text), 100):
+        out += search.feed(text[i : i + 100])
+    assert out + search.finish() == viterbi.Encoder.of(path).search.encode(text)
+    assert search.peak < 400
+    pieces = viterbi.Pieces([("a", -1.0, 0), ("b", -1.0, 1), ("ab", -1.5, 2), ("ba", -0.5, 3), ("aba", -2.2, 4)], {b: 10 + b for b in range(256)}, 300)
+
+    def best(t):
+        if not t:
+            return 0.0, []
+        return max(((pieces.at[t[:k]][0] + s, [pieces.at[t[:k]][1], *p]) for k in range(1, 4) if pieces.at.get(t[:k]) for s, p in [best(t[k:])]), key=lambda x: x[0])
+
+    score = {0: -1.0, 1: -1.0, 2: -1.5, 3: -0.5, 4: -2.2}
+    for t in ("abab", "bbaab", "ababababba"):
+        assert sum(score[i] for i in viterbi.StreamingViterbi(pieces).encode(t)) == pytest.approx(best(t)[0])
+
+
+# 5 token files and the encoder
+def test_encoder_is_the_library(texts):
+    from tokenizers import Tokenizer
+
+    path = vocabulary("word_bpe_49k.json")()
+    library, own = Tokenizer.from_file(path), CachedEncoder(path, max_entries=2000)
+    hard = ["It's we'll I'VE a\tb\x1cc É İ ΑΣ. <|endoftext|> x<|startoftext|>y 12345 日本語 🙂 ﬁ Å\r\n x", "", " ", "ét é", "À×y÷ª ß ÿŸ", "a" * 500]
+    for t in [*texts.values(), *hard]:
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def test_token_files(spark, messy, empty, texts, docs):
+    from tokenizers import Tokenizer
+
+    vocab = vocabulary("word_bpe_49k.json")
+    library = Tokenizer.from_file(vocab())
+    for df, rows in ((messy, [r[:2] for r in messy_rows()]), (docs, list(texts.items()))):
+        folder = scratch_path(spark, "test")
+        manifest = token_files.write_token_files(df, folder, vocab, 2, length=64)
+        got = sorted(tuple(r) for r in token_files.read_token_files(manifest, folder).collect())
+        at, want = 0, []
+        for i, t in sorted((i, t or "") for i, t in rows):
+            ids = [*library.encode(t, add_special_tokens=False).ids, 2]
+            want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+            at += len(ids)
+        assert got == want
+    first = manifest.first()
+    import pyarrow.fs as pafs
+
+    file = token_files.TokenFile(pafs.LocalFileSystem(), f"{first.path}.arrow")
+    ids, mask = file.sequence(0)
+    assert len(ids) == 64 and not ids.flags.owndata and len(mask) == 64 and np.array_equal(file.ids(0, 64), ids)
+    folder = scratch_path(spark, "test")
+    assert token_files.read_token_files(token_files.write_token_files(empty, folder, vocab, 2), folder).count() == 0
+
+
+# 6 exact dedup
+def test_exact_dedup(messy, empty):
+    got = exact_dedup.exact_dedup(messy).collect()
+    lower = lambda t: (t or "").translate({c: c + 32 for c in range(65, 91)})
+    groups = Counter(lower(r[1]) for r in messy_rows())
+    last = {}
+    for r in messy_rows():
+        last[lower(r[1])] = max(r[0], last.get(lower(r[1]), -1))
+    text = {r[0]: lower(r[1]) for r in messy_rows()}
+    assert len(got) == 13
+    for r in got:
+        t = text[r.doc_id]
+        assert (r.keep_id, r.group_size, r.kept, r.text_sha256) == (last[t], groups[t], r.doc_id == last[t], hashlib.sha256(t.encode()).hexdigest())
+    assert exact_dedup.exact_dedup(empty).count() == 0
+
+
+def test_directory_doubling(docs):
+    depth, slots = exact_dedup.double_directory({0: 5, 1: 1, 2: 1, 3: 1}, 2, 4)
+    assert depth == 2 and slots == [(0, 2), (1, 2), (2, 1), (2, 1)]
+    split = exact_dedup.exact_dedup(docs, capacity=8)
+    assert split.select("bucket").distinct().count() > 8
+    one = exact_dedup.exact_dedup(docs)
+    assert split.select("doc_id", "keep_id").exceptAll(one.select("doc_id", "keep_id")).count() == 0
+
+
+def test_exact_dedup_is_native(docs):
+    plan = exact_dedup.exact_dedup(docs)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+# 7 language ID
+def test_language_id(spark, messy, empty):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    langs, net = language_id.learn(docs)
+    got = language_id.identify(docs.where(language_id.held_out(F.col("doc_id"))), langs, net).collect()
+    assert len(got) > 100 and np.mean([r.lang == r.lang_pred for r in got]) > 0.97
+    m = {r.doc_id: r for r in language_id.identify(messy, langs, net).collect()}
+    assert len(m) == 11 and all(m[i].lang_pred == "und" and m[i].score == 0 for i in (0, 1, 2, 9))
+    assert m[3].lang_pred in langs and 0 < m[3].score <= 1
+    assert language_id.identify(empty, langs, net).count() == 0
+    assert language_id.learn(empty)[0] == []
+    assert {r.lang_pred for r in language_id.identify(messy, [], {}).collect()} == {"und"}
+
+
+def test_gru_gradients():
+    net = language_id.BiGru(3, hidden=3)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    rng = np.random.default_rng(0)
+    x, y, mask = rng.integers(97, 105, (5, 4)), np.array([0, 1, 2, 1]), np.ones((5, 4))
+    _, g = net.step(x, y, mask)
+    for k in ("uf", "wb", "v"):
+        i = tuple(np.argwhere(np.abs(g[k]) > 1e-4)[0])
+        old, eps = net.p[k][i], 1e-3
+        net.p[k][i] = old + eps
+        up = net.step(x, y, mask)[0]
+        net.p[k][i] = old - eps
+        down = net.step(x, y, mask)[0]
+        net.p[k][i] = old
+        assert g[k][i] == pytest.approx((up - down) / (2 * eps), rel=0.05, abs=1e-4)
+
+
+# 8 quality
+def test_quality(spark, messy, empty):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    model = quality.learn(docs, labels, labelled=600, pool=600)
+    assert all(n > 0 for n in model["given"])  # each view taught the other
+    held = docs.join(labels, "doc_id").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
+    rows = quality.score(held, model).collect()
+    assert np.mean([(r.score >= quality.REJECT) == (r.quality == 1) for r in rows]) > 0.96
+    assert np.mean([r.score >= quality.REJECT for r in rows if r.quality == 1]) > 0.98
+    m = {r.doc_id: r.score for r in quality.score(messy, model).collect()}
+    assert len(m) == 11 and m[0] == m[1] == 0 and all(0 <= s <= 1 for s in m.values())
+    assert quality.score(empty, model).count() == 0
+    assert quality.learn(empty, labels) is None and quality.learn(docs, labels.where("quality = 1")) is None
+
+
+# 9 packing
+def check_packing(rows, texts, library, capacity):
+    by = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append(r)
+    for own in by.values():
+        at = 0
+        for r in sorted(own, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= capacity
+    pieces = Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows)
+    want = Counter()
+    for i, t in texts:
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 1]
+        for k, s in enumerate(range(0, len(ids), capacity)):
+            part = ids[s : s + capacity]
+            want[(i, k, s, len(part), zlib.crc32(np.array(part, "<u4").tobytes()))] += 1
+    assert pieces == want
+    return len(by), -(-sum(r.length for r in rows) // capacity)
+
+
+def test_packing(messy, empty, docs, texts):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(vocabulary("word_bpe_49k.json")())
+    check_packing(packing.pack_documents(messy, capacity=512).collect(), [r[:2] for r in messy_rows()], library, 512)
+    n, bound = check_packing(packing.pack_documents(docs, capacity=1024, district_rows=64).collect(), list(texts.items()), library, 1024)
+    assert n <= bound * 1.02 + 1
+    assert packing.pack_documents(empty).count() == 0
+
+
+def test_genetic_steps():
+    rng = np.random.default_rng(2)
+    length = rng.integers(1, 70, 120).tolist()
+    first = packing.first_population(length, 100, 3, rng)
+    child = packing.crossover(first[0], first[1], length, 100, rng)
+    for bins in (*first, child, packing.mutate(child, length, 100, rng)):
+        assert sorted(i for b in bins for i in b) == list(range(120)) and max(sum(length[i] for i in b) for b in bins) <= 100
+    best = packing.evolve(first, length, 100, 20, rng, 0)
+    assert packing.fitness(best[0], length, 100) >= max(packing.fitness(b, length, 100) for b in first)
+
+
+# 10 LM scoring
+def test_lm_score(messy, empty, docs, texts):
+    weights = lm_score.learn(docs, start=100)
+    net = lm_score.Window.of(weights)
+    got = {r.doc_id: r for r in lm_score.score(docs, weights).collect()}
+    for i in list(texts)[:20]:
+        data = texts[i].encode()
+        t = lm_score.padded(data)
+        slow = 0.0
+        for k in range(min(len(data), 300)):
+            around = np.array([[t[k + s]] for s in range(2 * lm_score.SIDE + 1) if s != lm_score.SIDE])
+            slow += float(net.log_probability(around, np.array([data[k]]))[0])
+        if len(data) <= 300:
+            assert got[i].sum_log_prob == pytest.approx(slow, rel=1e-4)
+    everything = np.array([[40], [50], [97], [98], [99], [256]])
+    assert sum(np.exp(float(net.log_probability(everything, np.array([v]))[0])) for v in range(256)) == pytest.approx(1, abs=1e-4)
+    counts = Counter(b for t in texts.values() for b in t.encode())
+    total = sum(counts.values())
+    unigram = sum(n * np.log(n / total) for n in counts.values()) / total
+    assert np.mean([r.mean_log_prob for r in got.values()]) > unigram + 0.8
+    m = {r.doc_id: r for r in lm_score.score(messy, weights).collect()}
+    assert len(m) == 11 and m[0].n_tokens == 0 and m[1].sum_log_prob == 0
+    assert lm_score.score(empty, weights).count() == 0 and len(lm_score.learn(empty)) == len(weights)
+
+
+# the pipeline
+def test_pipeline(spark, messy, tmp_path):
+    import corpus_pipeline as c
+
+    assert [n for n, _ in c.STAGES] == ["language", "quality", "exact_dedup", "near_dedup", "packing"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("score", F.lit(0.1)).withColumn("kept", F.lit(False))
+    for name, stage in c.STAGES:
+        new = stage(spark, docs, SF)
+        if name != "packing":
+            assert new.columns == docs.columns
+            assert new.count() <= docs.count() and new.exceptAll(docs).count() == 0
+            new.write.parquet(str(tmp_path / name))
+            new = spark.read.parquet(str(tmp_path / name))
+        if name == "exact_dedup":
+            left = [r.text.lower() if r.text.isascii() else r.text for r in new.collect()]
+            assert len(left) == len(set(left))
+        if name == "near_dedup":
+            got = brute_components([(r.doc_id, r.text) for r in new.collect()])
+            assert all(i == v[1] for i, v in got.items())
+        docs = new
+    assert {"doc_id", "sequence_id", "offset"} <= set(docs.columns)
+    for name, stage in c.STAGES[2:]:
+        stage(spark, messy, SF).count()
+    kept = c.keep_one_exact_copy(spark, messy, SF).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 2, 5, 6, 7, 8, 9, 10]

@@ -224,10 +224,11 @@ def learn(df: DataFrame, per_language: int = 600, windows: int = 4, most: int =
     return langs, net.fast()
 
 
-def identify(df: DataFrame, langs: list[str], q: dict) -> DataFrame:
-    """df's columns with lang_pred and score."""
-    names = df.columns
-    at = names.index("text")
+def identify(df: DataFrame, langs: list[str], q: dict, prefix: str = "") -> DataFrame:
+    """df's columns with lang_pred and score (after prefix; columns of df that have these names are replaced)."""
+    new = [f"{prefix}lang_pred", f"{prefix}score"]
+    df = df.drop(*new)
+    at = df.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 128):
@@ -237,11 +238,11 @@ def identify(df: DataFrame, langs: list[str], q: dict) -> DataFrame:
             pred, score = ["und"] * b.num_rows, np.zeros(b.num_rows)
             for k, row in zip(some, p, strict=True):
                 pred[k], score[k] = langs[int(row.argmax())], min(1.0, float(row.max()))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score)], names=[*b.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score)], names=[*b.schema.names, *new])
 
     from pyspark.sql import types as T
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(new[0], T.StringType()), T.StructField(new[1], T.DoubleType())]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

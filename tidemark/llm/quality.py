@@ -202,8 +202,10 @@ def view_odds(model: dict, text: str, lang: str | None, source: str | None) -> t
     return out[0], out[1]
 
 
-def score(df: DataFrame, model: dict | None) -> DataFrame:
-    """df's columns with p_content, p_metadata and score (0 to 1)."""
+def score(df: DataFrame, model: dict | None, prefix: str = "") -> DataFrame:
+    """df's columns with p_content, p_metadata and score (0 to 1; after prefix, columns of df with these names are replaced)."""
+    new = [f"{prefix}{n}" for n in ("p_content", "p_metadata", "score")]
+    df = df.drop(*new)
     at = {c: df.columns.index(c) for c in ("text", "lang", "source")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,9 +220,9 @@ def score(df: DataFrame, model: dict | None) -> DataFrame:
                     continue
                 z = view_odds(model, text, lang, source)
                 out[:, k] = p(z[0]), p(z[1]), p(model["share"][0] * z[0] + model["share"][1] * z[1])
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(o) for o in out)], names=[*b.schema.names, "p_content", "p_metadata", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(o) for o in out)], names=[*b.schema.names, *new])
 
-    more = [T.StructField(n, T.DoubleType()) for n in ("p_content", "p_metadata", "score")]
+    more = [T.StructField(n, T.DoubleType()) for n in new]
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *more]))
 
 

@@ -84,8 +84,11 @@ def block_plan(rows: int, shards: int, block_rows: int) -> tuple[np.ndarray, np.
 
 
 def shuffle_into_shards(df: DataFrame, shards: int = 16, seed: int = 20_231, block_rows: int = 65_536) -> DataFrame:
-    """df with shard (0 to shards-1) and slot (gapless from 0 in each shard), in uniformly random order."""
-    spark = df.sparkSession
+    """df with shard (0 to shards-1) and slot (gapless from 0 in each shard), in uniformly random order.
+
+    Columns of df that are called shard or slot are replaced.
+    """
+    spark, df = df.sparkSession, df.drop("shard", "slot")
     spark.sparkContext.setCheckpointDir(scratch_dir(spark))
     pinned = df.checkpoint()
     counts = {r.p: r.n for r in pinned.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()}  # a row a partition
