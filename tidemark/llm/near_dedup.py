@@ -4,9 +4,10 @@
    whole sequence). Documents with equal sets are one class; only one representative a class goes on, so exact copies
    cost one row each however many there are.
 2. Forest: each tree is an order of the signature's minima; documents that share the first `depth` minima form a region.
-   A region that holds more than `most` representatives is cut at a greater depth (3, 6, 12, 24, 48 minima), so depth
-   follows the local density; one that is still too large at the last depth holds near-equal sets, and is dealt out by a
-   hash that differs in each tree. Neighbours by longest common prefix always meet in their deepest region.
+   Representatives of regions that hold more than `most` of them go on to greater depths (3, 6, 12, 24, 48 minima), so
+   depth follows the local density, and to more trees (16, 32, 64, 96, 96), which makes up for what depth costs in
+   recall; a region still too large at the last depth holds near-equal sets, and is dealt out by a hash that differs in
+   each tree. Neighbours by longest common prefix always meet in their deepest region.
 3. In each region, signatures are compared and documents whose estimated similarity to any other is under a bound are left out;
    what is left falls into clusters. A cluster that several trees find is taken once.
 4. The full sets of each cluster's documents are brought together and compared exactly; what is reported is a spanning
@@ -35,8 +36,8 @@ from tidemark.llm.common import documents, scratch_dir, slices, sorted_groups, s
 
 WORDS = 5
 MINIMA = 128
-TREES = 16
-DEPTHS = (3, 6, 12, 24, 48)
+#: (depth, trees): representatives of regions that are too large go on to more trees of the next depth.
+LEVELS = ((3, 16), (6, 32), (12, 64), (24, 96), (48, 96))
 
 
 class WordHashes(dict):
@@ -94,7 +95,7 @@ def signature(values: np.ndarray) -> np.ndarray:
     return best
 
 
-def orders(trees: int = TREES, depth: int = DEPTHS[-1]) -> np.ndarray:
+def orders(trees: int, depth: int) -> np.ndarray:
     """Which minima each tree reads, in order."""
     rng = np.random.default_rng(41)
     return np.array([rng.permutation(MINIMA)[:depth] for _ in range(trees)])
@@ -117,9 +118,9 @@ def sketches(df: DataFrame) -> DataFrame:
     return text_or_empty(df).mapInArrow(run, "doc_id long, n_shingles long, set_id binary, minima binary")
 
 
-def prefix_hashes(reps: DataFrame, depth: int) -> DataFrame:
+def prefix_hashes(reps: DataFrame, depth: int, trees: int) -> DataFrame:
     """rep, tree, region: a hash of the first depth minima of each tree's order."""
-    order = orders()[:, :depth]
+    order = orders(trees, depth)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -139,10 +140,9 @@ def prefix_hashes(reps: DataFrame, depth: int) -> DataFrame:
 
 def regions(reps: DataFrame, most: int) -> DataFrame:
     """rep, region: of every region that holds 2 to `most` representatives, at the depth its density asks for."""
-    done = None
-    open_ = None  # (rep, tree) that lie in regions too large at the depths so far
-    for depth in DEPTHS:
-        keyed = prefix_hashes(reps, depth) if open_ is None else prefix_hashes(reps.join(open_.select("rep").distinct(), "rep", "left_semi"), depth).join(open_, ["rep", "tree"], "left_semi")
+    done, open_ = None, reps
+    for depth, trees in LEVELS:
+        keyed = prefix_hashes(open_, depth, trees)
         sizes = keyed.groupBy("region").agg(F.count("*").alias("n")).where("n > 1")
         placed = stash(keyed.join(sizes, "region").select("rep", "tree", "region", "n"), f"regions-{depth}")
         fit = placed.where(F.col("n") <= most).select("rep", "region")
@@ -150,7 +150,7 @@ def regions(reps: DataFrame, most: int) -> DataFrame:
         large = placed.where(F.col("n") > most)
         if large.isEmpty():
             return done
-        open_ = large.select("rep", "tree")
+        open_ = stash(reps.join(large.select("rep").distinct(), "rep", "left_semi"), "dense")
     dealt = F.pmod(F.xxhash64("rep", "tree"), F.ceil(F.col("n") / (most / 2)).cast("long"))
     return done.unionByName(large.select("rep", F.xxhash64("region", dealt).alias("region")))
 
