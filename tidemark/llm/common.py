@@ -88,19 +88,19 @@ _ENCODERS: dict[str, "CachedEncoder"] = {}
 
 #: Fixed value: the word pattern of public word_bpe files, for which plain chunks can be cut without the library.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-PLAIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
-#: Printable ASCII but for <, which can begin a special token, and the letters of Latin-1, which no normal form changes.
-PLAIN = re.compile("[!-;=-~À-ÖØ-öø-ÿ]+")
+PLAIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
+#: ASCII but for <, which can begin a special token, and the letters of Latin-1, which no normal form changes.
+PLAIN_TEXT = re.compile("[ \\t\\n\\r!-;=-~À-ÖØ-öø-ÿ]*")
 
 
 class CachedEncoder:
     """Ids of a tokenizers-library file, computed once per white-space chunk.
 
     The tokenizers handled here drop white space and never join tokens across it, so the ids of a text are those of
-    its chunks in order. Only space and newline are cut at, which every such tokenizer counts as white space. A chunk
-    not met yet is put together from its words where the file's own pattern shows how they are cut (ASCII and Latin-1 letters,
-    lower-cased by the file); words not met yet go to the library, many in one call. Chunks longer than max_len are
-    encoded without being kept; the tables are emptied when they hold max_entries.
+    its chunks in order. Only space and newline are cut at, which every such tokenizer counts as white space. Where the
+    file's own pattern shows how words are cut (texts of ASCII and Latin-1 letters, lower-cased by the file), texts are cut
+    into words at once. Words and chunks not met yet go to the library, many in one call. Those longer than max_len
+    are encoded without being kept; the tables are emptied when they hold max_entries.
     """
 
     def __init__(self, path: str, max_entries: int = 300_000, max_len: int = 48):
@@ -148,49 +148,35 @@ class CachedEncoder:
             out += [raw[i:j] for i, j in zip(ends, ends[1:], strict=False)]
         return out
 
-    def chunks(self, missing: list[str]) -> dict[str, bytes]:
-        if not self.cuts_words:
-            return dict(zip(missing, self.fresh(missing), strict=True))
-        plain = PLAIN.fullmatch
-        cut = {c: PLAIN_WORDS.findall(c.lower()) for c in missing if plain(c)}
-        words = self.words
-        if len(words) > 2 * self.max_entries:
-            words.clear()
-        new = [w for w in set().union(*cut.values()) if w not in words]
-        got = dict(zip(new, self.fresh(new, single=True), strict=True))
-        words.update(got)
-        out = {c: b"".join([words[w] for w in parts]) for c, parts in cut.items()}
-        for w in new:
-            if len(w) > self.max_len:
-                del words[w]
-        other = [c for c in missing if c not in cut]
-        out.update(zip(other, self.fresh(other), strict=True))
-        return out
-
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of the whole text."""
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        """The same for many texts; chunks not met yet are looked up together."""
-        known = self.known
-        if len(known) > self.max_entries:
-            known.clear()
-            known[""] = b""
-        get, held, missing = known.get, [], set()
+        """The same for many texts; words and chunks not met yet are looked up together."""
+        tables = (self.words, self.known)
+        for t in tables:
+            if len(t) > 2 * self.max_entries:
+                t.clear()
+        self.known[""] = b""
+        held, missing = [], (set(), set())
         for t in texts:
-            split = t.replace("\n", " ").split(" ")
-            parts = list(map(get, split))
+            kind = 0 if self.cuts_words and PLAIN_TEXT.fullmatch(t) else 1
+            split = t.replace("\n", " ").split(" ") if kind else PLAIN_WORDS.findall(t.lower())
+            parts = list(map(tables[kind].get, split))
             gaps = [k for k, p in enumerate(parts) if p is None] if None in parts else []
             own = [split[k] for k in gaps]
-            missing.update(own)
-            held.append((parts, gaps, own))
-        fresh = self.chunks(list(missing)) if missing else {}
-        known.update((c, b) for c, b in fresh.items() if len(c) <= self.max_len)
+            missing[kind].update(own)
+            held.append((parts, gaps, own, kind))
+        fresh = []
+        for kind, (table, new) in enumerate(zip(tables, map(list, missing), strict=True)):
+            got = dict(zip(new, self.fresh(new, single=kind == 0), strict=True))
+            table.update((c, b) for c, b in got.items() if len(c) <= self.max_len)
+            fresh.append(got)
         out = []
-        for parts, gaps, own in held:
+        for parts, gaps, own, kind in held:
             for k, c in zip(gaps, own, strict=True):
-                parts[k] = fresh[c]
+                parts[k] = fresh[kind][c]
             out.append(b"".join(parts))
         return out
 
