@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import edges as E
 from tidemark.functions import metrics as M
 from tidemark.functions import sequences as S
-from tidemark.operators import profile, tail, timebuckets
+from tidemark.operators import holdout, profile, tail, timebuckets
 from tidemark.session import table
 from tidemark.sources import adapters, schema
 
@@ -526,3 +526,49 @@ def masked_mean_pooling(spark, d):
 @query("token_mixing", "SELECT CAST(row_number() OVER (ORDER BY h, t, k) - 1 AS BIGINT) AS slot, t AS token, h * 2 + k AS \"offset\" FROM range(4) a(h), range(4) b(t), range(2) c(k)")
 def token_mixing(spark, d):
     return spark.createDataFrame([(i, t, o) for i, (t, o) in enumerate(schema.token_mixing(4, 8))], "slot long, token long, offset long")
+
+
+# ---- documented operators --------------------------------------------------------------------------------------------
+@query("three_way_holdout", f"""WITH {EVENTS}, c AS (SELECT quantile_disc(ts, 0.9) AS c FROM ev)
+SELECT CASE WHEN ts >= c THEN 'time_tail' WHEN CAST('0x' || substr(md5(CAST(user_id AS VARCHAR)), 1, 8) AS BIGINT) % 10 = 0 THEN 'user_hash' ELSE 'train' END AS part, count(*) AS n, count(DISTINCT user_id) AS users FROM ev, c GROUP BY 1""")
+def three_way_holdout(spark, d):
+    ev = adapters.event_tokens(spark, d)
+    cut = ev.agg(F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY ts)").cast("long").alias("c"))
+    parts = holdout.three_way(ev.crossJoin(F.broadcast(cut)), "user_id", "ts", F.col("c"))  # one row
+    return parts.groupBy("part").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
+
+
+@query("frequency_truncation", """WITH c AS (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) SELECT CASE WHEN n >= 35 THEN l_partkey ELSE 0 END AS kept, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY 1""")
+def frequency_truncation(spark, d):
+    ids = table(spark, d, "lineitem").select("l_partkey")
+    return holdout.truncate_by_frequency(ids, "l_partkey", 35).groupBy("kept").agg(F.count("*").alias("n"))
+
+
+@query("hashed_ids", "SELECT CASE WHEN l_partkey <= 0 THEN 0 ELSE CAST('0x' || substr(md5(CAST(l_partkey AS VARCHAR)), 1, 8) AS BIGINT) % 64 + 1 END AS id, count(*) AS n FROM lineitem GROUP BY 1")
+def hashed_ids(spark, d):
+    return table(spark, d, "lineitem").groupBy(holdout.hash_ids(F.col("l_partkey"), 64).alias("id")).agg(F.count("*").alias("n"))
+
+
+@query("quantile_buckets", """WITH v AS (SELECT ln(1 + greatest(value, 0)) AS v FROM events), q AS (SELECT quantile_cont(v, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875]) AS q FROM v)
+SELECT CAST(len(list_filter(q, lambda c: c < v - 1e-12)) AS BIGINT) AS bucket, count(*) AS n FROM v, q GROUP BY 1""")
+def quantile_buckets(spark, d):
+    return holdout.quantile_buckets(table(spark, d, "events").select("value"), "value", 8).groupBy("bucket").agg(F.count("*").alias("n"))
+
+
+@query("bucketed_evaluation", f"WITH {SCORED} SELECT CAST(floor(p * 10) AS BIGINT) AS bucket, count(*) AS n, round(avg(y), 6) AS pos_rate, round(avg(p), 6) AS mean_score FROM sc GROUP BY 1")
+def bucketed_evaluation(spark, d):
+    return rounded(holdout.bucketed_rates(scored(spark, d), F.floor(F.col("p") * 10).cast("long"), "p", "y"))
+
+
+@query("observations_per_row", f"WITH {EVENTS} SELECT count(DISTINCT user_id) AS samples, count(*) AS tokens, count(DISTINCT token) AS ids, round(count(*) / count(DISTINCT user_id), 6) AS per_sample, round(count(*) / count(DISTINCT token), 6) AS per_id FROM ev")
+def observations_per_row(spark, d):
+    return rounded(holdout.observations_per_row(adapters.event_tokens(spark, d), "user_id"))
+
+
+@query("report_order", f"WITH {BASE[False]}, {COVER_SQL}, {REC_SQL} SELECT domain, CAST(k AS BIGINT) AS k, CAST(row_number() OVER (ORDER BY coverage DESC, domain) AS BIGINT) AS place FROM rec_k JOIN cov USING (domain, k)")
+def report_order(spark, d):
+    from pyspark.sql.window import Window
+
+    cover = tail.topk_coverage(counts_of(spark, d, False), KS)
+    best = tail.recommended_k(cover, KS).join(cover, ["domain", "k"])  # a row a domain
+    return best.select("domain", F.col("k").cast("long").alias("k"), F.row_number().over(Window.orderBy(F.col("coverage").desc(), "domain")).cast("long").alias("place"))
