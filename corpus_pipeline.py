@@ -10,19 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup, language_id, near_dedup, packing, quality
-from tidemark.llm.common import documents, stash
+from tidemark.llm.common import documents, ship, stash
 
 #: A document is rejected by the language stage if its prediction is `und` or surer of no language than this.
 LEAST_LANGUAGE = 0.4
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     langs, net = language_id.learn(docs)
     got = language_id.identify(docs, langs, net, "__")
     return got.where((F.col("__lang_pred") != "und") & (F.col("__score") >= LEAST_LANGUAGE)).select(*docs.columns)
 
 
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     model = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score(docs, model, "__").where(F.col("__score") >= quality.REJECT).select(*docs.columns)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,8 +15,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, where neither PYTHONPATH nor the working folder gives it to them."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    inherited = [os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p] + [os.path.realpath(os.getcwd())]
+    if any(os.path.exists(os.path.join(p, "tidemark", "llm", "common.py")) for p in inherited) or _SHIPPED.get(spark.sparkContext.applicationId):
+        return
+    _SHIPPED[spark.sparkContext.applicationId] = True
+    folder = tempfile.mkdtemp(prefix="tidemark-")  # the driver serves the file from here while the session lasts
+    spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(folder, "tidemark"), "zip", root, "tidemark"))
+
+
+_SHIPPED: dict[str, bool] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir; a temporary one is set only where that is unset (tests)."""
+    ship(spark)
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
@@ -37,6 +53,7 @@ def stash(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
