@@ -420,3 +420,26 @@ def test_pipeline(spark, messy, tmp_path):
         stage(spark, messy, SF).count()
     kept = c.keep_one_exact_copy(spark, messy, SF).collect()
     assert sorted(r.doc_id for r in kept) == [1, 2, 5, 6, 7, 8, 9, 10]
+
+
+def test_rows_without_doc_id(spark, texts):
+    """Every operator answers them; see each docstring for how."""
+    rows = [(None, PLAIN), (None, None), (None, "other text here"), (4, PLAIN), (5, "one more")]
+    some = spark.createDataFrame([(*r, None, None) for r in rows], "doc_id long, text string, lang string, source string")
+    none = some.where("doc_id IS NULL")
+    for df in (some, none):
+        n = df.count()
+        assert merkle.fingerprints(df, 3).count() == n
+        assert sharding.shard_documents(df).count() == n
+        near = near_dedup.near_dedup(df).collect()
+        assert len(near) == n
+        assert viterbi.digest(df).count() == n
+        folder = scratch_path(spark, "test")
+        assert token_files.read_token_files(token_files.write_token_files(df, folder, vocabulary("word_bpe_49k.json"), 2), folder).count() == n
+        exact = exact_dedup.exact_dedup(df).collect()
+        assert len(exact) == n and all(r.kept is not None for r in exact)
+        assert language_id.identify(df, *language_id.learn(df)).count() == n
+        assert quality.score(df, None).count() == n
+        assert packing.pack_documents(df).count() == n
+        assert lm_score.score(df, lm_score.learn(df)).count() == n
+    assert {r.component_id for r in near_dedup.near_dedup(some).collect() if r.n_shingles > 10} == {4}

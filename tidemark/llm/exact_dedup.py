@@ -7,7 +7,7 @@ only if they are equal; entries under one key form its chain. Copies are combine
 a third of all rows repeat costs one row a task. The index is written to the shared folder in key order and the
 documents are answered from it.
 
-Defined cases: null text counts as empty; equal doc_id rows are answered each; an empty table gives an empty result;
+Defined cases: null text counts as empty; rows without doc_id stay only where no row of their group has one; equal doc_id rows are answered each; an empty table gives an empty result;
 other columns of the input are ignored.
 """
 
@@ -76,7 +76,7 @@ def exact_dedup(df: DataFrame, capacity: int = 8192, max_depth: int = 12) -> Dat
     index = build_index(df, digests, capacity, max_depth)
     hit = digests.join(index, ["key", "sha"])
     return hit.select(
-        "doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"),
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"), "bucket", "local_depth", "chain",
     )
 

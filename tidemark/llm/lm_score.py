@@ -11,7 +11,7 @@ Training covers all documents: every task masks a pseudo-random MASKED share of
 tasks' weights are averaged by their numbers of positions, entry by entry, in a distributed sum. The common start is
 trained on the driver from the bounded sample START of documents. Then every token of every document is scored.
 
-Defined cases: null text is empty; an empty text has no tokens, sum 0 and mean 0; rows with equal doc_id are scored each;
+Defined cases: null text is empty; an empty text has no tokens, sum 0 and mean 0; rows with equal or no doc_id are scored each;
 an empty table gives no rows; other columns are ignored. Long texts are read in blocks with their surroundings.
 """
 
@@ -211,7 +211,7 @@ def starting_weights(texts: DataFrame, counts: np.ndarray, start: int, passes: i
     trainer = Trainer(net)
     for k in range(passes):
         for r in rows:
-            trainer.add(r.doc_id + 7919 * k, (r.text or "").encode("utf-8", "replace"), 1 / 8)
+            trainer.add((r.doc_id or 0) + 7919 * k, (r.text or "").encode("utf-8", "replace"), 1 / 8)
     trainer.run()
     return net.flat()
 
@@ -223,7 +223,7 @@ def averaged_weights(texts: DataFrame, start: np.ndarray) -> np.ndarray:
         trainer = Trainer(Window.of(start), rate=0.02)
         for b in slices(batches):
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                trainer.add(doc, text.encode("utf-8", "replace"))
+                trainer.add(doc or 0, text.encode("utf-8", "replace"))
         trainer.run()
         if trainer.seen:
             flat = trainer.net.flat().astype(np.float64) * trainer.seen

@@ -9,7 +9,8 @@ common leaves over all leaves, as multisets); differing_leaves walks two trees d
 returns where the edit lies.
 
 Defined cases: null text is empty; an empty text has a root and no leaves, and two texts without leaves are alike if
-equal; rows with equal doc_id are taken in the order of their texts; a table of one document has itself as the next;
+equal; rows with equal doc_id are taken in the order of their texts; rows without doc_id come first,
+and the last document is followed by the first that has one; a table of one document has itself as the next;
 an empty table gives no rows; other columns are ignored.
 
 The next document is found without a global sort: doc_ids are cut into ranges at approximate quantiles, each range goes
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, slices, text_or_empty
+from tidemark.llm.common import batch_of, documents, slices, text_or_empty
 
 SECTION_EVERY = 8
 SHORT_LINE = 16
@@ -145,6 +146,7 @@ def edited(text: str, following: str) -> str:
 
 
 FIELDS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+OUT = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[t]) for n, t in (f.split() for f in FIELDS.split(", "))])
 
 
 def in_ranges(df: DataFrame, ranges: int) -> DataFrame:
@@ -158,12 +160,12 @@ def in_ranges(df: DataFrame, ranges: int) -> DataFrame:
         from pyspark.ml.feature import Bucketizer
 
         splits = [float("-inf"), *sorted({float(c) for c in cuts}), float("inf")]
-        cut = lambda d: Bucketizer(splits=splits, inputCol="__at", outputCol="__range").transform(d.withColumn("__at", F.col("doc_id").cast("double"))).drop("__at")
+        cut = lambda d: Bucketizer(splits=splits, inputCol="__at", outputCol="__range").transform(d.withColumn("__at", F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf"))))).drop("__at")
         df, ids = cut(df), cut(ids)
-        here = F.col("__range").cast("int")
-    firsts = sorted((r.range, r.first) for r in ids.groupBy(here.alias("range")).agg(F.min("doc_id").alias("first")).collect())  # a row a range
-    if not firsts:
-        return df.select(F.lit(0).alias("range"), F.lit(False).alias("ahead"), "doc_id", "text").limit(0)
+        here = F.coalesce(F.col("__range").cast("int"), F.lit(0))
+    firsts = sorted((r.range, r.first) for r in ids.groupBy(here.alias("range")).agg(F.min("doc_id").alias("first")).where("first IS NOT NULL").collect())  # a row a range
+    if not firsts:  # no rows, or none with a doc_id
+        return df.select(F.lit(0).alias("range"), F.lit(False).alias("ahead"), "doc_id", "text")
     before = [(first, firsts[k - 1][0]) for k, (_, first) in enumerate(firsts)]  # the last range is followed by the first row of all
     borders = spark.createDataFrame(before, "doc_id long, back int")
     own = df.select(here.alias("range"), "doc_id", "text")
@@ -181,7 +183,7 @@ def fingerprints(df: DataFrame, ranges: int | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # one range after another; in each its own rows in order, then the copies of the next range's first row
-        held = None
+        held = start = None
         closed = True
         printer = Printer()
 
@@ -200,9 +202,11 @@ def fingerprints(df: DataFrame, ranges: int | None = None) -> DataFrame:
                 now = (doc, text, printer.fingerprint(text))
                 if held is not None and not closed:
                     out.append(row(held, now))
-                held, closed = now, ahead
+                held, closed, start = now, ahead, start or now
             if out:
-                yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*out, strict=True)), strict=True)))
+                yield batch_of(OUT, dict(zip(names, map(list, zip(*out, strict=True)), strict=True)))
+        if held is not None and not closed:  # only rows without doc_id: they follow each other in a ring
+            yield batch_of(OUT, {n: [v] for n, v in zip(names, row(held, start), strict=True)})
 
     dealt = in_ranges(text_or_empty(df), ranges).repartitionByRange(ranges, "range").sortWithinPartitions("range", "ahead", "doc_id", "text")
     return dealt.mapInArrow(run, FIELDS)

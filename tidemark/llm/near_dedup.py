@@ -18,7 +18,7 @@ A link of similarity J is missed by one tree with probability 1 - J^depth; with
 is missed in one of 10^6 cases, and a component only falls apart if all its joining links are.
 
 Defined cases: null or blank texts have empty sets, size 0, and are linked with nothing; repeated rows (equal doc_id)
-are one document and are answered once a row; an empty table gives no rows; other columns are ignored; ties do not occur
+are one document and are answered once a row; rows without doc_id join the class of their text and name none; an empty table gives no rows; other columns are ignored; ties do not occur
 (components are named by their smallest doc_id).
 """
 
@@ -314,7 +314,7 @@ def near_dedup(df: DataFrame, percent: int = 85, most: int = 1024, least: float
     named = classes.join(joined, "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
     alone = sketch.where(F.col("set_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     full = sketch.where(F.col("set_id").isNotNull()).join(named, "set_id").select("doc_id", "n_shingles", "component_id")
-    return full.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return full.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

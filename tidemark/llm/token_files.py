@@ -7,7 +7,7 @@ memory-mapped sequence is a view of the file. A second Arrow file beside it list
 document. Files are named by an attempt of their own; only those of committed tasks reach the manifest, so a lost
 executor leaves no duplicate. Ids are stored in 16 bits where the vocabulary allows it.
 
-Defined cases: null text is empty and yields just the end id; rows with equal doc_id are ordered by their text; an
+Defined cases: null text is empty and yields just the end id; rows with equal doc_id are ordered by their text, rows without one come first; an
 empty table gives no file and no row; other columns are ignored.
 """
 
@@ -131,7 +131,7 @@ def write_token_files(df: DataFrame, folder: str, vocabulary: Callable[[], str],
             tokens.close()
             index.close()
             out.close()
-            yield pa.RecordBatch.from_pydict({"path": [name], "first_doc": [first], "n_docs": [docs], "n_ids": [tokens.total]})
+            yield pa.RecordBatch.from_arrays([pa.array([name]), *(pa.array([v], pa.int64()) for v in (first, docs, tokens.total))], names=["path", "first_doc", "n_docs", "n_ids"])
 
     ordered = text_or_empty(df).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return stash(ordered.mapInArrow(write, "path string, first_doc long, n_docs long, n_ids long"), "manifest")
