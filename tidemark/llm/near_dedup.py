@@ -307,8 +307,8 @@ def near_dedup(df: DataFrame, percent: int = 85, most: int = 1024, least: float
     classes = stash(classes, "classes")
     reps = stash(sketch.join(classes, "set_id").where(F.col("doc_id") == F.col("rep")).select("rep", "minima").dropDuplicates(["rep"]), "reps")
     found = clusters(regions(reps, most), reps, least)
-    wanted = found.select("rep").distinct()
-    own = docs.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    wanted = found.select("rep").distinct()  # grows with the input: never broadcast, the same plan at every size
+    own = docs.join(wanted.withColumnRenamed("rep", "doc_id").hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = stash(shingle_sets(own), "sets", "none")
     joined = components(confirmed(found, sets, percent)).withColumnRenamed("node", "rep")
     named = classes.join(joined, "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
