@@ -32,14 +32,14 @@ def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def keep_one_exact_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row with the largest doc_id of each group of equal texts; of rows that repeat both, one."""
     found = stash(exact_dedup.exact_dedup(docs).select("doc_id", "kept"), "exact")
-    left = docs.join(found.where(~F.col("kept")).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(found.where(~F.col("kept")).select("doc_id").hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     repeated = found.groupBy("doc_id").count().where("count > 1")
     return left if repeated.isEmpty() else left.dropDuplicates(["doc_id", "text"])
 
 
 def keep_one_near_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each component."""
-    dropped = near_dedup.near_dedup(docs).where(~F.col("kept")).select("doc_id")
+    dropped = near_dedup.near_dedup(docs).where(~F.col("kept")).select("doc_id").hint("merge")
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 
