@@ -167,6 +167,32 @@ def test_near_dedup_against_brute_force(spark, most):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_near_dedup_fringe_of_a_cloud(spark):
+    """Texts with one link each to a cloud of near copies that is too large for a region at any depth, and unlinked texts beside them."""
+    rng = np.random.default_rng(9)
+    base = [f"w{x}" for x in rng.permutation(400)]
+
+    def edited(text, n):
+        out = list(text)
+        for p in rng.choice(np.arange(6, 390, 6), n, replace=False):
+            out[p] = f"x{rng.integers(0, 1 << 40)}"
+        return out
+
+    cloud = [edited(base, 2) for _ in range(3000)]
+    fringe = [edited(cloud[50 * k], 6) for k in range(60)]
+    far = [edited(base, 10) for _ in range(20)]
+    texts = [" ".join(t) for t in [*cloud, *fringe, *far]]
+    sets = [set(map(hash, shingles(t))) for t in texts]
+    linked = lambda a, b: 100 * (k := len(a & b)) >= 85 * (len(a) + len(b) - k)
+    assert all(linked(sets[0], s) for s in sets[:3000])
+    links = [sum(linked(f, s) for s in sets[:3000]) for f in sets[3000:]]
+    assert min(links[:60]) == 1 and np.median(links[:60]) == 1 and max(links[60:]) == 0
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_dedup(df, most=256).collect()}
+    assert sum(got[i] != 0 for i in range(3060)) == 0
+    assert all(got[i] == i for i in range(3060, 3080))
+
+
 def test_near_dedup_messy(messy, empty):
     got = near_dedup.near_dedup(messy).collect()
     want = brute_components([r[:2] for r in messy_rows()])

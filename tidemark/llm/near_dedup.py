@@ -7,12 +7,16 @@
    Representatives of regions that hold more than `most` of them go on to greater depths (3, 6, 12, 24, 48 minima), so
    depth follows the local density, and to more trees (16, 32, 64, 96, 96), which makes up for what depth costs in
    recall; a region still too large at the last depth holds near-equal sets, and is dealt out by a hash that differs in
-   each tree. Neighbours by longest common prefix always meet in their deepest region.
+   each tree. Neighbours by longest common prefix always meet in their deepest region. The greater depths only join the
+   bulk of a dense region cheaply; what they miss is found in step 5.
 3. In each region, signatures are compared and documents whose estimated similarity to any other is under a bound are left out;
    what is left falls into clusters. A cluster that several trees find is taken once.
 4. The full sets of each cluster's documents are brought together and compared exactly; what is reported is a spanning
    forest of the links, never all pairs.
-5. Components by alternating minimum propagation and pointer jumping, a written table a round.
+5. Components by alternating minimum propagation and pointer jumping, a written table a round. Then every region of the
+   first depth that was too large is gone through whole: each member outside the region's largest component meets every
+   other member in some cell (a block of the former beside a block of all), pairs of different components are compared
+   as in steps 3 and 4, and the links found are added. So every pair of a first region is either in one component or compared.
 
 A link of similarity J is missed by one tree with probability 1 - J^depth; with 16 trees at depth 3 a link at the threshold of 0.85
 is missed in one of 10^6 cases, and a component only falls apart if all its joining links are.
@@ -138,9 +142,9 @@ def prefix_hashes(reps: DataFrame, depth: int, trees: int) -> DataFrame:
     return reps.select("rep", "minima").mapInArrow(run, "rep long, tree int, region long")
 
 
-def regions(reps: DataFrame, most: int) -> DataFrame:
-    """rep, region: of every region that holds 2 to `most` representatives, at the depth its density asks for."""
-    done, open_ = None, reps
+def regions(reps: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """rep, region: of every region that holds 2 to `most` representatives, at the depth its density asks for; and of the larger ones of the first depth, if any."""
+    done, first, open_ = None, None, reps
     for depth, trees in LEVELS:
         keyed = prefix_hashes(open_, depth, trees)
         sizes = keyed.groupBy("region").agg(F.count("*").alias("n")).where("n > 1")
@@ -149,10 +153,28 @@ def regions(reps: DataFrame, most: int) -> DataFrame:
         done = fit if done is None else done.unionByName(fit)
         large = placed.where(F.col("n") > most)
         if large.isEmpty():
-            return done
+            return done, first
+        first = large.select("rep", "region") if first is None else first
         open_ = stash(reps.join(large.select("rep").distinct(), "rep", "left_semi"), "dense")
     dealt = F.pmod(F.xxhash64("rep", "tree"), F.ceil(F.col("n") / (most / 2)).cast("long"))
-    return done.unionByName(large.select("rep", F.xxhash64("region", dealt).alias("region")))
+    return done.unionByName(large.select("rep", F.xxhash64("region", dealt).alias("region"))), first
+
+
+def crossings(first: DataFrame, joined: DataFrame, most: int) -> DataFrame:
+    """rep, region, component: cells of at most about `most` members in which all pairs of different components of a region meet."""
+    named = joined.select(F.col("node").alias("rep"), "component")
+    placed = stash(first.join(named, "rep", "left").select("rep", "region", F.coalesce("component", "rep").alias("component")), "crossed")
+    sizes = placed.groupBy("region", "component").agg(F.count("*").alias("n"))
+    plan = sizes.groupBy("region").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top"))
+    plan = plan.select("region", F.col("top.component").alias("top"), F.col("n"), (F.col("n") - F.col("top.n")).alias("rest")).where("rest > 0")
+    block = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(most / 2))).cast("int")
+    at = placed.join(plan.select("region", "top", block(F.col("n")).alias("all"), block(F.col("rest")).alias("few")), "region")
+    own = lambda blocks: F.pmod(F.xxhash64("rep"), F.col(blocks).cast("long")).cast("int")
+    here = at.select("rep", "region", "component", F.posexplode(F.sequence(F.lit(1), F.col("few"))).alias("i", "_"), own("all").alias("j"))
+    rest = at.where(F.col("component") != F.col("top"))
+    there = rest.select("rep", "region", "component", own("few").alias("i"), F.posexplode(F.sequence(F.lit(1), F.col("all"))).alias("j", "_"))
+    cells = here.select("rep", "region", "component", "i", "j").unionByName(there.select("rep", "region", "component", "i", "j"))
+    return cells.select("rep", F.xxhash64("region", "i", "j").alias("region"), "component").distinct()
 
 
 def groups_of(linked: np.ndarray) -> np.ndarray:
@@ -180,7 +202,11 @@ def estimates(m: np.ndarray) -> np.ndarray:
 
 
 def clusters(members: DataFrame, reps: DataFrame, least: float) -> DataFrame:
-    """cluster, rep: groups within a region that estimates join; the same group from several trees has the same name."""
+    """cluster, rep: groups within a region that estimates join; the same group from several trees has the same name.
+
+    Where members have a component, only pairs of different components are joined.
+    """
+    crossing = "component" in members.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, ids = [], []
@@ -189,7 +215,10 @@ def clusters(members: DataFrame, reps: DataFrame, least: float) -> DataFrame:
                 continue
             rep = t.column("rep").to_numpy()
             m = np.frombuffer(b"".join(t.column("minima").to_pylist()), dtype=np.uint32).reshape(-1, MINIMA)
-            if len(m) == 2:
+            if crossing:
+                c = t.column("component").to_numpy()
+                comp = groups_of((c[:, None] != c[None, :]) & (estimates(m) >= least * MINIMA))
+            elif len(m) == 2:
                 comp = np.array([0, 0]) if (m[0] == m[1]).sum() >= least * MINIMA else np.array([0, 1])
             else:
                 comp = groups_of(estimates(m) >= least * MINIMA)
@@ -293,6 +322,13 @@ def components(links: DataFrame) -> DataFrame:
         label = new
 
 
+def links_within(docs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """a, b: verified links of the clusters found."""
+    wanted = found.select("rep").distinct()  # grows with the input: never broadcast, the same plan at every size
+    own = docs.join(wanted.withColumnRenamed("rep", "doc_id").hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return confirmed(found, stash(shingle_sets(own), "sets", "none"), percent)
+
+
 def near_dedup(df: DataFrame, percent: int = 85, most: int = 1024, least: float = 0.70) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
@@ -306,11 +342,14 @@ def near_dedup(df: DataFrame, percent: int = 85, most: int = 1024, least: float
     classes = sketch.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("rep"))
     classes = stash(classes, "classes")
     reps = stash(sketch.join(classes, "set_id").where(F.col("doc_id") == F.col("rep")).select("rep", "minima").dropDuplicates(["rep"]), "reps")
-    found = clusters(regions(reps, most), reps, least)
-    wanted = found.select("rep").distinct()  # grows with the input: never broadcast, the same plan at every size
-    own = docs.join(wanted.withColumnRenamed("rep", "doc_id").hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = stash(shingle_sets(own), "sets", "none")
-    joined = components(confirmed(found, sets, percent)).withColumnRenamed("node", "rep")
+    members, first = regions(reps, most)
+    links = links_within(docs, clusters(members, reps, least), percent)
+    joined = components(links)
+    if first is not None:
+        found = clusters(crossings(first, joined, most), reps, least)
+        if not found.isEmpty():
+            joined = components(links.unionByName(links_within(docs, found, percent)).distinct())
+    joined = joined.withColumnRenamed("node", "rep")
     named = classes.join(joined, "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
     alone = sketch.where(F.col("set_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     full = sketch.where(F.col("set_id").isNotNull()).join(named, "set_id").select("doc_id", "n_shingles", "component_id")
