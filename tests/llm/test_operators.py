@@ -421,6 +421,19 @@ def test_lm_score(messy, empty, docs, texts):
     assert lm_score.score(empty, weights).count() == 0 and len(lm_score.learn(empty)) == len(weights)
 
 
+def test_lm_training_covers_every_position(monkeypatch):
+    data = [bytes(97 + k % 23 for k in range(n)) for n in (1, 5, 31, 32, 257, 3 * lm_score.BLOCK + 7)]
+    got = []
+    monkeypatch.setattr(lm_score.Window, "step", lambda self, x, y, rate, memory: got.extend(y.tolist()) or 0.0)
+    for d in data:
+        assert sorted(lm_score.masked(7, len(d), lm_score.MASKED).tolist()) == list(range(len(d)))
+    trainer = lm_score.Trainer(lm_score.Window(np.ones(256)))
+    for k, d in enumerate(data):
+        trainer.add(k, d)
+    trainer.run()
+    assert Counter(got) == Counter(b"".join(data)) and trainer.seen == sum(map(len, data))
+
+
 # the pipeline
 def test_pipeline(spark, messy, tmp_path):
     import corpus_pipeline as c

@@ -6,10 +6,10 @@ of the 2 * SIDE positions, passes the sum through tanh, and predicts the token i
 bits: the low half sees the high half through a gate, so the product is a proper distribution over all 256 values.
 Prior log-odds come from the token counts of the whole corpus.
 
-Training covers all documents: every task masks a pseudo-random MASKED share of the positions of each of its documents
-(never the same few: positions follow from doc_id) and runs stochastic gradient steps from common initial weights; the
-tasks' weights are averaged by their numbers of positions, entry by entry, in a distributed sum. The common start is
-trained on the driver from the bounded sample START of documents. Then every token of every document is scored.
+Training covers every position of every document once: every task runs stochastic gradient steps over all positions of
+its documents from common initial weights; the tasks' weights are averaged by their numbers of positions, entry by entry,
+in a distributed sum. The common start is trained on the driver from one position in eight, six times, of the bounded
+sample START of documents, read whole. Then every token of every document is scored.
 
 Defined cases: null text is empty; an empty text has no tokens, sum 0 and mean 0; rows with equal or no doc_id are scored each;
 an empty table gives no rows; other columns are ignored. Long texts are read in blocks with their surroundings.
@@ -28,7 +28,7 @@ from tidemark.llm.common import documents, slices, stash, text_or_empty
 
 SIDE = 3
 HIDDEN = 24
-MASKED = 1 / 16
+MASKED = 1
 START = 400
 BLOCK = 8_192
 PAD = 256  # the value beyond either end of a document
@@ -166,12 +166,14 @@ class Trainer:
     def add(self, doc_id: int, data: bytes, share: float = MASKED) -> None:
         if not data:
             return
-        t, at = padded(data), masked(doc_id, len(data), share)
-        self.x.append(surroundings(t, at))
-        self.y.append(t[at + SIDE])
-        self.n += len(at)
-        if self.n >= 8 * self.batch:
-            self.run()
+        t, every = padded(data), masked(doc_id, len(data), share)
+        for i in range(0, len(every), BLOCK):
+            at = every[i : i + BLOCK]
+            self.x.append(surroundings(t, at))
+            self.y.append(t[at + SIDE])
+            self.n += len(at)
+            if self.n >= 8 * self.batch:
+                self.run()
 
     def run(self) -> None:
         if not self.n:
@@ -201,13 +203,12 @@ def corpus_counts(texts: DataFrame) -> np.ndarray:
 
 
 def starting_weights(texts: DataFrame, counts: np.ndarray, start: int, passes: int = 6) -> np.ndarray:
-    """Common start of all tasks, from at most `start` documents (by hash order) of which at most 4000 characters each are read."""
+    """Common start of all tasks, from at most `start` documents (by hash order), read whole."""
     net = Window(counts)
     n = texts.select("doc_id").count()
     share = min(1.0, 2.0 * start / max(1, n))
     some = texts.where(F.pmod(F.xxhash64("doc_id", F.lit("lm")), F.lit(1 << 30)) < int(share * (1 << 30)))
-    cut = F.substring("text", (F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - 4000, F.lit(0)).cast("long") + 1) + 1).cast("int"), F.lit(4000))
-    rows = some.select("doc_id", cut.alias("text")).orderBy("doc_id").limit(start).collect()
+    rows = some.select("doc_id", "text").orderBy("doc_id").limit(start).collect()
     trainer = Trainer(net)
     for k in range(passes):
         for r in rows:
