@@ -102,6 +102,21 @@ def test_sharding(messy, empty, docs, texts):
     assert {"shard", "slot", "file"} <= set(sharding.shuffle_into_shards(messy).columns)
 
 
+def test_sharding_moves_whole_documents(messy, docs, texts, monkeypatch):
+    moved, plans = [], []
+    shuffle, plan = sharding.shuffle_into_shards, sharding.block_plan
+    monkeypatch.setattr(sharding, "shuffle_into_shards", lambda df, *a, **b: moved.append(df.columns) or shuffle(df, *a, **b))
+    monkeypatch.setattr(sharding, "block_plan", lambda *a: plans.append(plan(*a)) or plans[-1])
+    mean = sum(len(t.encode()) for t in texts.values()) / len(texts)
+    got = sharding.shard_documents(docs, block_bytes=int(3 * mean)).collect()
+    check_shards(got, len(texts))
+    assert moved[-1] == docs.columns and plans[-1][0].max() <= 3
+    rows = sharding.shuffle_into_shards(messy, block_bytes=1).collect()
+    check_shards(rows, 13)
+    plain = lambda r: tuple(str(r[c]) for c in messy.columns if c != "shard")
+    assert Counter(map(plain, rows)) == Counter(map(plain, messy.collect()))
+
+
 def test_communication_matrix():
     sizes, blocks = [5, 0, 40, 7], np.array([13, 13, 13, 13])
     m = np.array([sharding.matrix_row(sizes, blocks, k, 3) for k in range(4)])

@@ -3,7 +3,7 @@
 Rows are pinned to numbered partitions by a checkpoint. How many rows of partition i go to block j is row i of a random
 matrix with the partition sizes as row sums and the block sizes as column sums, drawn from the multivariate
 hypergeometric law, so every arrangement of rows is as likely as any other. A shard is a run of blocks of at most
-block_rows rows; a block is a range of slots of its shard, which bounds what one task sorts, at any shard size. Each
+block_rows rows, or fewer if rows are long: a block is expected to hold block_bytes bytes at most. A block is a range of slots of its shard, which bounds what one task sorts, at any shard size. Each
 task draws its own matrix row by splitting the column sums down a binary tree over the partitions, with a generator
 seeded by the tree node; no process holds the matrix.
 
@@ -83,7 +83,14 @@ def block_plan(rows: int, shards: int, block_rows: int) -> tuple[np.ndarray, np.
     return np.array(size, dtype=np.int64), np.array(shard, dtype=np.int32), np.array(first, dtype=np.int64)
 
 
-def shuffle_into_shards(df: DataFrame, shards: int = 16, seed: int = 20_231, block_rows: int = 65_536) -> DataFrame:
+def row_bytes(df: DataFrame):
+    """About the bytes of a row: of its texts, and 8 for each other plain column."""
+    held = lambda f: F.octet_length(f"`{f.name}`" if isinstance(f.dataType, (T.StringType, T.BinaryType)) else F.col(f"`{f.name}`").cast("string"))
+    parts = [F.lit(8) if isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DatetimeType)) else F.coalesce(held(f), F.lit(0)) for f in df.schema]
+    return sum((p.cast("long") for p in parts), F.lit(0).cast("long"))
+
+
+def shuffle_into_shards(df: DataFrame, shards: int = 16, seed: int = 20_231, block_rows: int = 65_536, block_bytes: int = 32 << 20) -> DataFrame:
     """df with shard (0 to shards-1) and slot (gapless from 0 in each shard), in uniformly random order.
 
     Columns of df that are called shard or slot are replaced.
@@ -91,9 +98,11 @@ def shuffle_into_shards(df: DataFrame, shards: int = 16, seed: int = 20_231, blo
     spark, df = df.sparkSession, df.drop("shard", "slot")
     spark.sparkContext.setCheckpointDir(scratch_dir(spark))
     pinned = df.checkpoint()
-    counts = {r.p: r.n for r in pinned.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()}  # a row a partition
+    found = pinned.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.sum(row_bytes(pinned)).alias("bytes")).collect()  # a row a partition
+    counts = {r.p: r.n for r in found}
     sizes = [counts.get(p, 0) for p in range(max(counts, default=-1) + 1)]
-    blocks, shard_of, first = block_plan(sum(sizes), shards, block_rows)
+    fitting = block_bytes * sum(sizes) // max(1, sum(r.bytes for r in found))  # rows of the mean length
+    blocks, shard_of, first = block_plan(sum(sizes), shards, max(1, min(block_rows, fitting)))
     carried = [f.name for f in df.schema]
     extra = [("__block", "long"), ("__from", "long"), ("__at", "long")]
     sent_schema = T.StructType([*df.schema.fields, *(T.StructField(n, T.LongType()) for n, _ in extra)])
@@ -126,11 +135,11 @@ def shuffle_into_shards(df: DataFrame, shards: int = 16, seed: int = 20_231, blo
 
 
 def shard_documents(df: DataFrame, shards: int = 16, **options) -> DataFrame:
-    """doc_id, size, text_crc32 and the place of every document."""
+    """doc_id, size, text_crc32 and the place of every document, from the whole documents that reached the shards."""
+    placed = shuffle_into_shards(df, shards, **options)
     text = F.coalesce(F.col("text"), F.lit(""))
-    digest = df.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    placed = shuffle_into_shards(digest, shards, **options)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    digest = [F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")]
+    return placed.select(*digest, F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
