@@ -368,6 +368,16 @@ def test_quality(spark, messy, empty):
     assert quality.learn(empty, labels) is None and quality.learn(docs, labels.where("quality = 1")) is None
 
 
+def test_co_training_gives_new_documents_each_round():
+    rng = np.random.default_rng(4)
+    y = np.repeat([0.0, 1.0], 40)
+    views = [np.c_[y * 4 - 2 + rng.normal(0, 0.2, 80), np.ones(80)] for _ in range(2)]
+    truth = rng.integers(0, 2, 200) * 4.0 - 2
+    pool = [np.c_[truth + rng.normal(0, 0.2, 200), np.ones(200)] for _ in range(2)]
+    counts = [quality.co_train(views, y, pool, rounds, 20, 0.6)[1] for rounds in (1, 2, 3, 4)]
+    assert counts == [[20 * r, 20 * r] for r in (1, 2, 3, 4)]
+
+
 # 9 packing
 def check_packing(rows, texts, library, capacity):
     by = {}

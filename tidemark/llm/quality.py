@@ -131,6 +131,7 @@ def co_train(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rou
         for k, model in enumerate(models):
             p = 1 / (1 + np.exp(-np.clip(model.logit(pool[k]), -30, 30)))
             order = np.argsort(-p)
+            order = order[[i not in given[1 - k] for i in order.tolist()]]  # only what the other view has not been given
             good = [i for i in order[: max(1, int(grow * rate))].tolist() if p[i] >= sure]
             bad = [i for i in order[::-1][: max(1, int(grow * (1 - rate)))].tolist() if p[i] <= 1 - sure]
             for i, label in [*((i, 1) for i in good), *((i, 0) for i in bad)]:
