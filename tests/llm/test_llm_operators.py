@@ -208,6 +208,40 @@ def test_near_dedup_fringe_of_a_cloud(spark):
     assert all(got[i] == i for i in range(3060, 3080))
 
 
+def test_near_dedup_of_a_template(spark):
+    """1,500 pages from one template and 30 pages at the threshold to every one of them, at production parameters."""
+    base = [f"w{k}" for k in range(400)]
+    pages = [" ".join([*base[:-1], f"own{k}"]) for k in range(1500)]
+    fringe = [" ".join([*base[:370], *(f"f{k}x{i}" for i in range(30))]) for k in range(30)]
+    rows = list(enumerate([*pages, *fringe]))
+    assert brute_components([rows[0], rows[1], rows[1500], rows[1501]])[1500][1] == 0
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 1530 and {r.component_id for r in got} == {0}
+
+
+def test_near_dedup_compares_large_sets_in_cells(spark, monkeypatch):
+    rows = near_copies(copies=12)
+    want = brute_components(rows)
+    own, size = np.arange(7), np.array([10, 900, 5, 5, 2000, 1, 300])
+    monkeypatch.setattr(near_dedup, "CELL_BYTES", 16_000)
+    met = {(a, b) for c in near_dedup.cells(own, size) for a in c.tolist() for b in c.tolist()}
+    assert len(met) == 49
+    got = {r.doc_id: r.component_id for r in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), percent=80).collect()}
+    sets = {i: shingles(t) for i, t in rows}
+    for a in sets:
+        for b in sets:
+            k = len(sets[a] & sets[b])
+            assert got[a] == got[b] or 100 * k < 80 * (len(sets[a]) + len(sets[b]) - k)
+    assert all(got[i] <= v[1] for i, v in want.items())
+
+
+def test_near_dedup_of_one_doc_id_with_several_texts(spark):
+    other = "a wholly different text of some words that share nothing with any other one here"
+    rows = [(1, PLAIN), (1, other), (3, other + " ok"), (2, PLAIN + " now"), (0, "x y z a b c d e f g")]
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), percent=80).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(0, 0), (1, 1), (1, 1), (2, 1), (3, 1)]
+
+
 def test_near_dedup_messy(messy, empty):
     got = near_dedup.near_dedup(messy).collect()
     want = brute_components([r[:2] for r in messy_rows()])
@@ -507,3 +541,46 @@ def test_rows_without_doc_id(spark, texts):
         assert packing.pack_documents(df).count() == n
         assert lm_score.score(df, lm_score.learn(df)).count() == n
     assert {r.component_id for r in near_dedup.near_dedup(some).collect() if r.n_shingles > 10} == {4}
+
+
+# every registered query
+def test_oracles(spark):
+    """The queries that SQL can express, against DuckDB on whole tables."""
+    import duckdb
+
+    from tidemark.llm import registry
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for name, sql in registry.ORACLES.items():
+        df, out = registry.QUERIES[name](spark, SF), con.sql(sql)
+        names = sorted(out.columns)
+        assert sorted(df.columns) == names
+        at = [out.columns.index(c) for c in names]
+        assert sorted(tuple(r[c] for c in names) for r in df.collect()) == sorted(tuple(r[k] for k in at) for r in out.fetchall()), name
+
+
+#: Columns of the queries, as their contracts name them.
+COLUMNS = {
+    "op1_merkle": "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
+    "op2_sharding": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
+    "op3_near_dedup": "doc_id bigint, n_shingles bigint, component_id bigint, kept boolean",
+    "op5_token_files": "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
+    "op6_exact_dedup": "doc_id bigint, keep_id bigint, group_size bigint, kept boolean, text_sha256 string",
+    "op7_language_id": "doc_id bigint, held_out boolean, lang_pred string, score double",
+    "op9_packing": "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
+}
+
+
+def test_registered_queries(spark, texts):
+    from tidemark.llm import registry
+
+    assert len(registry.QUERIES) == 11
+    for name, run in registry.QUERIES.items():
+        df = run(spark, SF)
+        kinds = dict(df.dtypes)
+        for part in COLUMNS.get(name, "doc_id bigint").split(", "):
+            column, kind = part.split()
+            assert kinds[column] == kind, (name, column)
+        ids = {r.doc_id for r in df.select("doc_id").collect()}
+        assert ids == set(texts) if name != "pipeline" else ids < set(texts), name

@@ -49,7 +49,29 @@ def stash(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Cut lineage: write df as Parquet to the shared folder and read it back. Survives lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stashed_at = path
+    return out
+
+
+def forget(*stashed: DataFrame | None) -> None:
+    """Delete stashed tables that nothing will read any more."""
+    for df in stashed:
+        if path := getattr(df, "_stashed_at", None):
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: At most so many keys can each hold more than one in HOT of all rows: the proven bound of a broadcast of hot keys.
+HOT = 1024
+
+
+def join_hot(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """rows joined with groups (one row a key, with its number of rows in `size`). Keys that hold more than one in HOT of
+    all rows are at most HOT keys: they are broadcast, so that their rows stay where they are; all others meet by shuffle."""
+    line = max(1, total // HOT)
+    hot, plain = groups.where(F.col(size) > line), groups.where(F.col(size) <= line)
+    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(plain.hint("merge"), keys))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,47 +1,60 @@
 """MinHash near-dedup with an LSH forest.
 
 1. A document's set: the 64-bit hashes of its distinct five-word shingles (words after lower-casing A-Z; fewer words: the
-   whole sequence). Documents with equal sets are one class; only one representative a class goes on, so exact copies
-   cost one row each however many there are.
-2. Forest: each tree is an order of the signature's minima; documents that share the first `depth` minima form a region.
-   Representatives of regions that hold more than `most` of them go on to greater depths (3, 6, 12, 24, 48 minima), so
-   depth follows the local density, and to more trees (16, 32, 64, 96, 96), which makes up for what depth costs in
-   recall; a region still too large at the last depth holds near-equal sets, and is dealt out by a hash that differs in
-   each tree. Neighbours by longest common prefix always meet in their deepest region. The greater depths only join the
-   bulk of a dense region cheaply; what they miss is found in step 5.
-3. In each region, signatures are compared and documents whose estimated similarity to any other is under a bound are left out;
-   what is left falls into clusters. A cluster that several trees find is taken once.
+   whole sequence). Documents with equal sets are one class; classes are numbered, and only one representative a class
+   goes on, so exact copies cost one row each however many there are.
+2. Forest: each tree is an order of the signature's minima, and sorts the signatures by it. A region is a run of a tree's
+   sorted order whose members have a longest common prefix of `depth` minima or more. Depth follows the local density:
+   members of regions that hold more than `most` go on to the next of DEPTHS, with as many trees as keep the chance that a
+   pair at the threshold meets in no tree under MISS. Regions that are still too large at the last depth are sorted by
+   their trees' further minima, whatever their size (a range sort over many tasks), and cut where neighbours have the
+   shortest common prefix into runs of at most `most`; that joins their bulk. What it misses is found in step 5.
+3. In each region, signatures are compared and documents whose estimated similarity to any other is under a bound are left
+   out; what is left falls into clusters. A cluster that several trees find is taken once. Clusters whose sets exceed
+   CELL_BYTES are cut into blocks, and every two blocks meet in a cell of their own.
 4. The full sets of each cluster's documents are brought together and compared exactly; what is reported is a spanning
    forest of the links, never all pairs.
 5. Components by alternating minimum propagation and pointer jumping, a written table a round. Then every region of the
-   first depth that was too large is gone through whole: each member outside the region's largest component meets every
+   last depth that was too large is gone through whole: each member outside the region's largest component meets every
    other member in some cell (a block of the former beside a block of all), pairs of different components are compared
-   as in steps 3 and 4, and the links found are added. So every pair of a first region is either in one component or compared.
+   as in steps 3 and 4, and the links found are added.
 
-A link of similarity J is missed by one tree with probability 1 - J^depth; with 16 trees at depth 3 a link at the threshold of 0.85
-is missed in one of 10^6 cases, and a component only falls apart if all its joining links are.
+So a link at the threshold is lost with a probability of about MISS, in dense regions and elsewhere; a component only falls
+apart if all its joining links are. Cost in proportion to the square of a region's size arises only where more than `most`
+texts share the last depth's minima without being linked.
 
-Defined cases: null or blank texts have empty sets, size 0, and are linked with nothing; repeated rows (equal doc_id)
-are one document and are answered once a row; rows without doc_id join the class of their text and name none; an empty table gives no rows; other columns are ignored; ties do not occur
-(components are named by their smallest doc_id).
+Defined cases: null or blank texts have empty sets, size 0, and are linked with nothing; repeated rows are answered once
+a row; rows of equal doc_id and different texts are told apart by their texts, each answered for its own text; rows without
+doc_id join the class of their text and name none; an empty table gives no rows; other columns are ignored; ties do not
+occur (components are named by their smallest doc_id).
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, scratch_dir, slices, sorted_groups, stash, text_or_empty
+from tidemark.llm.common import documents, forget, join_hot, scratch_dir, slices, sorted_groups, stash, text_or_empty
 
 WORDS = 5
 MINIMA = 128
-#: (depth, trees): representatives of regions that are too large go on to more trees of the next depth.
-LEVELS = ((3, 16), (6, 32), (12, 64), (24, 96), (48, 96))
+DEPTHS = (3, 6, 12)
+#: Chance that a pair at the threshold meets in no tree of a depth.
+MISS = 1e-6
+#: Bytes of shingle sets that one comparison holds (a pair of longer texts is compared all the same).
+CELL_BYTES = 64 << 20
+
+
+def trees_for(depth: int, percent: int) -> int:
+    """Trees that keep the chance to miss a pair of similarity percent / 100 under MISS."""
+    return math.ceil(math.log(MISS) / math.log1p(-((percent / 100) ** depth)))
 
 
 class WordHashes(dict):
@@ -99,10 +112,15 @@ def signature(values: np.ndarray) -> np.ndarray:
     return best
 
 
-def orders(trees: int, depth: int) -> np.ndarray:
-    """Which minima each tree reads, in order."""
+def orders(trees: int) -> np.ndarray:
+    """The order in which each tree reads the minima."""
     rng = np.random.default_rng(41)
-    return np.array([rng.permutation(MINIMA)[:depth] for _ in range(trees)])
+    return np.array([rng.permutation(MINIMA) for _ in range(trees)])
+
+
+def set_name(values: bytes) -> bytes | None:
+    """128-bit digest of a set; none for the empty one."""
+    return hashlib.blake2b(values, digest_size=16).digest() if values else None
 
 
 def sketches(df: DataFrame) -> DataFrame:
@@ -115,7 +133,7 @@ def sketches(df: DataFrame) -> DataFrame:
                 for text in b.column(1).to_pylist():
                     s = shingle_set(text)
                     n.append(len(s))
-                    ident.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                    ident.append(set_name(s.tobytes()))
                     minima.append(signature(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ident, pa.binary()), pa.array(minima, pa.binary())], names=["doc_id", "n_shingles", "set_id", "minima"])
 
@@ -124,7 +142,7 @@ def sketches(df: DataFrame) -> DataFrame:
 
 def prefix_hashes(reps: DataFrame, depth: int, trees: int) -> DataFrame:
     """rep, tree, region: a hash of the first depth minima of each tree's order."""
-    order = orders(trees, depth)
+    order = orders(trees)[:, :depth]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -142,10 +160,40 @@ def prefix_hashes(reps: DataFrame, depth: int, trees: int) -> DataFrame:
     return reps.select("rep", "minima").mapInArrow(run, "rep long, tree int, region long")
 
 
-def regions(reps: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
-    """rep, region: of every region that holds 2 to `most` representatives, at the depth its density asks for; and of the larger ones of the first depth, if any."""
-    done, first, open_ = None, None, reps
-    for depth, trees in LEVELS:
+def in_tree_order(large: DataFrame, reps: DataFrame, depth: int, trees: int, most: int, further: int = 16) -> DataFrame:
+    """rep, region: each too large region sorted by its tree's further minima and cut into runs of at most `most`."""
+    order = orders(trees)[:, depth : depth + further]
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                m = np.frombuffer(b"".join(b.column(3).to_pylist()), dtype=np.uint32).reshape(-1, MINIMA)
+                keys = np.take_along_axis(m, order[b.column(1).to_numpy()], axis=1).astype(">u4").tobytes()
+                spelt = [keys[i : i + 4 * further] for i in range(0, len(keys), 4 * further)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(spelt, pa.binary())], names=["rep", "region", "key"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        for t in sorted_groups(batches, "region"):
+            keys = np.frombuffer(b"".join(t.column("key").to_pylist()), dtype=">u4").reshape(-1, further)
+            common = np.cumprod(keys[1:] == keys[:-1], axis=1).sum(axis=1)  # longest common prefix of neighbours
+            at, run = 0, np.zeros(len(keys), dtype=np.int64)
+            while len(keys) - at > most:
+                low = at + most // 2
+                at = low + int(np.argmin(common[low - 1 : at + most - 1]))
+                run[at:] += 1
+            names = [hash((t.column("region")[0].as_py(), part, r)) for r in range(int(run[-1]) + 1)]
+            yield pa.RecordBatch.from_arrays([t.column("rep").combine_chunks(), pa.array(np.array(names, dtype=np.int64)[run])], names=["rep", "region"])
+
+    spelt = large.join(reps.select("rep", "minima"), "rep").select("rep", "tree", "region", "minima").mapInArrow(spell, "rep long, region long, key binary")
+    return spelt.repartitionByRange("region", "key", "rep").sortWithinPartitions("region", "key", "rep").mapInArrow(cut, "rep long, region long")
+
+
+def regions(reps: DataFrame, percent: int, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """rep, region: of every region that holds 2 to `most` representatives, at the depth its density asks for; and of those that are too large at the last depth, if any."""
+    done, open_ = None, reps
+    for depth in DEPTHS:
+        trees = trees_for(depth, percent)
         keyed = prefix_hashes(open_, depth, trees)
         sizes = keyed.groupBy("region").agg(F.count("*").alias("n")).where("n > 1")
         placed = stash(keyed.join(sizes, "region").select("rep", "tree", "region", "n"), f"regions-{depth}")
@@ -153,11 +201,9 @@ def regions(reps: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
         done = fit if done is None else done.unionByName(fit)
         large = placed.where(F.col("n") > most)
         if large.isEmpty():
-            return done, first
-        first = large.select("rep", "region") if first is None else first
+            return done, None
         open_ = stash(reps.join(large.select("rep").distinct(), "rep", "left_semi"), "dense")
-    dealt = F.pmod(F.xxhash64("rep", "tree"), F.ceil(F.col("n") / (most / 2)).cast("long"))
-    return done.unionByName(large.select("rep", F.xxhash64("region", dealt).alias("region"))), first
+    return done.unionByName(in_tree_order(large, reps, DEPTHS[-1], trees, most)), large.select("rep", "region")
 
 
 def crossings(first: DataFrame, joined: DataFrame, most: int) -> DataFrame:
@@ -201,6 +247,18 @@ def estimates(m: np.ndarray) -> np.ndarray:
     return out
 
 
+def cells(own: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    """A cluster's members as they are compared: all together, or every two blocks of them where their sets are too large for that."""
+    block = (np.cumsum(size) * 16 // CELL_BYTES).astype(np.int64)  # eight bytes a shingle, two blocks a cell
+    if block[-1] < 2:
+        yield own
+        return
+    parts = [own[block == k] for k in np.unique(block)]
+    for i, one in enumerate(parts):
+        for two in parts[i + 1 :]:
+            yield np.concatenate([one, two])
+
+
 def clusters(members: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     """cluster, rep: groups within a region that estimates join; the same group from several trees has the same name.
 
@@ -213,41 +271,45 @@ def clusters(members: DataFrame, reps: DataFrame, least: float) -> DataFrame:
         for t in sorted_groups(batches, "region"):
             if t.num_rows < 2:
                 continue
-            rep = t.column("rep").to_numpy()
+            rep, size = t.column("rep").to_numpy(), t.column("n_shingles").to_numpy()
             m = np.frombuffer(b"".join(t.column("minima").to_pylist()), dtype=np.uint32).reshape(-1, MINIMA)
+            if len(m) == 2:
+                near = np.full((2, 2), (m[0] == m[1]).sum() >= least * MINIMA)
+            else:
+                near = estimates(m) >= least * MINIMA
             if crossing:
                 c = t.column("component").to_numpy()
-                comp = groups_of((c[:, None] != c[None, :]) & (estimates(m) >= least * MINIMA))
-            elif len(m) == 2:
-                comp = np.array([0, 0]) if (m[0] == m[1]).sum() >= least * MINIMA else np.array([0, 1])
-            else:
-                comp = groups_of(estimates(m) >= least * MINIMA)
+                near &= c[:, None] != c[None, :]
+            comp = groups_of(near)
             for c in np.unique(comp):
-                own = np.sort(rep[comp == c])
-                if len(own) > 1:
-                    name = int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
-                    names += [name] * len(own)
-                    ids += own.tolist()
+                own = np.flatnonzero(comp == c)
+                own = own[np.argsort(rep[own])]
+                for cell in cells(own, size[own]) if len(own) > 1 else ():
+                    who = rep[cell]
+                    name = int.from_bytes(hashlib.blake2b(who.tobytes(), digest_size=8).digest(), "little", signed=True)
+                    names += [name] * len(who)
+                    ids += who.tolist()
             if len(ids) > 20_000:
                 yield pa.RecordBatch.from_pydict({"cluster": names, "rep": ids})
                 names, ids = [], []
         if ids:
             yield pa.RecordBatch.from_pydict({"cluster": names, "rep": ids})
 
-    joined = members.join(reps.select("rep", "minima"), "rep")
+    joined = members.join(reps.select("rep", "n_shingles", "minima"), "rep")
     found = joined.repartition("region").sortWithinPartitions("region").mapInArrow(run, "cluster long, rep long")
     return stash(found.distinct(), "clusters")
 
 
 def shingle_sets(df: DataFrame) -> DataFrame:
-    """doc_id and its set, as bytes."""
+    """set_id and the set, as bytes, of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for b in slices(batches):
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["rep", "values"])
+                sets = [shingle_set(t).tobytes() for t in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([set_name(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], names=["set_id", "values"])
 
-    return df.mapInArrow(run, "rep long, values binary")
+    return df.mapInArrow(run, "set_id binary, values binary")
 
 
 def exact_links(sets: list[np.ndarray], percent: int, width: int = 4096) -> list[tuple[int, int]]:
@@ -317,44 +379,84 @@ def components(links: DataFrame) -> DataFrame:
         new = low.join(jump, "component").select("node", F.least("component", "further").alias("component"))
         new = stash(new, "labels")
         changed = new.join(label.withColumnRenamed("component", "old"), "node").where("component != old")
-        if changed.isEmpty():
+        over = changed.isEmpty()
+        forget(label)
+        if over:
+            forget(both)
             return new
         label = new
 
 
-def links_within(docs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+def links_within(docs: DataFrame, classes: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """a, b: verified links of the clusters found."""
-    wanted = found.select("rep").distinct()  # grows with the input: never broadcast, the same plan at every size
-    own = docs.join(wanted.withColumnRenamed("rep", "doc_id").hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return confirmed(found, stash(shingle_sets(own), "sets", "none"), percent)
+    wanted = stash(classes.join(found.select("rep").distinct(), "rep").select("rep", "set_id", "first"), "wanted")
+    # grows with the input: never broadcast, the same plan at every size
+    own = docs.join(wanted.select(F.col("first").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
+    sets = shingle_sets(own).join(wanted.select("rep", "set_id"), "set_id").dropDuplicates(["rep"]).select("rep", "values")
+    sets = stash(sets, "sets", "none")
+    links = confirmed(found, sets, percent)
+    forget(sets, wanted)
+    return links
 
 
-def near_dedup(df: DataFrame, percent: int = 85, most: int = 1024, least: float = 0.70) -> DataFrame:
+def near_dedup(df: DataFrame, percent: int = 85, most: int = 1024, least: float | None = None) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
-    least: estimated similarity under which a pair is not compared; with 128 minima, 0.70 is 4.7 standard deviations
-    below 0.85.
+    least: estimated similarity under which a pair is not compared; with 128 minima, the default of 0.15 under the
+    threshold is 4.2 (at 80 percent) to 4.8 (at 85 percent) standard deviations.
     """
     spark = df.sparkSession
     scratch_dir(spark)
+    least = percent / 100 - 0.15 if least is None else least
     docs = text_or_empty(df)
     sketch = stash(sketches(docs), "sketches")
-    classes = sketch.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("rep"))
-    classes = stash(classes, "classes")
-    reps = stash(sketch.join(classes, "set_id").where(F.col("doc_id") == F.col("rep")).select("rep", "minima").dropDuplicates(["rep"]), "reps")
-    members, first = regions(reps, most)
-    links = links_within(docs, clusters(members, reps, least), percent)
+    full = sketch.where(F.col("set_id").isNotNull())
+    classes = full.groupBy("set_id").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"), F.first("n_shingles").alias("n_shingles"))
+    classes = stash(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")  # written once: numbers stay
+    firsts = classes.select("set_id", "rep", F.col("first").alias("doc_id"))
+    reps = full.join(firsts, ["set_id", "doc_id"]).select("rep", "n_shingles", "minima").dropDuplicates(["rep"])
+    reps = stash(reps, "reps")
+    members, large = regions(reps, percent, most)
+    found = clusters(members, reps, least)
+    links = links_within(docs, classes, found, percent)
     joined = components(links)
-    if first is not None:
-        found = clusters(crossings(first, joined, most), reps, least)
-        if not found.isEmpty():
-            joined = components(links.unionByName(links_within(docs, found, percent)).distinct())
-    joined = joined.withColumnRenamed("node", "rep")
-    named = classes.join(joined, "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
+    if large is not None:
+        more = clusters(crossings(large, joined, most), reps, least)
+        if not more.isEmpty():
+            joined = components(links.unionByName(links_within(docs, classes, more, percent)).distinct())
+        forget(more)
+    named = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", "first", "rows", F.coalesce("component", "rep").alias("component"))
+    named = stash(named, "named")
+    names = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    answers = stash(named.join(names, "component").select("set_id", "rows", "component_id"), "answers")
+    forget(found, links, reps, classes, joined, named)
     alone = sketch.where(F.col("set_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    full = sketch.where(F.col("set_id").isNotNull()).join(named, "set_id").select("doc_id", "n_shingles", "component_id")
-    return full.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    answered = join_hot(full.select("doc_id", "n_shingles", "set_id"), answers, ["set_id"], "rows", full.count()).select("doc_id", "n_shingles", "component_id")
+    return answered.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     return near_dedup(documents(spark, sf_dir))
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER (ORDER BY doc_id, text) AS node, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+),
+s AS (
+  SELECT node, doc_id, CASE WHEN len(words) = 0 THEN []::VARCHAR[] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS shingles FROM w
+),
+c AS (SELECT min(node) AS class, min(doc_id) AS first, shingles, len(shingles) AS n FROM (SELECT node, doc_id, list_sort(shingles) AS shingles FROM s) WHERE len(shingles) > 0 GROUP BY shingles),
+e AS MATERIALIZED (SELECT class, n, hash(unnest(shingles)) AS h FROM c),
+links AS MATERIALIZED (
+  SELECT a.class AS a, b.class AS b FROM e a JOIN e b ON a.h = b.h AND a.class <> b.class AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.class, b.class, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+),
+r(a, b) AS (SELECT class, class FROM c UNION SELECT r.a, links.b FROM r JOIN links ON links.a = r.b),
+named AS (SELECT r.a AS class, min(c.first) AS component_id FROM r JOIN c ON c.class = r.b GROUP BY 1),
+cls AS (SELECT shingles, class FROM c)
+SELECT s.doc_id, len(s.shingles) AS n_shingles, coalesce(named.component_id, s.doc_id) AS component_id, s.doc_id = coalesce(named.component_id, s.doc_id) AS kept
+FROM s LEFT JOIN cls ON cls.shingles = list_sort(s.shingles) LEFT JOIN named ON named.class = cls.class
+"""

@@ -18,4 +18,4 @@ QUERIES = {
     "op10_lm_score": lm_score.query,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op6_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op3_near_dedup": near_dedup.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE}
