@@ -456,41 +456,75 @@ def test_genetic_steps():
 
 
 # 10 LM scoring
-def test_lm_score(messy, empty, docs, texts):
-    weights = lm_score.learn(docs, start=100)
-    net = lm_score.Window.of(weights)
-    got = {r.doc_id: r for r in lm_score.score(docs, weights).collect()}
-    for i in list(texts)[:20]:
-        data = texts[i].encode()
-        t = lm_score.padded(data)
-        slow = 0.0
-        for k in range(min(len(data), 300)):
-            around = np.array([[t[k + s]] for s in range(2 * lm_score.SIDE + 1) if s != lm_score.SIDE])
-            slow += float(net.log_probability(around, np.array([data[k]]))[0])
-        if len(data) <= 300:
-            assert got[i].sum_log_prob == pytest.approx(slow, rel=1e-4)
-    everything = np.array([[40], [50], [97], [98], [99], [256]])
+def slow_score(net, data):
+    """Every token on its own, from its surroundings as they are read off the text."""
+    out = 0.0
+    for k in range(len(data)):
+        around = [data[k + s] if 0 <= k + s < len(data) else lm_score.PAD for s in range(-lm_score.SIDE, lm_score.SIDE + 1) if s]
+        out += float(net.log_probability(np.array(around)[:, None], np.array([data[k]]))[0])
+    return out
+
+
+@pytest.fixture(scope="module")
+def lm_weights(docs):
+    return lm_score.learn(docs)
+
+
+def test_lm_score(messy, empty, docs, texts, lm_weights):
+    net = lm_score.Window.of(lm_weights)
+    got = {r.doc_id: r for r in lm_score.score(docs, lm_weights).collect()}
+    short = sorted(texts, key=lambda i: len(texts[i]))[:60]
+    for i in short[::6]:
+        assert got[i].sum_log_prob == pytest.approx(slow_score(net, texts[i].encode()), rel=1e-4)
+    everything = np.array([[40], [50], [97], [98], [99], [255]])
     assert sum(np.exp(float(net.log_probability(everything, np.array([v]))[0])) for v in range(256)) == pytest.approx(1, abs=1e-4)
     counts = Counter(b for t in texts.values() for b in t.encode())
     total = sum(counts.values())
     unigram = sum(n * np.log(n / total) for n in counts.values()) / total
-    assert np.mean([r.mean_log_prob for r in got.values()]) > unigram + 0.8
-    m = {r.doc_id: r for r in lm_score.score(messy, weights).collect()}
+    assert np.mean([r.mean_log_prob for r in got.values()]) > unigram + 1
+    m = {r.doc_id: r for r in lm_score.score(messy, lm_weights).collect()}
     assert len(m) == 11 and m[0].n_tokens == 0 and m[1].sum_log_prob == 0
-    assert lm_score.score(empty, weights).count() == 0 and len(lm_score.learn(empty)) == len(weights)
+    assert lm_score.score(empty, lm_weights).count() == 0 and len(lm_score.learn(empty)) == len(lm_weights)
 
 
-def test_lm_training_covers_every_position(monkeypatch):
-    data = [bytes(97 + k % 23 for k in range(n)) for n in (1, 5, 31, 32, 257, 3 * lm_score.BLOCK + 7)]
-    got = []
-    monkeypatch.setattr(lm_score.Window, "step", lambda self, x, y, rate, memory: got.extend(y.tolist()) or 0.0)
-    for d in data:
-        assert sorted(lm_score.masked(7, len(d), lm_score.MASKED).tolist()) == list(range(len(d)))
+def test_lm_scores_over_chunks(monkeypatch, lm_weights, texts):
+    net = lm_score.Window.of(lm_weights)
+    some = [t.encode() for t in list(texts.values())[:12]] + [b"", b"x", "é".encode()]
+    whole = lm_score.batch_scores(net, some)
+    monkeypatch.setattr(lm_score, "CHUNK", 150)
+    monkeypatch.setattr(lm_score, "BLOCK", 37)
+    assert lm_score.batch_scores(net, some) == pytest.approx(whole, rel=1e-5)
+    short = min(some[:12], key=len)
+    assert len(short) > 0 and lm_score.batch_scores(net, [short])[0] == pytest.approx(slow_score(net, short), rel=1e-4)
+
+
+def test_lm_weights_do_not_depend_on_the_split(docs, lm_weights):
+    assert np.abs(lm_score.learn(docs.repartition(7, "lang", "doc_id")) - lm_weights).max() < 1e-4
+
+
+def test_lm_any_doc_id(spark):
+    rows = [(2**62, PLAIN), (-(2**63), PLAIN), (2**63 - 1, "other"), (None, "no id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.sum_log_prob for r in lm_score.score(df, lm_score.learn(df)).collect()}
+    assert len(got) == 4 and got[2**62] == got[-(2**63)]
+
+
+@pytest.mark.parametrize("different", [3_000_000, 50])
+def test_lm_training_covers_every_position(monkeypatch, different):
+    monkeypatch.setattr(lm_score, "CHUNK", 4000)
+    monkeypatch.setattr(lm_score, "DIFFERENT", different)
+    data = [bytes(97 + (k * k + k // 7) % 23 for k in range(n)) for n in (1, 5, 31, 32, 257, 30_007)]
+    got = Counter()
+    monkeypatch.setattr(lm_score.Window, "step", lambda self, x, y, w, rate, memory: [got.update({(*a, b): int(c)}) for a, b, c in zip(x.T.tolist(), y.tolist(), w, strict=True)] and 0.0)
     trainer = lm_score.Trainer(lm_score.Window(np.ones(256)))
-    for k, d in enumerate(data):
-        trainer.add(k, d)
+    for d in data:
+        trainer.add(d)
     trainer.run()
-    assert Counter(got) == Counter(b"".join(data)) and trainer.seen == sum(map(len, data))
+    want = Counter()
+    for d in data:
+        p = bytes([255] * 3) + d + bytes([255] * 3)
+        want.update((*p[k : k + 3], *p[k + 4 : k + 7], p[k + 3]) for k in range(len(d)))
+    assert got == want and trainer.seen == sum(map(len, data))
 
 
 # the pipeline

@@ -6,13 +6,18 @@ of the 2 * SIDE positions, passes the sum through tanh, and predicts the token i
 bits: the low half sees the high half through a gate, so the product is a proper distribution over all 256 values.
 Prior log-odds come from the token counts of the whole corpus.
 
-Training covers every position of every document once: every task runs stochastic gradient steps over all positions of
-its documents from common initial weights; the tasks' weights are averaged by their numbers of positions, entry by entry,
-in a distributed sum. The common start is trained on the driver from one position in eight, six times, of the bounded
-sample START of documents, read whole. Then every token of every document is scored.
+Training covers every position of every document: in a SPAN of text, equal windows (a token with its surroundings)
+are counted, and each different window is one example whose weight is its count, so the gradient of a pass is that of all
+its positions. Documents are dealt by a hash of id and text to trainers, whose number follows from the corpus' bytes
+alone, and read in the order of their ids; so weights do not depend on how the input is split. Trainers start from common
+weights and step sizes, reached in one task on about START_BYTES of documents; their weights are averaged by positions seen,
+in a distributed sum. Then every token of every document is scored, each different window of a chunk once.
+
+A model of so short a window does not remember documents: those that occur twice do not score apart from others.
 
 Defined cases: null text is empty; an empty text has no tokens, sum 0 and mean 0; rows with equal or no doc_id are scored each;
-an empty table gives no rows; other columns are ignored. Long texts are read in blocks with their surroundings.
+any doc_id that a long holds will do; lone surrogates are read as question marks; an empty table gives no rows; other
+columns are ignored. Long texts are read in chunks with their surroundings.
 """
 
 from __future__ import annotations
@@ -20,18 +25,28 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, slices, stash, text_or_empty
+from tidemark.llm.common import documents, slices, text_or_empty
 
 SIDE = 3
 HIDDEN = 24
-MASKED = 1
-START = 400
+#: Bytes of text whose windows are looked at together; of a span, whose windows are counted together, unless more than
+#: DIFFERENT different ones turn up before; of the sample on which the common start is trained.
+CHUNK = 4 << 20
+SPAN = 32 << 20
+DIFFERENT = 3_000_000
+START_BYTES = 2 << 20
+#: Text of a trainer, and the most trainers (the number of weight vectors to add up, not of documents).
+TRAINER_BYTES = 32 << 20
+TRAINERS = (8, 4096)
+BATCH = 2048
 BLOCK = 8_192
-PAD = 256  # the value beyond either end of a document
+PAD = 255  # the value beyond either end of a document; UTF-8 has no such byte
+TOKENS = 256
 
 
 class Window:
@@ -41,7 +56,7 @@ class Window:
         rng = np.random.default_rng(seed)
         c = counts.reshape(16, 16) + 0.05
         self.p = {
-            "e": rng.normal(0, 0.15, (2 * SIDE, 257, HIDDEN)).astype(np.float32),
+            "e": rng.normal(0, 0.15, (2 * SIDE, TOKENS, HIDDEN)).astype(np.float32),
             "hi": np.zeros((16, HIDDEN), np.float32),
             "hi0": np.log(c.sum(axis=1) / c.sum()).astype(np.float32),
             "gate": np.ones((16, HIDDEN), np.float32),
@@ -59,7 +74,11 @@ class Window:
         return out
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([v.ravel() for v in self.p.values()])
+        return self.spell(self.p)
+
+    @staticmethod
+    def spell(named: dict) -> np.ndarray:
+        return np.concatenate([v.ravel() for v in named.values()])
 
     def log_probability(self, around: np.ndarray, token: np.ndarray) -> np.ndarray:
         """around: (2 * SIDE, n) tokens; token: (n)."""
@@ -92,36 +111,55 @@ class Window:
             self._t = [np.ascontiguousarray(e.T) for e in self.p["e"]]
         return self._t
 
-    def step(self, around: np.ndarray, token: np.ndarray, rate: float, memory: dict) -> float:
-        """One Adagrad step; returns the mean loss."""
+    def step(self, around: np.ndarray, token: np.ndarray, weight: np.ndarray, rate: float, memory: dict) -> float:
+        """One Adagrad step on weighted windows; returns their mean loss."""
         p, n = self.p, len(token)
-        s = p["e"][0][around[0]].copy()
+        h = np.take(p["e"][0], around[0], axis=0)  # a row a window: whole rows are fast to gather and to add up
+        part = np.empty_like(h)
         for k in range(1, len(around)):
-            s += p["e"][k][around[k]]
-        h = np.tanh(s)
-        hi, lo, at = token >> 4, token & 15, np.arange(n)
-        a = h @ p["hi"].T + p["hi0"]
-        a = np.exp(a - a.max(axis=1, keepdims=True))
-        a /= a.sum(axis=1, keepdims=True)
-        g = p["gate"][hi]
+            h += np.take(p["e"][k], around[k], axis=0, out=part, mode="clip")
+        np.tanh(h, out=h)
+        w = (weight / weight.sum()).astype(np.float32)
+        hi, lo, at = (token >> 4).astype(np.intp), (token & 15).astype(np.intp), np.arange(n)
+
+        def chances(z: np.ndarray, own: np.ndarray) -> np.ndarray:  # logits stay small: tanh and weight decay bound them
+            nonlocal loss
+            np.exp(z, out=z)
+            z /= z.sum(axis=0)
+            flat = own * n + at
+            hit = z.ravel()
+            loss -= float(w @ np.log(hit[flat] + 1e-12))
+            hit[flat] -= 1
+            z *= w
+            return z
+
+        loss = 0.0
+        a = chances(p["hi"] @ h.T + p["hi0"][:, None], hi)
+        g = np.take(p["gate"], hi, axis=0)
         hg = h * g
-        b = hg @ p["lo"].T + p["lo0"][hi]
-        b = np.exp(b - b.max(axis=1, keepdims=True))
-        b /= b.sum(axis=1, keepdims=True)
-        loss = -float((np.log(a[at, hi] + 1e-12) + np.log(b[at, lo] + 1e-12)).mean())
-        a[at, hi] -= 1
-        b[at, lo] -= 1
-        a /= n
-        b /= n
-        dhg = b @ p["lo"]
-        one_hot = np.zeros((n, 16), np.float32)
-        one_hot[at, hi] = 1
-        d = {"hi": a.T @ h, "hi0": a.sum(axis=0), "lo": b.T @ hg, "lo0": one_hot.T @ b, "gate": one_hot.T @ (dhg * h)}
-        ds = (a @ p["hi"] + dhg * g) * (1 - h * h)
+        b = p["lo"] @ hg.T
+        b += np.take(p["lo0"], hi, axis=0).T
+        b = chances(b, lo)
+        dhg = b.T @ p["lo"]
+        d = {"hi": a @ h, "hi0": a.sum(axis=1), "lo": b @ hg}
+        by = np.argsort(token, kind="stable")  # sorted by the high half as well
+        own = hi[by]
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        d["lo0"], d["gate"] = np.zeros((16, 16), np.float32), np.zeros((16, HIDDEN), np.float32)
+        d["lo0"][own[first]] = np.add.reduceat(b.T[by], first, axis=0)
+        g *= dhg
+        dhg *= h
+        d["gate"][own[first]] = np.add.reduceat(dhg[by], first, axis=0)
+        ds = a.T @ p["hi"]
+        ds += g
+        h *= h
+        ds *= 1 - h
         for k in range(len(around)):
             order = np.argsort(around[k], kind="stable")
-            ids, first = np.unique(around[k][order], return_index=True)
-            sums = np.add.reduceat(ds[order], first, axis=0)
+            own = around[k][order]
+            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            ids = own[first]
+            sums = np.add.reduceat(np.take(ds, order, axis=0, out=part, mode="clip"), first, axis=0)
             m = memory["e"][k]
             m[ids] += sums * sums
             p["e"][k][ids] -= rate * sums / np.sqrt(m[ids] + 1e-8)
@@ -135,56 +173,108 @@ class Window:
         return {k: np.full_like(v, 1e-6) for k, v in self.p.items()}
 
 
-def padded(data: bytes) -> np.ndarray:
-    return np.pad(np.frombuffer(data, dtype=np.uint8).astype(np.int16), SIDE, constant_values=PAD)
+def windows(texts: list[bytes]) -> np.ndarray:
+    """One number for every token of the texts: its SIDE neighbours, itself, its SIDE other neighbours, a byte each."""
+    gap = bytes([PAD]) * SIDE
+    a = np.frombuffer(gap + gap.join(texts) + gap, dtype=np.uint8)
+    return spelt(a)[a[SIDE : len(a) - SIDE] != PAD]
 
 
-def surroundings(t: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """(2 * SIDE, n): the tokens around positions at of the unpadded text."""
-    return np.stack([t[at + k] for k in range(2 * SIDE + 1) if k != SIDE])
+def spelt(a: np.ndarray) -> np.ndarray:
+    """The windows of bytes that have their surroundings at both ends."""
+    n = len(a) - 2 * SIDE
+    long = np.concatenate([a, np.zeros(8, np.uint8)])
+    out = np.empty(n, dtype="<u8")
+    for k in range(min(8, n)):
+        own = len(out[k::8])
+        out[k::8] = long[k : k + 8 * own].view("<u8")
+    return out & np.uint64((1 << 8 * (2 * SIDE + 1)) - 1)
 
 
-def masked(doc_id: int, n: int, share: float) -> np.ndarray:
-    """Positions of a document that training predicts."""
-    k = max(1, int(n * share))
-    step = max(1, n // k)
-    start = (doc_id * 2_654_435_761) % step
-    jitter = (np.arange(k) * 40_503 + doc_id * 31) % step
-    return np.minimum(start // 2 + np.arange(k) * step + jitter // 2, n - 1)
+def in_chunks(texts: list[bytes]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """Of every CHUNK bytes or so: which texts, how many tokens of each, their windows. A longer text comes in several chunks."""
+    held: list[int] = []
+    room = 0
+    flush = lambda: (held, np.array([len(texts[i]) for i in held]), windows([texts[i] for i in held]))
+    for i, t in enumerate(texts):
+        if held and room + len(t) > CHUNK:
+            yield flush()
+            held, room = [], 0
+        if len(t) > CHUNK:
+            a = np.pad(np.frombuffer(t, dtype=np.uint8), SIDE, constant_values=PAD)
+            for at in range(0, len(t), CHUNK):
+                w = spelt(a[at : at + CHUNK + 2 * SIDE])
+                yield [i], np.array([len(w)]), w
+        elif t:
+            held.append(i)
+            room += len(t)
+    if held:
+        yield flush()
 
 
-class Trainer:
-    """Collects masked positions of documents into batches and takes steps."""
+def parts(different: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(2 * SIDE, n) surroundings and (n) tokens of windows."""
+    b = np.ascontiguousarray(different.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return np.delete(b[: 2 * SIDE + 1], SIDE, axis=0), b[SIDE]
 
-    def __init__(self, net: Window, batch: int = 512, rate: float = 0.05):
-        self.net, self.batch, self.rate = net, batch, rate
-        self.memory, self.seen, self.loss = net.memory(), 0, []
-        self.x: list[np.ndarray] = []
-        self.y: list[np.ndarray] = []
-        self.n = 0
 
-    def add(self, doc_id: int, data: bytes, share: float = MASKED) -> None:
-        if not data:
+class Trainer:
+    """Counts the windows of documents and takes steps on the different ones of each span, in a seeded order."""
+
+    def __init__(self, net: Window, rate: float = 0.05, passes: int = 1, memory: dict | None = None):
+        self.net, self.rate, self.passes = net, rate, passes
+        self.memory, self.seen, self.loss = memory or net.memory(), 0, []
+        self.texts: list[bytes] = []
+        self.n = self.span = 0
+        self.found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, data: bytes) -> None:
+        self.texts.append(data)
+        self.n += len(data)
+        if self.n >= CHUNK:
+            self.count()
+
+    def count(self) -> None:
+        """Windows of the texts held, and their counts; what was found before is merged in now and then."""
+        for _, _, w in in_chunks(self.texts):
+            which, different = pd.factorize(w)
+            self.found.append((different, np.bincount(which, minlength=len(different))))
+            self.span += len(w)
+            if sum(len(d) for d, _ in self.found) > DIFFERENT:
+                self.merge()
+                if len(self.found[0][0]) > DIFFERENT:
+                    self.learn()
+            if self.span >= SPAN:
+                self.learn()
+        self.texts, self.n = [], 0
+
+    def merge(self) -> None:
+        keys, counts = (np.concatenate(x) for x in zip(*self.found, strict=True))
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        self.found = [(keys[first], np.add.reduceat(counts, first))]
+
+    def learn(self) -> None:
+        if not self.span:
             return
-        t, every = padded(data), masked(doc_id, len(data), share)
-        for i in range(0, len(every), BLOCK):
-            at = every[i : i + BLOCK]
-            self.x.append(surroundings(t, at))
-            self.y.append(t[at + SIDE])
-            self.n += len(at)
-            if self.n >= 8 * self.batch:
-                self.run()
+        self.merge()
+        (different, weight), self.found = self.found[0], []
+        x, y = parts(different)
+        for k in range(self.passes):
+            order = np.random.default_rng([self.seen, k]).permutation(len(y))
+            for i in range(0, len(y), BATCH):
+                own = order[i : i + BATCH]
+                self.loss.append(self.net.step(x[:, own], y[own], weight[own], self.rate * (len(own) / BATCH) ** 0.5, self.memory))
+        self.seen, self.span = self.seen + self.span, 0
 
     def run(self) -> None:
-        if not self.n:
-            return
-        x, y = np.concatenate(self.x, axis=1), np.concatenate(self.y)
-        order = np.random.default_rng(self.seen).permutation(len(y))
-        for i in range(0, len(y), self.batch):
-            own = order[i : i + self.batch]
-            self.loss.append(self.net.step(x[:, own], y[own], self.rate * (len(own) / self.batch) ** 0.5, self.memory))
-        self.seen += len(y)
-        self.x, self.y, self.n = [], [], 0
+        self.count()
+        self.learn()
+
+
+def utf8(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "replace")
 
 
 def corpus_counts(texts: DataFrame) -> np.ndarray:
@@ -202,94 +292,97 @@ def corpus_counts(texts: DataFrame) -> np.ndarray:
     return out
 
 
-def starting_weights(texts: DataFrame, counts: np.ndarray, start: int, passes: int = 6) -> np.ndarray:
-    """Common start of all tasks, from at most `start` documents (by hash order), read whole."""
-    net = Window(counts)
-    n = texts.select("doc_id").count()
-    share = min(1.0, 2.0 * start / max(1, n))
-    some = texts.where(F.pmod(F.xxhash64("doc_id", F.lit("lm")), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = some.select("doc_id", "text").orderBy("doc_id").limit(start).collect()
-    trainer = Trainer(net)
-    for k in range(passes):
-        for r in rows:
-            trainer.add((r.doc_id or 0) + 7919 * k, (r.text or "").encode("utf-8", "replace"), 1 / 8)
-    trainer.run()
-    return net.flat()
+def trained(texts: DataFrame, start: np.ndarray, rate: float, passes: int) -> DataFrame:
+    """entry, weight, seen: what a trainer reaches on each `trainer`'s texts, in the order of their ids, times the positions it saw."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trainer, which = None, None
 
-def averaged_weights(texts: DataFrame, start: np.ndarray) -> np.ndarray:
-    """Mean of the weights that tasks reach over all their documents, weighted by positions seen."""
+        def out() -> pa.RecordBatch:
+            trainer.run()
+            flat = np.concatenate([trainer.net.flat(), Window.spell(trainer.memory)]).astype(np.float64) * trainer.seen
+            return pa.RecordBatch.from_pydict({"entry": np.arange(len(flat)), "weight": flat, "seen": np.full(len(flat), trainer.seen)})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer = Trainer(Window.of(start), rate=0.02)
         for b in slices(batches):
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                trainer.add(doc or 0, text.encode("utf-8", "replace"))
-        trainer.run()
-        if trainer.seen:
-            flat = trainer.net.flat().astype(np.float64) * trainer.seen
-            yield pa.RecordBatch.from_pydict({"entry": np.arange(len(flat)), "weight": flat, "seen": np.full(len(flat), trainer.seen)})
-
-    sums = texts.mapInArrow(run, "entry long, weight double, seen long").groupBy("entry").agg(F.sum("weight").alias("w"), F.sum("seen").alias("n"))
+            for own, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if own != which:
+                    if trainer:
+                        yield out()
+                    half = len(start) // 2
+                    trainer, which = Trainer(Window.of(start[:half]), rate, passes, Window.of(start[half:]).p), own
+                trainer.add(utf8(text))
+        if trainer:
+            yield out()
+
+    return texts.select("trainer", "text").mapInArrow(run, "entry long, weight double, seen long")
+
+
+def mean_weights(found: DataFrame, start: np.ndarray) -> np.ndarray:
+    """Mean of the trainers' weights by positions seen; those of `start` where nothing was seen."""
+    sums = found.where("seen > 0").groupBy("entry").agg(F.sum("weight").alias("w"), F.sum("seen").alias("n"))
     out = start.astype(np.float64)
-    for r in stash(sums.select("entry", (F.col("w") / F.col("n")).alias("w")), "weights").collect():  # a row a parameter
+    for r in sums.select("entry", (F.col("w") / F.col("n")).alias("w")).collect():  # a row a parameter
         out[r.entry] = r.w
     return out.astype(np.float32)
 
 
-def learn(df: DataFrame, start: int = START) -> np.ndarray:
-    texts = text_or_empty(df)
+def learn(df: DataFrame, start_bytes: int = START_BYTES, trainer_bytes: int = TRAINER_BYTES) -> np.ndarray:
+    """Weights of the network. The same for every split of the input, but for the rounding of sums."""
+    texts = text_or_empty(df).where("text <> ''")
     counts = corpus_counts(texts)
-    return averaged_weights(texts, starting_weights(texts, counts, start))
-
-
-def document_score(net: Window, data: bytes) -> float:
-    """Sum of the log-probabilities of all tokens."""
-    t, total = padded(data), 0.0
-    for i in range(0, len(data), BLOCK):
-        n = min(BLOCK, len(data) - i)
-        around = np.stack([t[i + k : i + k + n] for k in range(2 * SIDE + 1) if k != SIDE])
-        total += float(net.log_probability(around, t[i + SIDE : i + SIDE + n]).sum(dtype=np.float64))
-    return total
+    total = int(counts.sum())
+    net = Window(counts)
+    common = np.concatenate([net.flat(), Window.spell(net.memory())])
+    if not total:
+        return net.flat()
+    mark = F.xxhash64("doc_id", "text")
+    drawn = texts.where(F.pmod(mark, F.lit(1 << 30)) <= int(min(1.0, start_bytes / total) * (1 << 30)))
+    first = drawn.withColumn("trainer", F.lit(0)).repartition(1).sortWithinPartitions("doc_id", "text")
+    common = mean_weights(trained(first, common, 0.05, 4), common)
+    n = max(TRAINERS[0], min(TRAINERS[1], -(-total // trainer_bytes)))
+    dealt = texts.withColumn("trainer", F.pmod(F.xxhash64(mark, F.lit("trainer")), F.lit(n)).cast("int"))
+    dealt = dealt.repartition(n, "trainer").sortWithinPartitions("trainer", "doc_id", "text")
+    return mean_weights(trained(dealt, common, 0.05, 1), common)[: len(common) // 2]
+
+
+def log_probabilities(net: Window, w: np.ndarray) -> np.ndarray:
+    """Of every window; each different one is worked out once."""
+    which, different = pd.factorize(w)
+    x, y = parts(different)
+    lp = np.empty(len(y))
+    for i in range(0, len(y), BLOCK):
+        lp[i : i + BLOCK] = net.log_probability(x[:, i : i + BLOCK], y[i : i + BLOCK])
+    return lp[which]
 
 
 def batch_scores(net: Window, texts: list[bytes]) -> np.ndarray:
-    """The same for many texts: short ones are read together, at most BLOCK tokens at once."""
+    """Sum of the log-probabilities of all tokens of each text."""
     out = np.zeros(len(texts))
-    held: list[int] = []
-    room = 0
-
-    def run() -> None:
-        if not held:
-            return
-        around = np.concatenate([np.stack([t[k : len(t) - 2 * SIDE + k] for k in range(2 * SIDE + 1)]) for t in map(padded, (texts[i] for i in held))], axis=1)
-        lp = net.log_probability(np.delete(around, SIDE, axis=0), around[SIDE])
-        ends = np.cumsum([len(texts[i]) for i in held])
-        out[held] = np.add.reduceat(lp.astype(np.float64), np.concatenate([[0], ends[:-1]]))
-
-    for i, t in enumerate(texts):
-        if len(t) > BLOCK // 2:
-            out[i] = document_score(net, t)
-        elif t:
-            if room + len(t) > BLOCK:
-                run()
-                held, room = [], 0
-            held.append(i)
-            room += len(t)
-    run()
+    for held, lengths, w in in_chunks(texts):
+        sums = np.concatenate([[0.0], np.cumsum(log_probabilities(net, w))])[np.concatenate([[0], np.cumsum(lengths)])]
+        out[held] += np.diff(sums)
     return out
 
 
 def score(df: DataFrame, weights: np.ndarray) -> DataFrame:
     """doc_id, n_tokens, sum_log_prob, mean_log_prob."""
 
+    def scored(net: Window, ids: list, texts: list[bytes]) -> pa.RecordBatch:
+        n, s = np.array([len(t) for t in texts], dtype=np.int64), batch_scores(net, texts)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n), pa.array(s), pa.array(s / np.maximum(n, 1))], names=["doc_id", "n_tokens", "sum_log_prob", "mean_log_prob"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Window.of(weights)
+        net, ids, texts, room = Window.of(weights), [], [], 0
         for b in slices(batches):
-            texts = [t.encode("utf-8", "replace") for t in b.column(1).to_pylist()]
-            n = np.array([len(t) for t in texts], dtype=np.int64)
-            s = batch_scores(net, texts)
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n_tokens": n, "sum_log_prob": s, "mean_log_prob": s / np.maximum(n, 1)})
+            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ids.append(i)
+                texts.append(utf8(text))
+                room += len(texts[-1])
+            if room >= CHUNK or len(ids) >= 20_000:
+                yield scored(net, ids, texts)
+                ids, texts, room = [], [], 0
+        if ids:
+            yield scored(net, ids, texts)
 
     return text_or_empty(df).mapInArrow(run, "doc_id long, n_tokens long, sum_log_prob double, mean_log_prob double")
 
