@@ -341,13 +341,33 @@ def test_exact_dedup(messy, empty):
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
-def test_directory_doubling(docs):
-    depth, slots = exact_dedup.double_directory({0: 5, 1: 1, 2: 1, 3: 1}, 2, 4)
-    assert depth == 2 and slots == [(0, 2), (1, 2), (2, 1), (2, 1)]
-    split = exact_dedup.exact_dedup(docs, capacity=8)
-    assert split.select("bucket").distinct().count() > 8
+def test_directory_doubling(docs, spark):
+    assert exact_dedup.split({0: 5, 1: 1, 2: 1, 3: 1}, (0, 0), 2, 4) == ([(2, 1), (1, 1)], [(2, 0)])
+    assert exact_dedup.slots_of([(2, 1), (1, 1), (2, 0)]) == (2, [(0, 0, 2), (1, 1, 2), (2, 2, 1), (3, 2, 1)])
+    crowded = spark.createDataFrame([(k << 40,) for k in range(50)], "key long")  # all keys begin alike: split as deep as it takes
+    depth, slots = exact_dedup.directory(crowded, 4)
+    routed = crowded.join(slots, exact_dedup.prefix(F.col("key"), depth) == F.col("slot")).groupBy("bucket").count()
+    assert depth > exact_dedup.FIRST and routed.agg(F.max("count"), F.sum("count")).first()[:] == (4, 50)
+    cut = exact_dedup.exact_dedup(docs, capacity=8)
+    assert cut.groupBy("bucket").agg(F.countDistinct("text_sha256").alias("n")).agg(F.max("n")).first()[0] <= 8
     one = exact_dedup.exact_dedup(docs)
-    assert split.select("doc_id", "keep_id").exceptAll(one.select("doc_id", "keep_id")).count() == 0
+    assert one.select("bucket").distinct().count() == 1 and cut.select("bucket").distinct().count() > 8
+    same = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+    assert cut.select(same).exceptAll(one.select(same)).count() == 0
+
+
+def test_exact_dedup_routes_by_bucket(docs, monkeypatch):
+    """Every bucket lies in one file; hot texts, combined before they move, give the same answers."""
+    from tidemark.llm import common
+
+    digests = common.stash(exact_dedup.normalised(docs).select("doc_id", "key", F.unhex(F.sha2(F.col("norm"), 256)).alias("sha")), "digests")
+    index = exact_dedup.build_index(docs, digests, digests.count(), 8)
+    files = index.select("bucket", F.input_file_name().alias("file")).distinct().groupBy("bucket").agg(F.count("*").alias("n"))
+    assert files.agg(F.max("n")).first()[0] == 1 and files.count() > 8
+    usual = exact_dedup.exact_dedup(docs).collect()
+    monkeypatch.setattr(exact_dedup, "HOT", 10**9)  # every repeated text is hot
+    monkeypatch.setattr(common, "HOT", 10**9)
+    assert sorted(exact_dedup.exact_dedup(docs).collect()) == sorted(usual)
 
 
 def test_exact_dedup_is_native(docs):
