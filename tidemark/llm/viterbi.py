@@ -1,13 +1,15 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search.
 
 The segmentation of a text is the sequence of vocabulary pieces with the largest sum of piece scores. Characters that no
-piece covers cost ten below the smallest score and become byte pieces. The search reads one character at a time: the
-scores it keeps reach no further than the longest piece, and the ids before a boundary are committed as soon as the
-backpointer paths of all open positions run through it. Ties go to the earliest start, the longest last piece.
+piece covers cost ten below the smallest score and become byte pieces. The search reads one character at a time: open
+paths reach no further than the longest piece beyond it, and the ids before a boundary are committed as soon as the
+backpointer paths of all open positions run through it. So the window holds what follows the last such boundary, and four
+times the longest piece beside that; a text on which paths never converge would keep its window open, as any exact search
+must. Ties go to the earliest start, the longest last piece.
 
-Where no piece of the vocabulary can cross a place (before a space that follows another character, around a newline),
-all paths converge whatever the scores; a text is cut there, and the ids of each such stretch are worked out once and
-kept in a bounded table.
+Every id comes from this search. Where no piece of the vocabulary can cross a place (before a space that follows another
+character, around a newline, between two characters that no piece has side by side), all paths converge whatever the scores;
+a text is cut there, each such stretch is fed to the search once, and its ids are kept in a bounded table.
 
 For model files of the BPE kind, whose scores are merge ranks, sums of scores say nothing: there a path is scored by its
 transitions, 0 where merging the two neighbours' characters by rank gives those two pieces again and minus infinity
@@ -15,8 +17,8 @@ elsewhere. Merging leaves a sequence of pieces alone exactly if it leaves each n
 survives to each position and it spells the library's own ids (MergeSearch; tests compare both kinds with the library).
 Decoding gives the text back exactly, including the character U+2581, which is spelt in bytes here.
 
-Defined cases: null text is empty and has no ids; an empty text has none; very long stretches are never held as paths
-longer than the open window; rows with equal doc_id are answered each; other columns are ignored.
+Defined cases: null text is empty and has no ids; an empty text has none; an empty table gives no rows; rows with equal
+doc_id are answered each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -69,89 +71,102 @@ class Pieces:
 
 
 class StreamingViterbi:
-    """feed() characters, get committed ids; finish() gives the rest."""
+    """feed() characters, get committed ids; finish() gives the rest.
+
+    Lists over the open window, by position in it: the best score of a path that ends there, and where and with which id
+    its last piece begins (None where no path ends yet).
+    """
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
         self.start()
 
     def start(self) -> None:
-        self.base = 0  # position of text[0] in the stream
-        self.text = ""
-        self.pos = 0  # next start, relative to base
-        self.score: dict[int, float] = {0: 0.0}
-        self.back: dict[int, tuple[int, int]] = {}  # end -> (start, id; -1 for an unknown character)
+        self.text = ""  # the open window: what follows the last committed boundary
+        self.pos = 0  # next start in it
+        self.score: list[float | None] = [0.0]
+        self.begin: list[int | None] = [0]
+        self.ident = [0]
         self.peak = 0
 
-    def _path(self, end: int, stop: int) -> list[int]:
+    def _take(self, text: str) -> None:
+        self.text += text
+        more = [None] * len(text)
+        self.score += more
+        self.begin += more
+        self.ident += [0] * len(text)
+
+    def _path(self, end: int) -> list[int]:
+        """Ids of the path that ends at a position of the window; characters without a piece are spelt in bytes."""
         out: list[int] = []
-        while end > stop:
-            start, i = self.back[end]
-            if i >= 0:
-                out.append(i)
-            else:
-                out += [self.pieces.byte_id[b] for b in reversed(self.text[start:end].encode("utf-8", "surrogatepass"))]
+        begin, ident, spelt = self.begin, self.ident, self.pieces.byte_id
+        while end:
+            start, i = begin[end], ident[end]
+            out += [i] if i >= 0 else [spelt[b] for b in reversed(self.text[start:end].encode("utf-8", "surrogatepass"))]
             end = start
         return out[::-1]
 
+    def _open(self) -> list[int]:
+        """Positions whose paths may still be lengthened: no further ahead than the longest piece."""
+        return [e for e in range(self.pos, min(self.pos + self.pieces.longest, len(self.text)) + 1) if self.begin[e] is not None]
+
     def _meeting(self) -> int:
         """Last boundary that the paths of all open positions run through."""
-        open_ = {e for e in self.score if e >= self.pos}
+        open_ = set(self._open())
         while len(open_) > 1:
             far = max(open_)
             open_.discard(far)
-            open_.add(self.back[far][0])
+            open_.add(self.begin[far])
         return open_.pop()
 
     def _advance(self, to: int) -> None:
-        at, score, back, text = self.pieces.at, self.score, self.back, self.text
+        get, score, begin, ident, text = self.pieces.at.get, self.score, self.begin, self.ident, self.text
         longest, n = self.pieces.longest, len(self.text)
         for s in range(self.pos, to):
-            own = score.pop(s)
-            single = False
+            own, single = score[s], False
             for e in range(s + 1, min(s + longest, n) + 1):
-                part = text[s:e]
-                if part not in at:
+                hit = get(text[s:e], self)
+                if hit is self:  # no piece begins like this
                     break
-                hit = at[part]
                 if hit is not None:
                     single |= e == s + 1
                     v = own + hit[0]
-                    if e not in score or v > score[e]:
-                        score[e] = v
-                        back[e] = (s, hit[1])
+                    if score[e] is None or v > score[e]:
+                        score[e], begin[e], ident[e] = v, s, hit[1]
             if not single:
                 v = own + self.pieces.unknown
-                if s + 1 not in score or v > score[s + 1]:
-                    score[s + 1] = v
-                    back[s + 1] = (s, -1)
+                if score[s + 1] is None or v > score[s + 1]:
+                    score[s + 1], begin[s + 1], ident[s + 1] = v, s, -1
         self.pos = to
 
     def feed(self, text: str) -> list[int]:
-        self.text += text
+        self._take(text)
         out: list[int] = []
-        step = 4 * self.pieces.longest
-        while len(self.text) - self.pos > self.pieces.longest:
-            self._advance(min(self.pos + step, len(self.text) - self.pieces.longest))
+        longest, n = self.pieces.longest, len(text)
+        while n and len(self.text) - self.pos > longest:
+            self._advance(min(self.pos + 4 * longest, len(self.text) - longest))
             self.peak = max(self.peak, self.pos)
-            out += self._commit()
+            out += self._commit(self._meeting())
         return out
 
-    def _commit(self) -> list[int]:
-        meet = self._meeting()
+    def _commit(self, meet: int) -> list[int]:
+        """Ids up to the meeting, which is the start of the window from now on."""
         if not meet:
             return []
-        out = self._path(meet, 0)
-        low = self.score[min(e for e in self.score if e >= self.pos)]
-        self.score = {e - meet: v - low for e, v in self.score.items()}
-        self.back = {e - meet: (s - meet, i) for e, (s, i) in self.back.items() if e > meet}
-        self.text, self.pos, self.base = self.text[meet:], self.pos - meet, self.base + meet
+        out = self._path(meet)
+        low = self.score[self._open()[0]] or 0.0
+        del self.score[:meet], self.begin[:meet], self.ident[:meet]
+        self.score = [None if v is None else v - low for v in self.score]
+        self.begin = [0, *(None if b is None else b - meet for b in self.begin[1:])]
+        self.text, self.pos = self.text[meet:], self.pos - meet
         return out
 
     def finish(self) -> list[int]:
         self._advance(len(self.text))
-        out = self._path(len(self.text), 0)
+        out = self._path(len(self.text))
+        peak = self.peak
         self.start()
+        self.peak = peak
         return out
 
     def encode(self, text: str) -> list[int]:
@@ -206,60 +221,30 @@ class MergeSearch(StreamingViterbi):
         row[two] = ok = self.merged(one + two) == ([one, two] if one else [two])
         return ok
 
-    def encode(self, text: str) -> list[int]:
-        """A text no longer than the open window is one window: the same search on flat lists."""
-        n, longest = len(text), self.pieces.longest
-        if n > 4 * longest:
-            return super().encode(text)
-        get = self.pieces.at.get
-        last: list[str | None] = [None] * (n + 1)
-        ident = [0] * (n + 1)
-        last[0] = ""
-        for s in range(n):
-            one = last[s]
+    def _advance(self, to: int) -> None:
+        get, begin, ident, text = self.pieces.at.get, self.begin, self.ident, self.text
+        longest, n = self.pieces.longest, len(self.text)
+        for s in range(self.pos, to):
+            one = text[begin[s] : s] if s else self.before
             row = self._row(one)
             for e in range(s + 1, min(s + longest, n) + 1):
                 part = text[s:e]
                 hit = get(part, self)
                 if hit is self:  # no piece begins like this
-                    if e == s + 1 and last[e] is None and (row[part] if part in row else self._test(row, one, part)):
-                        last[e], ident[e] = part, -1
+                    if e == s + 1 and begin[e] is None and (row[part] if part in row else self._test(row, one, part)):
+                        begin[e], ident[e] = s, -1
                     break
-                if last[e] is None and (hit is not None or e == s + 1):
+                if begin[e] is None and (hit is not None or e == s + 1):
                     ok = row.get(part)
                     if ok is None:
                         ok = self._test(row, one, part)
                     if ok:
-                        last[e], ident[e] = part, -1 if hit is None else hit[1]
-        out: list[int] = []
-        while n:
-            i = ident[n]
-            out += [i] if i >= 0 else [self.pieces.byte_id[b] for b in reversed(last[n].encode("utf-8", "surrogatepass"))]
-            n -= len(last[n])
-        return out[::-1]
-
-    def _advance(self, to: int) -> None:
-        at, score, back, text = self.pieces.at, self.score, self.back, self.text
-        longest, n = self.pieces.longest, len(self.text)
-        for s in range(self.pos, to):
-            score.pop(s)
-            last = text[back[s][0] : s] if s else self.before
-            row = self._row(last)
-            for e in range(s + 1, min(s + longest, n) + 1):
-                part = text[s:e]
-                if part not in at:
-                    if e == s + 1 and e not in score and (row[part] if part in row else self._test(row, last, part)):
-                        score[e], back[e] = 0.0, (s, -1)
-                    break
-                hit = at[part]
-                if e not in score and (hit is not None or e == s + 1) and (row[part] if part in row else self._test(row, last, part)):
-                    score[e], back[e] = 0.0, (s, hit[1] if hit is not None else -1)
+                        begin[e], ident[e] = s, -1 if hit is None else hit[1]
         self.pos = to
 
-    def _commit(self) -> list[int]:
-        meet = self._meeting()
-        before = self.text[self.back[meet][0] : meet] if meet else self.before
-        out = super()._commit()
+    def _commit(self, meet: int) -> list[int]:
+        before = self.text[self.begin[meet] : meet] if meet else self.before
+        out = super()._commit(meet)
         self.before = before
         return out
 
