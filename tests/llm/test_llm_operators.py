@@ -49,6 +49,18 @@ def vocabulary(name):
 
 
 # 1 Merkle
+def slow_root(text):
+    """The root, straight from its definition."""
+    h = lambda b: hashlib.blake2b(b, digest_size=16).digest()
+    sections, own = [], b""
+    for line in text.split("\n"):
+        own += h(line.encode())
+        if not line.strip() or h(line.encode())[0] % merkle.SECTION_EVERY == 0:
+            sections.append(h(own))
+            own = b""
+    return h(b"".join(sections) + (h(own) if own else b"")).hex()
+
+
 def brute_merkle(rows):
     rows = sorted((i, t or "") for i, t in rows)
     out = []
@@ -56,22 +68,38 @@ def brute_merkle(rows):
         nxt = rows[(k + 1) % len(rows)][1]
         h = len(t) // 2
         e = t[: len(t) - h] + nxt[:h]
-        out.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), merkle.fingerprint(t), merkle.fingerprint(e)))
+        out.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), slow_root(t), slow_root(e)))
     return sorted(out)
 
 
+def roots(r):
+    return r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint.partition(":")[0], r.edited_fingerprint.partition(":")[0]
+
+
 @pytest.mark.parametrize("ranges", [1, 5])
-def test_merkle_messy(messy, ranges):
+def test_merkle_messy(messy, empty, ranges):
     got = merkle.fingerprints(messy, ranges).collect()
     want = brute_merkle([r[:2] for r in messy_rows()])
-    assert sorted((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) for r in got) == want
+    assert sorted(map(roots, got)) == want
     assert all(0 <= x <= 1 for r in got for x in (r.near_edited, r.near_next))
+    assert merkle.fingerprints(empty, ranges).count() == 0
 
 
 def test_merkle_documents(docs, texts):
     got = merkle.fingerprints(docs, 7).collect()
-    assert sorted(tuple(r)[:5] for r in got) == brute_merkle(texts.items())
+    assert sorted(map(roots, got)) == brute_merkle(texts.items())
     assert np.mean([r.near_edited > r.near_next for r in got]) > 0.95
+    for r in got[:20]:
+        assert merkle.parse(r.fingerprint) == merkle.Printer().tree(texts[r.doc_id])
+        assert r.near_edited == merkle.likeness(merkle.parse(r.fingerprint), merkle.parse(r.edited_fingerprint))
+    print_of = {}
+    for r in got:
+        assert print_of.setdefault(r.fingerprint, texts[r.doc_id]) == texts[r.doc_id]
+
+
+def line_of(print_, at):
+    """Number of the line that a place in a tree names."""
+    return sum(len(s.paragraphs) for s in merkle.parse(print_).sections[: at[0]]) + at[1]
 
 
 def test_merkle_locates_edits():
@@ -79,9 +107,20 @@ def test_merkle_locates_edits():
     other = lines.copy()
     other[30] = other[30].replace("words", "swords")
     one, two = merkle.fingerprint("\n".join(lines)), merkle.fingerprint("\n".join(other))
-    changed = merkle.differing_leaves(one, two)
-    assert len({c[:2] for c in changed}) == 1 and merkle.likeness(one, two) > 0.95
-    assert merkle.likeness(one, one) == 1.0 and merkle.differing_leaves(one, one) == []
+    (e,) = merkle.edits(one, two)
+    assert e.kind == "replace" and line_of(one, e.one) == line_of(two, e.two) == 30 and e.one[2:] == (4, 5)
+    near = lambda a, b: merkle.likeness(merkle.parse(a), merkle.parse(b))
+    assert 0.95 < near(one, two) < 1 and near(one, one) == 1.0 and merkle.edits(one, one) == []
+    cut = merkle.fingerprint("\n".join(lines[:20] + lines[25:]))
+    assert [(e.kind, line_of(one, e.one)) for e in merkle.edits(one, cut)] == [("delete", k) for k in range(20, 25)]
+    assert [(e.kind, line_of(one, e.two)) for e in merkle.edits(cut, one)] == [("insert", k) for k in range(20, 25)]
+
+
+@pytest.mark.parametrize("a, b", [("a b c d", "a b c"), ("x y z", "z y x"), ("a  b c", "a b c"), ("p one\nq two", "q two\np one"), ("a a b", "a b"), ("t\n", "t"), ("", " "), ("x\n\ny", "x\ny")])
+def test_merkle_sees_every_difference(a, b):
+    one, two = merkle.fingerprint(a), merkle.fingerprint(b)
+    assert one != two and merkle.edits(one, two) and merkle.edits(two, one)
+    assert merkle.likeness(merkle.parse(one), merkle.parse(two)) < 1
 
 
 # 2 sharding

@@ -1,14 +1,21 @@
-"""Document fingerprints: a Merkle tree over sections, paragraphs and phrases.
-
-Leaves are phrases, runs of words; a paragraph is a line, its node the hash of its phrase hashes; a section is a run of paragraphs that
-ends where the paragraph's own hash says so (one in SECTION_EVERY on average), so an insertion moves no later border; the
-root is the hash of the section hashes. A phrase ends after a word whose own hash says so (in a paragraph of few words,
-after each), so its borders too depend on nearby text alone; words over LONG_WORD characters are cut. A fingerprint spells the tree: the root in hex, then the leaves in order with
-`/` between sections and `,` between paragraphs. Roots test equality; likeness is the share of equal leaves (twice the
-common leaves over all leaves, as multisets); differing_leaves walks two trees down the differing branches only and
-returns where the edit lies.
-
-Defined cases: null text is empty; an empty text has a root and no leaves, and two texts without leaves are alike if
+"""Document fingerprints: a Merkle tree over sections and paragraphs, with phrases below.
+
+A paragraph is a line, its node the 128-bit hash of the line as it stands; a section is a run of paragraphs that ends with
+a blank line or where the paragraph's own node says so (one in SECTION_EVERY), so an insertion moves no later border; its
+node is the hash of its paragraphs' nodes, and the root the hash of the sections' nodes. Nothing of the text is left out:
+roots are equal exactly if texts are. Below a paragraph lie its phrases, runs of words with the white space after them, as
+32-bit codes that only say where inside a paragraph two texts differ. A phrase ends after a word whose own code says so
+(in a paragraph of few words, after each), so its borders too depend on nearby text alone; words over LONG_WORD
+characters are cut.
+
+A fingerprint spells the tree: the root in hex, then each paragraph's node and phrases, with `/` between sections and `,`
+between paragraphs. edits() compares two fingerprints from the root down: equal sections at both ends are passed over,
+paragraphs are aligned by their nodes in order, and only in those that differ are phrases aligned; it returns every insertion,
+deletion and replacement with its place in both trees, and nothing exactly if roots are equal. likeness() also goes
+down from the root: the share of phrases that lie in equal sections, else in equal paragraphs, else are equal themselves
+(half for a phrase that follows another one than it did); texts that differ are never quite 1.
+
+Defined cases: null text is empty; an empty text has a root and one blank paragraph, and texts without phrases are alike if
 equal; rows with equal doc_id are taken in the order of their texts; rows without doc_id come first,
 and the last document is followed by the first that has one; a table of one document has itself as the next;
 an empty table gives no rows; other columns are ignored.
@@ -20,8 +27,11 @@ to one task, and the first row of every range is sent to the range before it as
 from __future__ import annotations
 
 import hashlib
+import re
 from collections import Counter
 from collections.abc import Iterator
+from difflib import SequenceMatcher
+from typing import NamedTuple
 from zlib import crc32
 
 import pyarrow as pa
@@ -33,110 +43,167 @@ from tidemark.llm.common import batch_of, documents, slices, text_or_empty
 SECTION_EVERY = 8
 SHORT_LINE = 16
 LONG_WORD = 32
+NODE = 16  # bytes
+WORD = re.compile(r"\s*\S+\s*|\s+")
+
+
+class Paragraph(NamedTuple):
+    node: bytes
+    phrases: tuple[int, ...]
+
+
+class Section(NamedTuple):
+    node: bytes
+    paragraphs: list[Paragraph]
+
+
+class Tree(NamedTuple):
+    root: bytes
+    sections: list[Section]
+
+    def phrases(self) -> int:
+        return sum(len(p.phrases) for s in self.sections for p in s.paragraphs)
 
+    def spelt(self) -> str:
+        spell = lambda p: p.node.hex() + "".join([f"{x:08x}" for x in p.phrases])
+        return self.root.hex() + ":" + "/".join([",".join([spell(p) for p in s.paragraphs]) for s in self.sections])
 
-def node(parts: list[str]) -> str:
-    return hashlib.blake2b("".join(parts).encode(), digest_size=8).hexdigest()
 
+def node(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=NODE).digest()
 
-def phrases(line: str) -> list[str]:
-    """Leaf hashes of a paragraph: of each word if it has few, else of runs that end at every fourth word or so."""
+
+def phrases(line: str) -> tuple[int, ...]:
+    """Phrase codes of a paragraph: of each word if it has few, else of runs that end at every fourth word or so."""
     words: list[bytes] = []
-    for w in line.split():
+    for w in WORD.findall(line):
         words += [w.encode("utf-8", "surrogatepass")] if len(w) <= LONG_WORD else [w[i : i + 16].encode("utf-8", "surrogatepass") for i in range(0, len(w), 16)]
     if len(words) <= SHORT_LINE:
-        return [f"{crc32(w):08x}" for w in words]
+        return tuple(map(crc32, words))
     out, run = [], 0
     open_ = False
     for w in words:
         run = crc32(w, run)  # over the words of the run
         open_ = True
         if not crc32(w) & 3:
-            out.append(f"{run:08x}")
+            out.append(run)
             run, open_ = 0, False
     if open_:
-        out.append(f"{run:08x}")
-    return out
+        out.append(run)
+    return tuple(out)
 
 
 class Printer:
-    """Fingerprints of texts that follow each other; paragraphs seen lately are not hashed again."""
+    """Trees of texts that follow each other; paragraphs seen lately are not hashed again."""
 
     def __init__(self, keep: int = 4096):
         self.keep = keep
-        self.seen: dict[str, tuple[str, str]] = {}
+        self.seen: dict[str, tuple[Paragraph, bool]] = {}
 
-    def paragraph(self, line: str) -> tuple[str, str]:
-        """Its leaves, joined, and its node."""
+    def paragraph(self, line: str) -> tuple[Paragraph, bool]:
+        """The paragraph, and whether a section ends with it."""
         if line not in self.seen:
             if len(self.seen) >= self.keep:
                 self.seen.clear()
-            leaves = phrases(line)
-            self.seen[line] = ("".join(leaves), node(leaves)) if leaves else ("", "")
+            top = node(line.encode("utf-8", "surrogatepass"))
+            blank = not line or line.isspace()
+            self.seen[line] = Paragraph(top, () if not line else phrases(line)), blank or top[0] % SECTION_EVERY == 0
         return self.seen[line]
 
-    def fingerprint(self, text: str) -> str:
-        """Root and leaves. The root also covers the raw text, so texts that differ in white space alone differ in it."""
-        spelt, tops = [], []
-        leaves: list[str] = []
-        nodes: list[str] = []
+    def tree(self, text: str) -> Tree:
+        sections, own = [], []
         for line in text.split("\n"):
-            body, top = self.paragraph(line)
-            if not body:
-                continue  # a blank line has no leaves
-            leaves.append(body)
-            nodes.append(top)
-            if int(top, 16) % SECTION_EVERY == 0:
-                spelt.append(",".join(leaves))
-                tops.append(node(nodes))
-                leaves, nodes = [], []
-        if leaves:
-            spelt.append(",".join(leaves))
-            tops.append(node(nodes))
-        whole = hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
-        return node([whole, *tops]) + ":" + "/".join(spelt)
+            p, ends = self.paragraph(line)
+            own.append(p)
+            if ends:
+                sections.append(own)
+                own = []
+        if own:
+            sections.append(own)
+        done = [Section(node(b"".join([p.node for p in s])), s) for s in sections]
+        return Tree(node(b"".join([s.node for s in done])), done)
 
 
 def fingerprint(text: str) -> str:
-    return Printer().fingerprint(text)
+    return Printer().tree(text).spelt()
 
 
-def parse(print_: str) -> tuple[str, list[list[list[str]]]]:
+def parse(print_: str) -> Tree:
+    """The tree that a fingerprint spells. The nodes of sections follow from those of paragraphs."""
     root, _, body = print_.partition(":")
-    return root, [[[p[i : i + 8] for i in range(0, len(p), 8)] for p in s.split(",")] for s in body.split("/")] if body else []
-
-
-def leaves_of(print_: str) -> Counter:
-    body = print_.partition(":")[2].replace("/", "").replace(",", "")
-    return Counter([body[i : i + 8] for i in range(0, len(body), 8)])
 
-
-def likeness(one: str, two: str) -> float:
-    """Share of equal leaves of two fingerprints, 0 to 1; 1 for equal roots."""
-    if one.partition(":")[0] == two.partition(":")[0]:
+    def paragraph(p: str) -> Paragraph:
+        return Paragraph(bytes.fromhex(p[: 2 * NODE]), tuple(int(p[i : i + 8], 16) for i in range(2 * NODE, len(p), 8)))
+
+    sections = [[paragraph(p) for p in s.split(",")] for s in body.split("/")]
+    return Tree(bytes.fromhex(root), [Section(node(b"".join(p.node for p in s)), s) for s in sections])
+
+
+def _unlike(one: list, two: list) -> tuple[list, list, int]:
+    """What is left of two lists of nodes without their common members (as multisets), and the phrases in those, of both."""
+    left = Counter([x.node for x in two])
+    same = Counter([x.node for x in one]) & left
+    size = lambda x: len(x.phrases) if isinstance(x, Paragraph) else sum(len(p.phrases) for p in x.paragraphs)
+    rest, shared = [], 0
+    for side in (one, two):
+        count, own = same.copy(), []
+        for x in side:
+            if count[x.node] > 0:
+                count[x.node] -= 1
+                shared += size(x)
+            else:
+                own.append(x)
+        rest.append(own)
+    return rest[0], rest[1], shared
+
+
+def likeness(one: Tree, two: Tree) -> float:
+    """Share of phrases in equal branches of two trees, 0 to 1."""
+    if one.root == two.root:
         return 1.0
-    a, b = leaves_of(one), leaves_of(two)
-    total = a.total() + b.total()
-    return 2 * (a & b).total() / total if total else 0.0
-
-
-def differing_leaves(one: str, two: str) -> list[tuple[int, int, int]]:
-    """(section, paragraph, leaf) of the second tree's leaves that the first lacks, descending only where hashes differ."""
-    (r1, t1), (r2, t2) = parse(one), parse(two)
-    if r1 == r2:
+    total = one.phrases() + two.phrases()
+    if not total:
+        return 0.0
+    a, b, shared = _unlike(one.sections, two.sections)
+    a, b, more = _unlike([p for s in a for p in s.paragraphs], [p for s in b for p in s.paragraphs])
+    x, y = [v for p in a for v in p.phrases], [v for p in b for v in p.phrases]
+    plain = (Counter(x) & Counter(y)).total()
+    follow = lambda v: Counter([i << 32 | j for i, j in zip([0, *v], v, strict=False)])
+    kept = (follow(x) & follow(y)).total()
+    return min((shared + more + plain + kept) / total, 1 - 1 / (total + 1))
+
+
+class Edit(NamedTuple):
+    """kind: insert, delete or replace; (section, paragraph, first phrase, phrase after the last) in either tree, None where it has nothing there."""
+
+    kind: str
+    one: tuple[int, int, int, int] | None
+    two: tuple[int, int, int, int] | None
+
+
+def edits(one: str, two: str) -> list[Edit]:
+    """Where two fingerprints differ, descending into differing branches only. Empty exactly if roots are equal."""
+    a, b = parse(one), parse(two)
+    if a.root == b.root:
         return []
-    known_s = {node([node(p) for p in s]) for s in t1}
-    known_p = {node(p) for s in t1 for p in s}
-    known = {x for s in t1 for p in s for x in p}
-    return [
-        (i, j, k)
-        for i, s in enumerate(t2)
-        if node([node(p) for p in s]) not in known_s
-        for j, p in enumerate(s)
-        if node(p) not in known_p
-        for k, x in enumerate(p)
-        if x not in known
-    ]
+    m, n = [s.node for s in a.sections], [s.node for s in b.sections]
+    head = next((k for k, (x, y) in enumerate(zip(m, n, strict=False)) if x != y), min(len(m), len(n)))
+    tail = next((k for k, (x, y) in enumerate(zip(m[head:][::-1], n[head:][::-1], strict=False)) if x != y), min(len(m), len(n)) - head)
+    flat = lambda t: [(i, j, p) for i, s in enumerate(t.sections[head : len(t.sections) - tail], head) for j, p in enumerate(s.paragraphs)]
+    x, y = flat(a), flat(b)
+    out: list[Edit] = []
+    whole = lambda at: (at[0], at[1], 0, len(at[2].phrases))
+    for kind, i0, i1, j0, j1 in SequenceMatcher(None, [p.node for *_, p in x], [p.node for *_, p in y], autojunk=False).get_opcodes():
+        if kind == "equal":
+            continue
+        pairs = min(i1 - i0, j1 - j0)
+        for k in range(pairs):
+            (s, p, own), (t, q, other) = x[i0 + k], y[j0 + k]
+            inside = SequenceMatcher(None, own.phrases, other.phrases, autojunk=False).get_opcodes()
+            out += [Edit(how, (s, p, f0, f1) if f1 > f0 else None, (t, q, g0, g1) if g1 > g0 else None) for how, f0, f1, g0, g1 in inside if how != "equal"]
+        out += [Edit("delete", whole(at), None) for at in x[i0 + pairs : i1]]
+        out += [Edit("insert", None, whole(at)) for at in y[j0 + pairs : j1]]
+    return out
 
 
 def edited(text: str, following: str) -> str:
@@ -190,8 +257,8 @@ def fingerprints(df: DataFrame, ranges: int | None = None) -> DataFrame:
         def row(one: tuple, two: tuple) -> tuple:
             doc, text, own = one
             new = edited(text, two[1])
-            other = printer.fingerprint(new)
-            return doc, len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), own, other, likeness(own, other), likeness(own, two[2])
+            other = printer.tree(new)
+            return doc, len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), own.spelt(), other.spelt(), likeness(own, other), likeness(own, two[2])
 
         names = [f.split()[0] for f in FIELDS.split(", ")]
         for b in slices(batches):
@@ -199,7 +266,7 @@ def fingerprints(df: DataFrame, ranges: int | None = None) -> DataFrame:
             for ahead, doc, text in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("ahead", "doc_id", "text")), strict=True):
                 if ahead and closed:
                     continue
-                now = (doc, text, printer.fingerprint(text))
+                now = (doc, text, printer.tree(text))
                 if held is not None and not closed:
                     out.append(row(held, now))
                 held, closed, start = now, ahead, start or now
