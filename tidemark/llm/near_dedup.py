@@ -38,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import documents, forget, join_hot, scratch_dir, slices, sorted_groups, stash, text_or_empty
@@ -123,8 +123,13 @@ def set_name(values: bytes) -> bytes | None:
     return hashlib.blake2b(values, digest_size=16).digest() if values else None
 
 
+def text_id(text: Column) -> Column:
+    """Tells apart the texts of rows with equal doc_id."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def sketches(df: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_id (128-bit digest of the set; null if empty), minima (binary; null if empty)."""
+    """doc_id, text_id (64-bit hash of the text), n_shingles, set_id (128-bit digest of the set; null if empty), minima (binary; null if empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -135,9 +140,9 @@ def sketches(df: DataFrame) -> DataFrame:
                     n.append(len(s))
                     ident.append(set_name(s.tobytes()))
                     minima.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ident, pa.binary()), pa.array(minima, pa.binary())], names=["doc_id", "n_shingles", "set_id", "minima"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(ident, pa.binary()), pa.array(minima, pa.binary())], names=["doc_id", "text_id", "n_shingles", "set_id", "minima"])
 
-    return text_or_empty(df).mapInArrow(run, "doc_id long, n_shingles long, set_id binary, minima binary")
+    return text_or_empty(df).withColumn("text_id", text_id(F.col("text"))).mapInArrow(run, "doc_id long, text_id long, n_shingles long, set_id binary, minima binary")
 
 
 def prefix_hashes(reps: DataFrame, depth: int, trees: int) -> DataFrame:
@@ -400,7 +405,7 @@ def links_within(docs: DataFrame, classes: DataFrame, found: DataFrame, percent:
 
 
 def near_dedup(df: DataFrame, percent: int = 85, most: int = 1024, least: float | None = None) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
+    """One row per input row: doc_id, text_id, n_shingles, component_id, kept.
 
     least: estimated similarity under which a pair is not compared; with 128 minima, the default of 0.15 under the
     threshold is 4.2 (at 80 percent) to 4.8 (at 85 percent) standard deviations.
@@ -430,13 +435,13 @@ def near_dedup(df: DataFrame, percent: int = 85, most: int = 1024, least: float
     names = named.groupBy("component").agg(F.min("first").alias("component_id"))
     answers = stash(named.join(names, "component").select("set_id", "rows", "component_id"), "answers")
     forget(found, links, reps, classes, joined, named)
-    alone = sketch.where(F.col("set_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    answered = join_hot(full.select("doc_id", "n_shingles", "set_id"), answers, ["set_id"], "rows", full.count()).select("doc_id", "n_shingles", "component_id")
+    alone = sketch.where(F.col("set_id").isNull()).select("doc_id", "text_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    answered = join_hot(full.select("doc_id", "text_id", "n_shingles", "set_id"), answers, ["set_id"], "rows", full.count()).select("doc_id", "text_id", "n_shingles", "component_id")
     return answered.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return near_dedup(documents(spark, sf_dir))
+    return near_dedup(documents(spark, sf_dir)).drop("text_id")
 
 
 ORACLE = r"""

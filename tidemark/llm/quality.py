@@ -12,8 +12,9 @@ Bounds (parameters): `labelled` rows of each class and `pool` unlabelled rows re
 Held out: documents whose crc32(doc_id as text) mod 5 is 0 are never learned from; tests measure on them.
 
 Defined cases: null text is empty; a text without characters scores 0; null lang or source is a value of its own; where
-no label of both classes can be learned from, every other document scores 1 (nothing is known against it); rows with
-equal doc_id are scored each; other columns are ignored.
+no label of both classes can be learned from, every other document scores 1 (nothing is known against it); a document with
+contradictory labels counts as unlabelled; rows with equal doc_id are scored each; an empty table gives no rows; other
+columns are ignored, or kept where `score` is called with them.
 """
 
 from __future__ import annotations
@@ -76,7 +77,7 @@ def metadata(text: str, lang: str | None, source: str | None) -> np.ndarray:
 
 
 class Logistic:
-    """Logistic regression with an L2 penalty, by Newton steps on small inputs and Adam on large ones."""
+    """Logistic regression with an L2 penalty, by Adam steps of falling size on all rows."""
 
     def __init__(self, width: int, penalty: float):
         self.w, self.penalty = np.zeros(width + 1), penalty
@@ -158,30 +159,32 @@ def features(df: DataFrame) -> DataFrame:
     return df.select("doc_id", "quality", "text", "lang", "source").mapInArrow(run, "doc_id long, quality int, content binary, metadata binary")
 
 
-def sample(docs: DataFrame, labels: DataFrame, labelled: int, pool: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def sample(docs: DataFrame, labels: DataFrame, labelled: int, pool: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """ids, labels (-1: pool), content, metadata of the training rows; at most 2 * labelled + pool of them, by hash order."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 30))
-    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & fold).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
-    parts = [known.where(F.col("quality") == q).withColumn("draw", draw).orderBy("draw", "doc_id").limit(labelled).select("doc_id", "quality") for q in (0, 1)]
+    draw = lambda name: F.pmod(F.xxhash64("doc_id", F.lit(name)), F.lit(1 << 30))
+    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & fold).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+    known = known.agg(F.max("quality").cast("int").alias("quality"), F.min("quality").alias("least")).where(F.col("quality") == F.col("least")).drop("least")
+    parts = [known.where(F.col("quality") == q).withColumn("draw", draw("quality")).orderBy("draw", "doc_id").limit(labelled).select("doc_id", "quality") for q in (0, 1)]
     chosen = parts[0].unionByName(parts[1])  # at most 2 * labelled rows: small enough to broadcast
     plain = docs.where(F.col("text").isNotNull() & (F.length("text") > 0)).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source")
-    # copies of a document share its fate: the two smallest doc_ids would do, all labelled ones are kept
-    with_label = plain.join(F.broadcast(chosen), "doc_id")
     n = plain.select("doc_id").count()
     share = min(1.0, 1.3 * pool / max(1, n))
-    loose = plain.where(fold & (F.pmod(F.xxhash64("doc_id", F.lit("pool")), F.lit(1 << 30)) < int(share * (1 << 30)))).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti")
-    loose = loose.withColumn("quality", F.lit(None).cast("int")).orderBy("doc_id").limit(pool)
+    loose = plain.where(fold & (draw("pool") < int(share * (1 << 30)))).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti")
+    # rows of one doc_id beyond the bound: those with the lowest text hashes are taken, whatever their order
+    first = lambda df, most: df.orderBy(draw("pool"), "doc_id", F.xxhash64("text")).limit(most)
+    with_label = first(plain.join(F.broadcast(chosen), "doc_id"), 2 * labelled)
+    loose = first(loose.withColumn("quality", F.lit(None).cast("int")), pool)
     rows = features(with_label.unionByName(loose.select(with_label.columns))).collect()
     rows.sort(key=lambda r: (r.doc_id, r.content))
     y = np.array([-1 if r.quality is None else r.quality for r in rows], dtype=int)
     unpack = lambda name, width: np.frombuffer(b"".join(r[name] for r in rows), dtype=np.float32).reshape(-1, width)
-    return np.array([r.doc_id for r in rows], dtype=np.int64), y, unpack("content", CONTENT), unpack("metadata", META), draw
+    return np.array([r.doc_id for r in rows], dtype=np.int64), y, unpack("content", CONTENT), unpack("metadata", META)
 
 
 def learn(docs: DataFrame, labels: DataFrame, labelled: int = 1500, pool: int = 1500, rounds: int = 4, grow: int = 200, sure: float = 0.9) -> dict | None:
     """Weights, calibrations and view weights; None where one class is missing."""
-    ids, y, text, meta, _ = sample(docs, labels, labelled, pool)
+    ids, y, text, meta = sample(docs, labels, labelled, pool)
     known = np.flatnonzero(y >= 0)
     if len(set(y[known].tolist())) < 2 or len(known) < 10:
         return None
