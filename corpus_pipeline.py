@@ -2,18 +2,25 @@
 
 Every stage is a function of (spark, docs, sf_dir); its result is written as Parquet and read again as the next one's
 docs. All but the last return the columns of documents, for the documents they keep; the last returns one row a piece.
+
+Defined cases: rows are told apart by doc_id and text, so of two different texts under one doc_id, or under none, each is
+judged on its own; null text counts as empty and is rejected by the language stage (called alone, the stages behind it keep
+one empty document, and all of those without words as far as near copies go); an empty table gives no rows; other columns
+are kept as they are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup, language_id, near_dedup, packing, quality
-from tidemark.llm.common import documents, ship, stash
+from tidemark.llm.common import ascii_lower, documents, ship, stash
 
 #: A document is rejected by the language stage if its prediction is `und` or surer of no language than this.
 LEAST_LANGUAGE = 0.4
+#: Similarity in percent from which documents count as near copies.
+NEAR = 80
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,18 +36,25 @@ def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return quality.score(docs, model, "__").where(F.col("__score") >= quality.REJECT).select(*docs.columns)
 
 
+def pair(text_key) -> Column:
+    """Names a row by its doc_id, if any, and its text."""
+    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), text_key.cast("string"))
+
+
 def keep_one_exact_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row with the largest doc_id of each group of equal texts; of rows that repeat both, one."""
-    found = stash(exact_dedup.exact_dedup(docs).select("doc_id", "kept"), "exact")
-    left = docs.join(found.where(~F.col("kept")).select("doc_id").hint("merge"), "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.groupBy("doc_id").count().where("count > 1")
-    return left if repeated.isEmpty() else left.dropDuplicates(["doc_id", "text"])
+    found = exact_dedup.exact_dedup(docs).groupBy(pair(F.col("text_sha256")).alias("__pair")).agg(F.max("kept").alias("__kept"), F.count("*").alias("__rows"))
+    odd = stash(found.where(~F.col("__kept") | (F.col("__rows") > 1)), "exact")
+    own = docs.withColumn("__pair", pair(F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256)))
+    judged = own.join(odd.hint("merge"), "__pair", "left")  # grows with the input: the same plan at every size
+    again = judged.where(F.col("__kept") & (F.col("__rows") > 1)).dropDuplicates(["__pair"])
+    return judged.where(F.col("__kept").isNull()).unionByName(again).select(*docs.columns)
 
 
 def keep_one_near_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each component."""
-    dropped = near_dedup.near_dedup(docs).where(~F.col("kept")).select("doc_id").hint("merge")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """The document with the smallest doc_id of each component of near copies."""
+    dropped = near_dedup.near_dedup(docs, percent=NEAR).where(~F.col("kept")).select(pair(F.col("text_id")).alias("__pair")).hint("merge")
+    return docs.withColumn("__pair", pair(near_dedup.text_id(F.col("text")))).join(dropped, "__pair", "left_anti").select(*docs.columns)
 
 
 def pack_into_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
