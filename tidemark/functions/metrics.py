@@ -70,17 +70,16 @@ def auc_and_log_loss(df: DataFrame, score: str, label: str, floor: float = 1e-7)
 
 
 def early_stopping(df: DataFrame, step: str, score: str, patience: int, delta: float = 0.0) -> DataFrame:
-    """df (a short trace) with best (so far), improved, counter and stop; a score must beat the best by more than delta."""
-    order = Window.orderBy(step)
-    row = F.struct(F.col(score).alias("s"))
-    state = F.aggregate(
-        F.collect_list(row).over(order.rowsBetween(Window.unboundedPreceding, 0)),
-        F.struct(F.lit(None).cast("double").alias("best"), F.lit(0).alias("counter"), F.lit(False).alias("stop"), F.lit(False).alias("improved")),
-        lambda a, r: F.struct(
-            F.when(a["best"].isNull() | (r["s"] > a["best"] + delta), r["s"]).otherwise(a["best"]).alias("best"),
-            F.when(a["best"].isNull() | (r["s"] > a["best"] + delta), F.lit(0)).otherwise(a["counter"] + 1).alias("counter"),
-            (a["stop"] | (~(a["best"].isNull() | (r["s"] > a["best"] + delta)) & (a["counter"] + 1 >= patience))).alias("stop"),
-            (a["best"].isNull() | (r["s"] > a["best"] + delta)).alias("improved"),
-        ),
-    )
-    return df.withColumn("state", state).select(*df.columns, "state.best", "state.improved", "state.counter", "state.stop")
+    """step, score, best (so far), improved, counter and stop of a short trace (a row an evaluation), in one pass over its list; a score must beat the best by more than delta."""
+    trace = df.agg(F.sort_array(F.collect_list(F.struct(F.col(step).alias("t"), F.col(score).cast("double").alias("s")))).alias("l"))
+    first = F.struct(F.lit(None).cast("long").alias("t"), F.lit(None).cast("double").alias("s"), F.lit(None).cast("double").alias("best"), F.lit(False).alias("improved"), F.lit(0).alias("counter"), F.lit(False).alias("stop"))
+
+    def follow(seen: Column, r: Column) -> Column:
+        last = F.element_at(seen, -1)
+        better = last["best"].isNull() | (r["s"] > last["best"] + delta)
+        counter = F.when(better, F.lit(0)).otherwise(last["counter"] + 1)
+        new = F.struct(r["t"].cast("long").alias("t"), r["s"].alias("s"), F.when(better, r["s"]).otherwise(last["best"]).alias("best"), better.alias("improved"), counter.alias("counter"), (last["stop"] | (counter >= patience)).alias("stop"))
+        return F.concat(seen, F.array(new))
+
+    states = trace.select(F.explode(F.slice(F.aggregate("l", F.array(first), follow), 2, 2_147_483_646)).alias("r"))
+    return states.select(F.col("r.t").alias(step), F.col("r.s").alias(score), "r.best", "r.improved", "r.counter", "r.stop")

@@ -142,13 +142,26 @@ def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
+def one_decimal(x: Column) -> Column:
+    """A value of zero or more with one digit after the point, rounded by its exact binary value; exact halves go to the even digit.
+
+    20 x is compared with the odd number between two tenths without error: x is split in two halves whose products are exact.
+    """
+    k = F.floor(x * 10)
+    c = x * F.lit(134217729.0)
+    high = c - (c - x)
+    over = (high * 20 - (k * 2 + 1)) + (x - high) * 20
+    tenths = k + F.when((over > 0) | ((over == 0) & (k % 2 == 1)), 1).otherwise(0)
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
 def readable_duration(seconds: Column) -> Column:
     s = seconds.cast("double")
     return (
-        F.when(s < 120, F.format_string("%.0fs", s))
-        .when(s < 7200, F.format_string("%.1fm", s / 60))
-        .when(s < 172800, F.format_string("%.1fh", s / 3600))
-        .otherwise(F.format_string("%.1fd", s / 86400))
+        F.when(s < 120, F.concat(F.rint(s).cast("long").cast("string"), F.lit("s")))
+        .when(s < 7200, F.concat(one_decimal(s / 60), F.lit("m")))
+        .when(s < 172800, F.concat(one_decimal(s / 3600), F.lit("h")))
+        .otherwise(F.concat(one_decimal(s / 86400), F.lit("d")))
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.sequences import ratio
+from tidemark.operators.ranks import quantiles
 
 
 def hash_bucket(value: Column, buckets: int) -> Column:
@@ -33,7 +34,8 @@ def hash_ids(value: Column, size: int) -> Column:
 def quantile_buckets(df: DataFrame, column: str, buckets: int) -> DataFrame:
     """df with `bucket`: how many inner quantiles of log1p of the column (exact, linear) lie strictly below the value."""
     v = F.log1p(F.greatest(F.col(column).cast("double"), F.lit(0.0)))
-    cuts = df.agg(F.percentile(v, F.array(*[F.lit(k / buckets) for k in range(1, buckets)])).alias("cuts"))
+    found = quantiles(df.select(v.alias("value")), [], [k / buckets for k in range(1, buckets)])
+    cuts = found.agg(F.collect_list("v").alias("cuts"))  # a value a cut
     return df.crossJoin(F.broadcast(cuts)).withColumn("bucket", F.size(F.filter("cuts", lambda c: c < v - 1e-12)).cast("long")).drop("cuts")  # one row of cuts
 
 

@@ -7,16 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.sequences import ratio
+from tidemark.operators.holdout import hash_bucket
+from tidemark.operators.ranks import as_columns, block_of, quantiles
 
 
 def dense_profile(df: DataFrame, column: str) -> DataFrame:
-    """One row: rows, values, mean, std, min, max, median, p99, NaN count, all-zero rows."""
+    """One row: rows, values, mean, std, min, max, median, p99 (of finite values), NaN and infinite counts, all-zero rows."""
     values = df.select(F.explode(column).alias("v")).select(F.col("v").cast("double").alias("v"))
     good = ~F.isnan("v")
     v = F.when(good, F.col("v"))
-    stats = values.agg(F.count("*").alias("n_values"), F.avg(v).alias("mean"), F.stddev(v).alias("std"), F.min(v).alias("lowest"), F.max(v).alias("highest"), F.percentile(v, F.lit(0.5)).alias("p50"), F.percentile(v, F.lit(0.99)).alias("p99"), F.sum(F.when(good, 0).otherwise(1)).cast("long").alias("nan_values"))
+    stats = values.agg(F.count("*").alias("n_values"), F.avg(v).alias("mean"), F.stddev(v).alias("std"), F.min(v).alias("lowest"), F.max(v).alias("highest"), F.sum(F.when(good, 0).otherwise(1)).cast("long").alias("nan_values"), F.sum(F.when(F.abs("v") == float("inf"), 1).otherwise(0)).cast("long").alias("inf_values"))
+    cuts = as_columns(quantiles(values.where(F.abs("v") < float("inf")), [], [0.5, 0.99], "v"), [], ["p50", "p99"])
     rows = df.agg(F.count("*").alias("n_rows"), F.sum(F.when(F.forall(column, lambda x: x == 0), 1).otherwise(0)).cast("long").alias("zero_rows"), F.max(F.size(column)).alias("width"))
-    return rows.crossJoin(stats)  # one row each
+    return rows.crossJoin(stats).crossJoin(cuts)  # one row each
 
 
 def labels_by_day(rows: DataFrame, ts: str) -> DataFrame:
@@ -67,17 +70,12 @@ def split_points(groups: int, valid_ratio: float, train_ratio: float = 1.0, disj
 def row_groups(df: DataFrame, order: list[str], rows_per_group: int) -> DataFrame:
     """df with `row_group`, the ordinal of its run of rows_per_group rows in the given order.
 
-    Ranks come from counts of value ranges plus a rank inside each range, so no task sorts the whole table.
+    Ranks come from counts of value ranges of the first (numeric) order column plus a rank inside each range, so no task
+    sorts the whole table.
     """
-    placed = df.withColumn("__key", F.xxhash64(*order))
-    if len(order) == 1:
-        cuts = df.approxQuantile(order[0], [i / 16 for i in range(1, 16)], 0.01)
-        part = F.lit(0)
-        for c in sorted(set(cuts)):
-            part = part + F.when(F.col(order[0]) >= c, 1).otherwise(0)
-    else:
-        part = F.lit(0)
-    placed = placed.withColumn("__part", part)
+    span = df.agg(F.min(order[0]).alias("__low"), F.max(order[0]).alias("__high"))  # one row
+    placed = df.crossJoin(F.broadcast(span)).withColumn("__part", block_of(F.col(order[0]), F.col("__low"), F.col("__high"))).drop("__low", "__high")
+    placed = placed.withColumn("__key", F.xxhash64(*order))
     sizes = placed.groupBy("__part").agg(F.count("*").alias("n"))
     before = sizes.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     rank = F.row_number().over(Window.partitionBy("__part").orderBy(*order, "__key")) - 1
@@ -104,12 +102,17 @@ def file_row_groups(spark, path: str) -> DataFrame:
 
 def seeded_order(df: DataFrame, keys: list[str], seed: int) -> DataFrame:
     """A shuffle that repeats: rows ordered by a seeded hash of their keys."""
-    return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys)
+    return df.orderBy(seeded_hash(keys, seed), *keys)
 
 
 def seeded_sample(df: DataFrame, keys: list[str], share: float, seed: int) -> DataFrame:
     """A sampling operator: rows whose seeded hash falls in the share."""
-    return df.where(F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    return df.where(seeded_hash(keys, seed) < int(share * (1 << 32)))
+
+
+def seeded_hash(keys: list[str], seed: int):
+    """32 bits that other engines can recompute."""
+    return hash_bucket(F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))), 1 << 32)
 
 
 def last_prediction(df: DataFrame, user: str, order: str, value: str) -> DataFrame:
@@ -121,7 +124,7 @@ def windowed_mean(df: DataFrame, step: str, value: str, width: int = 500) -> Dat
     return df.groupBy(F.floor(F.col(step) / width).cast("long").alias("window")).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
 
 
-def mean_pooling(ids: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
-    """key, dim, value: mean of the vectors of a sample's nonzero ids. ids: key, token; vectors: token, vector."""
-    long = ids.where("token > 0").join(vectors, "token").select(key, F.posexplode("vector").alias("dim", "v"))
-    return long.groupBy(key, "dim").agg(F.avg(F.col("v").cast("double")).alias("value"))
+def mean_pooling(ids: DataFrame, vectors: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, dim, value: mean of the vectors of a sample's nonzero ids. ids: keys, token; vectors: token, vector."""
+    long = ids.where("token > 0").join(vectors, "token").select(*keys, F.posexplode("vector").alias("dim", "v"))
+    return long.groupBy(*keys, "dim").agg(F.avg(F.col("v").cast("double")).alias("value"))

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions.edges import position_bucket
 from tidemark.functions.sequences import ratio
+from tidemark.operators.ranks import ranked
 
 
 def positive() -> Column:
@@ -46,8 +47,8 @@ def length_quantiles(per: DataFrame) -> DataFrame:
     return per.groupBy("domain").agg(*parts)
 
 
-def length_histogram(per: DataFrame) -> DataFrame:
-    return per.groupBy("domain", "raw_len").agg(F.count("*").alias("n"))
+def length_histogram(per: DataFrame, length: str = "raw_len") -> DataFrame:
+    return per.groupBy("domain", length).agg(F.count("*").alias("n"))
 
 
 def position_totals(tokens: DataFrame) -> DataFrame:
@@ -59,28 +60,20 @@ def token_counts(tokens: DataFrame) -> DataFrame:
     return tokens.where("token > 0").groupBy("domain", "token").agg(F.count("*").alias("n"), count_if(positive()).alias("pos"), count_if(F.col("pos") < 50).alias("head"))
 
 
-def ranked(counts: DataFrame) -> DataFrame:
-    """rank by count, ties by id, with running sums."""
-    order = Window.partitionBy("domain").orderBy(F.col("n").desc(), "token")
-    run = order.rowsBetween(Window.unboundedPreceding, 0)
-    sums = [F.sum(c).over(run).alias(f"run_{c}") for c in ("n", "pos", "head")]
-    return counts.select("*", F.row_number().over(order).alias("rank"), *sums)
-
-
 def domain_totals(counts: DataFrame) -> DataFrame:
     return counts.groupBy("domain").agg(F.sum("n").alias("total"), F.sum("pos").alias("total_pos"), F.count("*").alias("ids"))
 
 
 def heavy_hitters(counts: DataFrame, k: int = 20) -> DataFrame:
     """The k most frequent ids of each domain with coverage and positive rate."""
-    top = ranked(counts).where(F.col("rank") <= k).join(F.broadcast(domain_totals(counts)), "domain")
+    top = ranked(counts, k).where(F.col("rank") <= k).join(F.broadcast(domain_totals(counts)), "domain")
     return top.select("domain", "rank", "token", "n", ratio(F.col("n"), F.col("total")).alias("coverage"), ratio(F.col("pos"), F.col("n")).alias("pos_rate"))
 
 
 def topk_coverage(counts: DataFrame, ks: list[int]) -> DataFrame:
     """A row a domain and K; a K beyond the number of ids takes all of them."""
     wanted = F.explode(F.array(*[F.lit(k) for k in ks])).alias("k")
-    rows = ranked(counts).select("*", wanted).where(F.col("rank") <= F.col("k"))
+    rows = ranked(counts, max(ks)).select("*", wanted).where(F.col("rank") <= F.col("k"))
     quantile = lambda p: F.floor(F.round(F.expr(f"percentile(n, {p})"), 6)).cast("long")
     low = lambda t: ratio(count_if(F.col("n") < t), F.count("*")).alias(f"share_lt{t}")
     got = rows.groupBy("domain", "k").agg(F.sum("n").alias("count"), F.sum("pos").alias("pos"), F.sum("head").alias("head"), F.min("n").alias("cutoff_count"), quantile(0.1).alias("count_p10"), quantile(0.5).alias("count_p50"), low(10), low(50), low(100))
@@ -92,9 +85,9 @@ def count_thresholds(counts: DataFrame, thresholds: list[int]) -> DataFrame:
     """A row a domain and minimum count: how many ids reach it and what they cover; rows for thresholds nobody reaches too."""
     t = F.explode(F.array(*[F.lit(x) for x in thresholds])).alias("min_count")
     hit = F.col("n") >= F.col("min_count")
-    got = counts.select("*", t).groupBy("domain", "min_count").agg(count_if(hit).alias("k"), F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("count"), F.sum(F.when(hit, F.col("pos")).otherwise(0)).alias("pos"), F.sum("n").alias("total"), F.min(F.when(hit, F.col("n"))).alias("cutoff_count"))
+    got = counts.select("*", t).groupBy("domain", "min_count").agg(count_if(hit).alias("k"), F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("count"), F.sum(F.when(hit, F.col("pos")).otherwise(0)).alias("pos"), F.sum(F.when(hit, F.col("head")).otherwise(0)).alias("head"), F.sum("n").alias("total"), F.min(F.when(hit, F.col("n"))).alias("cutoff_count"))
     cover = ratio(F.col("count"), F.col("total"))
-    return got.select("domain", "min_count", "k", "count", cover.alias("coverage"), (1 - cover).alias("default_share"), ratio(F.col("pos"), F.col("count")).alias("pos_rate"), F.coalesce("cutoff_count", F.lit(0)).cast("long").alias("cutoff_count"), F.when(F.col("k") > 0, F.col("k") + 2).otherwise(0).cast("long").alias("embedding_rows"))
+    return got.select("domain", "min_count", "k", "count", cover.alias("coverage"), (1 - cover).alias("default_share"), ratio(F.col("pos"), F.col("count")).alias("pos_rate"), ratio(F.col("head"), F.col("total")).alias("pos0_50_coverage"), F.coalesce("cutoff_count", F.lit(0)).cast("long").alias("cutoff_count"), F.when(F.col("k") > 0, F.col("k") + 2).otherwise(0).cast("long").alias("embedding_rows"))
 
 
 def recommended_k(coverage: DataFrame, ks: list[int]) -> DataFrame:
@@ -115,13 +108,20 @@ def rescue_scores(counts: DataFrame, ks: list[int], capacity: int | None = None)
     return best.join(tail, "domain").select("domain", "k", "coverage", "tail_count", lift.alias("head_tail_lift"), score.alias("rescue_score"))
 
 
+def position_split(tokens: DataFrame, map_: DataFrame) -> DataFrame:
+    """domain, bucket, in_head, n, pos: tokens of each position bucket whose id is in the map or not."""
+    known = map_.select("domain", "token", F.lit(True).alias("__known"))
+    marked = tokens.where("token > 0").join(known, ["domain", "token"], "left").withColumn("in_head", F.col("__known").isNotNull())
+    return marked.groupBy("domain", position_bucket(F.col("pos")).alias("bucket"), "in_head").agg(F.count("*").alias("n"), count_if(positive()).alias("pos"))
+
+
 def topk_map(counts: DataFrame, k: int) -> DataFrame:
     """domain, token, rank of the first k ids: the map that remap() reads."""
-    return ranked(counts).where(F.col("rank") <= k).select("domain", "token", "rank")
+    return ranked(counts, k).where(F.col("rank") <= k).select("domain", "token", "rank")
 
 
 def min_count_map(counts: DataFrame, least: int) -> DataFrame:
-    return ranked(counts).where(F.col("n") >= least).select("domain", "token", "rank")
+    return ranked(counts.where(F.col("n") >= least)).select("domain", "token", "rank")
 
 
 def recut(map_: DataFrame, k: int) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 
 from tidemark.functions.edges import GAP_EDGES, count_less
 from tidemark.functions.sequences import ratio, round_edge, strictly_increasing
+from tidemark.operators import ranks
+from tidemark.operators.ranks import as_columns, quantiles
 
 QUANTILES = (0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99)
 
@@ -66,8 +68,15 @@ def bucket_statistics(hist: DataFrame) -> DataFrame:
 
 def value_summary(values: DataFrame) -> DataFrame:
     """count, min, max, mean and nine linear-interpolated quantiles, cut to whole seconds."""
-    q = [F.floor(F.round(F.expr(f"percentile(value, {x})"), 6)).cast("long").alias(quantile_name(x)) for x in QUANTILES]
-    return values.groupBy("domain").agg(F.count("*").alias("n"), F.min("value").alias("lowest"), F.max("value").alias("highest"), F.avg("value").alias("mean"), *q)
+    plain = values.groupBy("domain").agg(F.count("*").alias("n"), F.min("value").alias("lowest"), F.max("value").alias("highest"), F.avg("value").alias("mean"))
+    return plain.join(whole_seconds(values, ["domain"]), "domain")
+
+
+def whole_seconds(values: DataFrame, by: list[str]) -> DataFrame:
+    """The nine quantiles of a group, cut to whole seconds."""
+    names = [quantile_name(x) for x in QUANTILES]
+    got = as_columns(quantiles(values, by, list(QUANTILES)), by, names)
+    return got.select(*by, *[F.floor(F.round(n, 6)).cast("long").alias(n) for n in names])
 
 
 def divergence(hist: DataFrame) -> DataFrame:
@@ -87,12 +96,14 @@ def keep_rate(valid: DataFrame) -> DataFrame:
 
 
 def slot_recency(valid: DataFrame) -> DataFrame:
-    """Median age at the first, middle and last kept slot; the middle is min(n - 1, cap div 2)."""
+    """Age quantiles at the first, middle and last kept slot; the middle is min(n - 1, cap div 2)."""
     n = F.least(F.col("n_valid"), F.col("cap"))
     slots = F.array(F.struct(F.lit("first").alias("slot"), F.lit(0).cast("long").alias("want")), F.struct(F.lit("middle").alias("slot"), F.least(n - 1, F.floor(F.col("cap") / 2)).cast("long").alias("want")), F.struct(F.lit("last").alias("slot"), (n - 1).cast("long").alias("want")))
     rows = valid.where("kept").select("domain", "at", "row_ts", "ts", F.explode(slots).alias("s")).where(F.col("at") == F.col("s.want"))
     age = F.greatest(F.col("row_ts") - F.col("ts"), F.lit(0).cast("long"))
-    return rows.groupBy("domain", F.col("s.slot").alias("slot")).agg(F.count("*").alias("n"), F.floor(F.round(F.percentile(age, F.lit(0.5)), 6)).cast("long").alias("p50"))
+    ages = rows.select("domain", F.col("s.slot").alias("slot_name"), age.alias("value"))
+    got = ages.groupBy("domain", "slot_name").agg(F.count("*").alias("n")).join(whole_seconds(ages, ["domain", "slot_name"]), ["domain", "slot_name"])
+    return got.withColumnRenamed("slot_name", "slot")
 
 
 def edge_candidates(values: DataFrame, quantiles: list[float], reducer: str = "mean") -> list[int]:
@@ -104,7 +115,7 @@ def edge_candidates(values: DataFrame, quantiles: list[float], reducer: str = "m
 def rounded_quantiles(values: DataFrame, quantiles: list[float], reducer: str = "mean") -> DataFrame:
     if reducer not in ("mean", "median"):
         raise ValueError("reducer is mean or median")
-    per = values.groupBy("domain").agg(F.percentile("value", F.array(*[F.lit(q) for q in quantiles])).alias("q")).select("domain", F.posexplode("q").alias("slot", "v"))
+    per = ranks.quantiles(values, ["domain"], quantiles)
     across = F.avg("v") if reducer == "mean" else F.percentile("v", F.lit(0.5))
     return per.groupBy("slot").agg(across.alias("v")).select("slot", round_edge(F.col("v")).alias("edge"))
 
@@ -112,7 +123,7 @@ def rounded_quantiles(values: DataFrame, quantiles: list[float], reducer: str =
 def suggested_edges(values: DataFrame, n: int) -> DataFrame:
     """domain, edge: distinct rounded quantiles from 2 % to 98 %, at least 1."""
     q = [0.02 + 0.96 * k / (n - 1) for k in range(n)]
-    per = values.groupBy("domain").agg(F.percentile("value", F.array(*[F.lit(x) for x in q])).alias("q")).select("domain", F.explode("q").alias("v"))
+    per = quantiles(values, ["domain"], q)
     return per.select("domain", F.greatest(F.lit(1).cast("long"), F.bround("v", 0).cast("long")).alias("edge")).distinct()
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import edges as E
 from tidemark.functions import metrics as M
 from tidemark.functions import sequences as S
-from tidemark.operators import holdout, profile, tail, timebuckets
+from tidemark.operators import holdout, profile, ranks, tail, timebuckets
 from tidemark.session import table
 from tidemark.sources import adapters, schema
 
@@ -221,6 +221,12 @@ def truncation_rates(spark, d):
     return rounded(profile.truncation(tail.sample_lengths(tok, rows, "user_id"), CAP))
 
 
+@query("nonzero_length_histogram", f"WITH {LENGTHS} SELECT domain, nonzero_len, count(*) AS n FROM ln GROUP BY 1, 2")
+def nonzero_length_histogram(spark, d):
+    tok, rows = event_lengths(spark, d)
+    return tail.length_histogram(tail.sample_lengths(tok, rows, "user_id"), "nonzero_len")
+
+
 @query("position_buckets", f"""WITH {EVENTS} SELECT domain, CASE WHEN pos < 10 THEN 'pos0_10' WHEN pos < 50 THEN 'pos10_50' WHEN pos < 100 THEN 'pos50_100' WHEN pos < 256 THEN 'pos100_256' ELSE 'pos256_plus' END AS bucket,
 count(*) AS n, count(*) FILTER (label_type = 2) AS pos FROM seqs WHERE token > 0 GROUP BY 1, 2""")
 def position_buckets(spark, d):
@@ -253,9 +259,16 @@ for _parts in (True, False):
 cutoff_count, count_p10, count_p50, round(share_lt10, 6) AS share_lt10, round(share_lt50, 6) AS share_lt50, round(share_lt100, 6) AS share_lt100 FROM cov""")(coverage_query(_parts))
 
 
+@query("position_split", f"""WITH {BASE[False]} SELECT tok.domain, CASE WHEN tok.pos < 10 THEN 'pos0_10' WHEN tok.pos < 50 THEN 'pos10_50' WHEN tok.pos < 100 THEN 'pos50_100' WHEN tok.pos < 256 THEN 'pos100_256' ELSE 'pos256_plus' END AS bucket,
+rk.rank <= 30 AS in_head, count(*) AS n, count(*) FILTER (label_type = 2) AS pos FROM tok JOIN rk ON rk.domain = tok.domain AND rk.token = tok.token GROUP BY 1, 2, 3""")
+def position_split(spark, d):
+    tok = adapters.event_sequences(spark, d)
+    return tail.position_split(tok, tail.topk_map(tail.token_counts(tok), 30))
+
+
 @query("count_thresholds", f"""WITH {BASE[True]}, t AS (SELECT unnest({THRESHOLDS}) AS m), g AS (SELECT domain, m, count(*) FILTER (n >= m) AS k, CAST(coalesce(sum(n) FILTER (n >= m), 0) AS BIGINT) AS c,
-coalesce(sum(pos) FILTER (n >= m), 0) AS p, sum(n) AS total, coalesce(min(n) FILTER (n >= m), 0) AS cut FROM rk, t GROUP BY 1, 2)
-SELECT domain, CAST(m AS BIGINT) AS min_count, k, c AS count, round(c / total, 6) AS coverage, round(1 - c / total, 6) AS default_share, round(CASE WHEN c = 0 THEN 0 ELSE p / c END, 6) AS pos_rate, cut AS cutoff_count, CASE WHEN k > 0 THEN k + 2 ELSE 0 END AS embedding_rows FROM g""")
+coalesce(sum(pos) FILTER (n >= m), 0) AS p, coalesce(sum(head) FILTER (n >= m), 0) AS h, sum(n) AS total, coalesce(min(n) FILTER (n >= m), 0) AS cut FROM rk, t GROUP BY 1, 2)
+SELECT domain, CAST(m AS BIGINT) AS min_count, k, c AS count, round(c / total, 6) AS coverage, round(1 - c / total, 6) AS default_share, round(CASE WHEN c = 0 THEN 0 ELSE p / c END, 6) AS pos_rate, round(h / total, 6) AS pos0_50_coverage, cut AS cutoff_count, CASE WHEN k > 0 THEN k + 2 ELSE 0 END AS embedding_rows FROM g""")
 def count_thresholds(spark, d):
     return rounded(tail.count_thresholds(counts_of(spark, d, True), THRESHOLDS).withColumn("min_count", F.col("min_count").cast("long")))
 
@@ -287,7 +300,7 @@ def min_count_map(spark, d):
 
 @query("candidate_split", f"WITH {BASE[True]} SELECT domain, rank <= 300 AS in_head, count(*) AS ids, CAST(sum(n) AS BIGINT) AS tokens, CAST(sum(pos) AS BIGINT) AS pos FROM rk GROUP BY 1, 2")
 def candidate_split(spark, d):
-    r = tail.ranked(counts_of(spark, d, True))
+    r = ranks.ranked(counts_of(spark, d, True))
     return r.groupBy("domain", (F.col("rank") <= 300).alias("in_head")).agg(F.count("*").alias("ids"), F.sum("n").alias("tokens"), F.sum("pos").alias("pos"))
 
 
@@ -356,7 +369,7 @@ def keep_rate(spark, d):
 
 @query("slot_recency", f"""WITH {VALID}, k AS (SELECT domain, slot_at, greatest(row_ts - ts, 0) AS age, least(nv, {CAP}) AS n FROM va WHERE slot_at < {CAP}),
 s AS (SELECT domain, 'first' AS slot, age FROM k WHERE slot_at = 0 UNION ALL SELECT domain, 'middle', age FROM k WHERE slot_at = least(n - 1, {CAP // 2}) UNION ALL SELECT domain, 'last', age FROM k WHERE slot_at = n - 1)
-SELECT domain, slot, count(*) AS n, CAST(floor(round(quantile_cont(age, 0.5), 6)) AS BIGINT) AS p50 FROM s GROUP BY 1, 2""")
+SELECT domain, slot, count(*) AS n, {", ".join(f"CAST(floor(round(quantile_cont(age, {x}), 6)) AS BIGINT) AS {timebuckets.quantile_name(x)}" for x in timebuckets.QUANTILES)} FROM s GROUP BY 1, 2""")
 def slot_recency(spark, d):
     return timebuckets.slot_recency(valid_events(spark, d))
 
@@ -373,17 +386,17 @@ for _r, _agg in (("mean", "avg(q)"), ("median", "quantile_cont(q, 0.5)")):
 m AS (SELECT x, {_agg} AS v FROM p GROUP BY 1) SELECT row_number() OVER (ORDER BY x) - 1 AS slot, {ROUND_SQL} AS edge FROM m""")(edge_query(_r))
 
 
-@query("suggested_edges")
+@query("suggested_edges", f"""WITH {VALID}, p AS (SELECT domain, unnest(quantile_cont(value, {[0.02 + 0.96 * k / 62 for k in range(63)]})) AS q FROM rec GROUP BY 1)
+SELECT DISTINCT domain, CAST(greatest(1, round_even(q, 0)) AS BIGINT) AS edge FROM p""")
 def suggested_edges(spark, d):
     return timebuckets.suggested_edges(timebuckets.recencies(valid_events(spark, d)), 63)
 
 
 @query("duration_format", f"""WITH {VALID}, s AS (SELECT DISTINCT value AS v FROM rec) SELECT v AS seconds, CASE WHEN v < 120 THEN printf('%.0fs', v::DOUBLE) WHEN v < 7200 THEN printf('%.1fm', v / 60) WHEN v < 172800 THEN printf('%.1fh', v / 3600) ELSE printf('%.1fd', v / 86400) END AS readable,
-{ROUND_SQL} AS rounded FROM (SELECT v FROM s WHERE (v * 10) % 36 <> 18 AND (v * 10) % 864 <> 432)""")
+{ROUND_SQL} AS rounded FROM s""")
 def duration_format(spark, d):
     v = timebuckets.recencies(valid_events(spark, d)).select(F.col("value").alias("seconds")).distinct()
-    exact = (F.col("seconds") * 10 % 36 != 18) & (F.col("seconds") * 10 % 864 != 432)  # halves print by each engine's own rule
-    return v.where(exact).select("seconds", S.readable_duration(F.col("seconds")).alias("readable"), S.round_edge(F.col("seconds")).alias("rounded"))
+    return v.select("seconds", S.readable_duration(F.col("seconds")).alias("readable"), S.round_edge(F.col("seconds")).alias("rounded"))
 
 
 @query("recency_signs", f"WITH {EVENTS} SELECT domain, count(*) FILTER (row_ts > ts) AS before, count(*) FILTER (row_ts = ts) AS at, count(*) FILTER (row_ts < ts) AS after, min(ts) AS first_ts, max(ts) AS last_ts FROM seqs WHERE ts > 0 GROUP BY 1")
@@ -412,7 +425,7 @@ def feature_offsets(spark, d):
 
 
 @query("dense_profile", """WITH v AS (SELECT CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) SELECT (SELECT count(*) FROM embeddings) AS n_rows, (SELECT count(*) FROM embeddings WHERE list_sum(list_transform(embedding, lambda x: abs(x))) = 0) AS zero_rows, (SELECT max(len(embedding)) FROM embeddings) AS width,
-count(*) AS n_values, round(avg(v), 4) AS mean, round(stddev(v), 4) AS std, round(min(v), 4) AS lowest, round(max(v), 4) AS highest, round(quantile_cont(v, 0.5), 4) AS p50, round(quantile_cont(v, 0.99), 4) AS p99, CAST(0 AS BIGINT) AS nan_values FROM v""")
+count(*) AS n_values, round(avg(v), 4) AS mean, round(stddev(v), 4) AS std, round(min(v), 4) AS lowest, round(max(v), 4) AS highest, round(quantile_cont(v, 0.5), 4) AS p50, round(quantile_cont(v, 0.99), 4) AS p99, count(*) FILTER (isnan(v)) AS nan_values, count(*) FILTER (isinf(v)) AS inf_values FROM v""")
 def dense_profile(spark, d):
     return rounded(profile.dense_profile(table(spark, d, "embeddings"), "embedding").withColumn("width", F.col("width").cast("long")), 4)
 
@@ -440,12 +453,12 @@ def row_group_split(spark, d):
 @query("user_overlap", "WITH m AS (SELECT quantile_disc(event_id, 0.8) AS c FROM events), t AS (SELECT DISTINCT user_id FROM events, m WHERE event_id <= c), v AS (SELECT DISTINCT user_id FROM events, m WHERE event_id > c) SELECT (SELECT count(*) FROM t) AS train_users, (SELECT count(*) FROM v) AS valid_users, (SELECT count(*) FROM t JOIN v USING (user_id)) AS both")
 def user_overlap(spark, d):
     e = table(spark, d, "events")
-    cut = e.agg(F.expr("percentile_disc(0.8) WITHIN GROUP (ORDER BY event_id)").cast("long").alias("c"))
+    cut = ranks.quantiles(e, [], [0.8], "event_id", nearest=True).select(F.col("v").cast("long").alias("c"))
     marked = e.crossJoin(F.broadcast(cut))  # one row
     return profile.user_overlap(marked.where("event_id <= c"), marked.where("event_id > c"), "user_id")
 
 
-@query("seeded_sample")
+@query("seeded_sample", "SELECT event_id, user_id FROM events WHERE CAST('0x' || substr(md5(event_id || ':7'), 1, 8) AS BIGINT) < 429496729")
 def seeded_sample(spark, d):
     return profile.seeded_order(profile.seeded_sample(table(spark, d, "events").select("event_id", "user_id"), ["event_id"], 0.1, 7), ["event_id"], 11)
 
@@ -515,12 +528,12 @@ def dedup_last_prediction(spark, d):
     return profile.last_prediction(table(spark, d, "events"), "user_id", "event_id", "value")
 
 
-@query("masked_mean_pooling", f"""WITH {EVENTS}, e AS (SELECT user_id, embedding FROM seqs JOIN embeddings ON vec_id = token WHERE token > 0 AND domain = 'purchase'),
-l AS (SELECT user_id, unnest(embedding) AS v, unnest(range(len(embedding))) AS dim FROM e) SELECT user_id, dim, round(avg(CAST(v AS DOUBLE)), 5) AS value FROM l WHERE dim < 4 GROUP BY 1, 2""")
+@query("masked_mean_pooling", f"""WITH {EVENTS}, e AS (SELECT user_id, domain, embedding FROM seqs JOIN embeddings ON vec_id = token WHERE token > 0),
+l AS (SELECT user_id, domain, unnest(embedding) AS v, unnest(range(len(embedding))) AS dim FROM e) SELECT user_id, domain, dim, round(avg(CAST(v AS DOUBLE)), 5) AS value FROM l GROUP BY 1, 2, 3""")
 def masked_mean_pooling(spark, d):
-    tok = adapters.event_tokens(spark, d).where("domain = 'purchase'")
-    vec = table(spark, d, "embeddings").select(F.col("vec_id").alias("token"), F.slice("embedding", 1, 4).alias("vector"))
-    return rounded(profile.mean_pooling(tok, vec, "user_id").withColumn("dim", F.col("dim").cast("long")), 5)
+    tok = adapters.event_tokens(spark, d)
+    vec = table(spark, d, "embeddings").select(F.col("vec_id").alias("token"), F.col("embedding").alias("vector"))
+    return rounded(profile.mean_pooling(tok, vec, ["user_id", "domain"]).withColumn("dim", F.col("dim").cast("long")), 5)
 
 
 @query("token_mixing", "SELECT CAST(row_number() OVER (ORDER BY h, t, k) - 1 AS BIGINT) AS slot, t AS token, h * 2 + k AS \"offset\" FROM range(4) a(h), range(4) b(t), range(2) c(k)")
@@ -533,7 +546,7 @@ def token_mixing(spark, d):
 SELECT CASE WHEN ts >= c THEN 'time_tail' WHEN CAST('0x' || substr(md5(CAST(user_id AS VARCHAR)), 1, 8) AS BIGINT) % 10 = 0 THEN 'user_hash' ELSE 'train' END AS part, count(*) AS n, count(DISTINCT user_id) AS users FROM ev, c GROUP BY 1""")
 def three_way_holdout(spark, d):
     ev = adapters.event_tokens(spark, d)
-    cut = ev.agg(F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY ts)").cast("long").alias("c"))
+    cut = ranks.quantiles(ev, [], [0.9], "ts", nearest=True).select(F.col("v").cast("long").alias("c"))
     parts = holdout.three_way(ev.crossJoin(F.broadcast(cut)), "user_id", "ts", F.col("c"))  # one row
     return parts.groupBy("part").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
 
