@@ -3,7 +3,7 @@
 Every text has a 64-bit key, the hash of its normalised form. Bucket b of local depth d owns the keys that begin with its
 d bits, which is one contiguous key range. The directory starts with one bucket; it doubles, and overfull buckets are split,
 until none holds more distinct keys than the capacity. The capacity rises with the number of keys so that the directory
-stays within some 2**16 slots, whatever the input: buckets are sorted runs on disk and need not fit in memory.
+stays within some 2**18 slots, whatever the input: buckets are sorted runs on disk and need not fit in memory.
 
 Rows are routed to their bucket by the directory. Each owner task gets whole buckets, compares the bytes of the texts in
 them (entries are grouped by the text itself), chains the entries of one key and writes its buckets to the shared folder
@@ -68,10 +68,10 @@ def slots_of(buckets: list[Prefix]) -> tuple[int, list[tuple[int, int, int]]]:
 def directory(keys: DataFrame, capacity: int) -> tuple[int, DataFrame]:
     """Global depth, and slot, bucket, local_depth of every slot. keys: distinct.
 
-    What reaches the driver: counts of at most 2**FIRST prefixes, then of 2**STEP for each overfull one (at most 2**14).
+    What reaches the driver: counts of at most 2**FIRST prefixes, then of 2**STEP for each overfull one (at most 2**16).
     """
     spark = keys.sparkSession
-    capacity = max(capacity, keys.count() >> 14)
+    capacity = max(capacity, keys.count() >> 16)
     buckets, open_, depth = [], [(0, 0)], FIRST
     while open_:
         some = keys
@@ -105,7 +105,7 @@ def build_index(df: DataFrame, digests: DataFrame, total: int, capacity: int) ->
     return index
 
 
-def exact_dedup(df: DataFrame, capacity: int = 8192) -> DataFrame:
+def exact_dedup(df: DataFrame, capacity: int = 2048) -> DataFrame:
     """One row per document: doc_id, keep_id (largest doc_id of its group), group_size, kept, text_sha256, bucket, chain."""
     digests = stash(normalised(df).select("doc_id", "key", F.unhex(F.sha2(F.col("norm"), 256)).alias("sha")), "digests")
     total = digests.count()
