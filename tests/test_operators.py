@@ -86,3 +86,62 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = events.windowed_counts(table.withColumn("ts", F.col("ts").cast("timestamp")))
     assert spark.table("counts").count() == batch.count()
     assert spark.table("counts").agg(F.sum("n")).first()[0] == table.count()
+
+
+def test_checks_and_reports(spark, tmp_path):
+    import json
+
+    from tidemark.functions import sequences as S
+    from tidemark.operators import holdout, ranks, tail
+    from tidemark.sources import maps, schema
+
+    tokens = spark.createDataFrame([("a", 3), ("a", 90), ("b", 5)], "domain string, token long")
+    assert [tuple(r) for r in tail.check_bounds(tokens, 64).collect()] == [("a", 1, 90, 90)]
+    with pytest.raises(ValueError, match="a: 1 values"):
+        tail.check_bounds(tokens, 64, strict=True)
+    assert tail.check_bounds(tokens, 100, strict=True).count() == 0
+    maps.write_report(tail.check_bounds(tokens, 64), str(tmp_path / "oob.json"))
+    assert json.loads((tmp_path / "oob.json").read_text()) == [{"domain": "a", "n": 1, "lowest": 90, "highest": 90}]
+    users = spark.createDataFrame([("u1", 0.25), ("u2", 0.5)], "user string, p double").coalesce(1)
+    assert maps.write_prediction_object(users, str(tmp_path / "p.json"), "user", "p") == 2
+    assert json.loads((tmp_path / "p.json").read_text()) == {"predictions": {"u1": 0.25, "u2": 0.5}}
+    assert "more rows than the 2" in maps.markdown(tokens, "t", 2) and "more rows" not in maps.markdown(tokens, "t", 3)
+    own = schema.FeatureSchema.parse({"seq": {"seq_a": {"prefix": "p", "features": [[38, 10]]}}})
+    schema.check_targets([("seq_a", 38, None)], own)
+    with pytest.raises(ValueError, match="seq_b:38"):
+        schema.check_targets([("seq_a", 38, None), ("seq_b", 38, 5)], own)
+    assert holdout.row_cap(tokens, 2).count() == 2 and holdout.row_cap(tokens, 0).count() == 3
+    mask = users.select(S.gather_mask(F.lit(2), 3).alias("m")).first().m
+    assert mask == [True, True, False]
+    texts = [spark.range(1).select(S.readable_duration(F.lit(s)).alias("t")).first().t for s in (119, 123, 129, 135, 8100, 9900, 604800)]
+    assert texts == [f"{119:.0f}s", f"{123 / 60:.1f}m", f"{129 / 60:.1f}m", f"{135 / 60:.1f}m", f"{8100 / 3600:.1f}h", f"{9900 / 3600:.1f}h", f"{604800 / 86400:.1f}d"]
+
+
+def test_ranks_and_quantiles(spark):
+    import numpy as np
+
+    from tidemark.operators import ranks
+
+    rng = np.random.default_rng(3)
+    rows = [(d, int(v)) for d, v in [*(("x", v) for v in rng.zipf(1.3, 3000) % 10**7), *(("y", 7) for _ in range(50)), ("z", -4), *(("w", v) for v in rng.integers(-50, 50, 999))]]
+    values = spark.createDataFrame([*rows, ("x", None)], "domain string, value long")
+    wanted = [0.0, 0.01, 0.25, 0.5, 0.9, 0.999, 1.0]
+    got = {(r.domain, r.slot): r.v for r in ranks.quantiles(values, ["domain"], wanted).collect()}
+    for d in "xyzw":
+        own = np.array([v for e, v in rows if e == d])
+        assert [got[d, k] for k in range(len(wanted))] == pytest.approx(np.quantile(own, wanted).tolist())
+    near = {(r.domain, r.slot): r.v for r in ranks.quantiles(values, ["domain"], wanted[1:], nearest=True).collect()}
+    for d in "xw":
+        own = sorted(v for e, v in rows if e == d)
+        assert [near[d, k] for k in range(len(wanted) - 1)] == [own[int(np.ceil(q * len(own) - 1e-9)) - 1] for q in wanted[1:]]
+    assert ranks.quantiles(values.where("false"), ["domain"], [0.5]).count() == 0
+    counts = [(d, int(t), int(n), int(n) // 2, int(n) // 3) for d in "ab" for t, n in zip(rng.permutation(500) ** 2, rng.geometric(0.3, 500), strict=True)]
+    df = spark.createDataFrame(counts, "domain string, token long, n long, pos long, head long")
+    for most in (None, 40):
+        found = ranks.ranked(df, most).collect()
+        for d in "ab":
+            own = sorted((c for c in counts if c[0] == d), key=lambda c: (-c[2], c[1]))
+            run = {c[1]: (k, sum(x[2] for x in own[:k]), sum(x[3] for x in own[:k])) for k, c in enumerate(own, 1)}
+            mine = [r for r in found if r.domain == d]
+            assert all((r.rank, r.run_n, r.run_pos) == run[r.token] for r in mine)
+            assert len(mine) == 500 if most is None else {r.rank for r in mine} >= set(range(1, 41))

@@ -132,6 +132,11 @@ def gather(values: Column, valid: Column, k: int, side: str = "head") -> Column:
     return F.concat(kept, F.array_repeat(F.lit(0).cast("long"), F.lit(k) - F.size(kept)))
 
 
+def gather_mask(valid: Column, k: int) -> Column:
+    """True at the slots of gather() that hold a token."""
+    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: i < F.least(valid, F.lit(k)))
+
+
 def padding_mask(length: Column, width: int) -> Column:
     """True where a position lies at or beyond the length."""
     return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: i >= length)

@@ -14,10 +14,24 @@ def hash_bucket(value: Column, buckets: int) -> Column:
     return (F.conv(F.substring(F.md5(value.cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % buckets).cast("long")
 
 
-def three_way(df: DataFrame, user: str, ts: str, cut: Column, buckets: int = 10) -> DataFrame:
-    """df with `part`: time_tail (at or after cut), user_hash (users of bucket 0), else train. Time goes first."""
-    part = F.when(F.col(ts) >= cut, "time_tail").when(hash_bucket(F.col(user), buckets) == 0, "user_hash").otherwise("train")
-    return df.withColumn("part", part)
+def three_way(df: DataFrame, user: str, ts: str, cut: Column, buckets: int = 10, first_tail_group: Column | None = None) -> DataFrame:
+    """df with `part`: time_tail (at or after cut), user_hash (users of bucket 0), row_group_tail (row_group at or after the one given, if any), else train; the first that holds."""
+    part = F.when(F.col(ts) >= cut, "time_tail").when(hash_bucket(F.col(user), buckets) == 0, "user_hash")
+    if first_tail_group is not None:
+        part = part.when(F.col("row_group") >= first_tail_group, "row_group_tail")
+    return df.withColumn("part", part.otherwise("train"))
+
+
+def ts_ranges(df: DataFrame, ts: str) -> DataFrame:
+    """part, n, first_ts, last_ts, and how many of the part's rows are no later than the last of train."""
+    train = df.where("part = 'train'").agg(F.max(ts).alias("__last"))  # one row
+    before = F.sum(F.when(F.col(ts) <= F.col("__last"), 1).otherwise(0)).cast("long")
+    return df.crossJoin(F.broadcast(train)).groupBy("part").agg(F.count("*").alias("n"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), before.alias("within_train"))
+
+
+def row_cap(df: DataFrame, most: int) -> DataFrame:
+    """At most so many rows, for a quick look: the cap is the feature."""
+    return df.limit(most) if most > 0 else df
 
 
 def truncate_by_frequency(df: DataFrame, column: str, least: int) -> DataFrame:

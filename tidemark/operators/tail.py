@@ -149,6 +149,14 @@ def out_of_bounds(tokens: DataFrame, vocab: int) -> DataFrame:
     return tokens.where(F.col("token") >= vocab).groupBy("domain").agg(F.count("*").alias("n"), F.min("token").alias("lowest"), F.max("token").alias("highest"))
 
 
+def check_bounds(tokens: DataFrame, vocab: int, strict: bool = False) -> DataFrame:
+    """out_of_bounds(); with strict, an error if there is any such value."""
+    found = out_of_bounds(tokens, vocab)
+    if strict and (worst := found.orderBy(F.col("n").desc()).first()):
+        raise ValueError(f"{worst.domain}: {worst.n} values from {worst.lowest} to {worst.highest} reach the vocabulary of {vocab}")
+    return found
+
+
 def gini(counts: DataFrame) -> DataFrame:
     """Gini coefficient of the counts of each domain. Grouped by count first, so ranks are over distinct counts."""
     by = counts.groupBy("domain", "n").agg(F.count("*").alias("ids"))

@@ -585,3 +585,49 @@ def report_order(spark, d):
     cover = tail.topk_coverage(counts_of(spark, d, False), KS)
     best = tail.recommended_k(cover, KS).join(cover, ["domain", "k"])  # a row a domain
     return best.select("domain", F.col("k").cast("long").alias("k"), F.row_number().over(Window.orderBy(F.col("coverage").desc(), "domain")).cast("long").alias("place"))
+
+
+@query("report_by_rescue", f"""WITH {BASE[False]}, {COVER_SQL}, {REC_SQL}, tl AS (SELECT domain, sum(n) AS total, CAST(coalesce(sum(n) FILTER (rank > 40), 0) AS BIGINT) AS tc, coalesce(sum(pos) FILTER (rank > 40), 0) AS tp FROM rk GROUP BY 1),
+j AS (SELECT cov.*, tl.total, CASE WHEN tc = 0 OR tp = 0 THEN 0 ELSE pos_rate / (tp / tc) END AS lift FROM rec_k JOIN cov USING (domain, k) JOIN tl USING (domain))
+SELECT domain, CAST(row_number() OVER (ORDER BY round(coverage * (1 + least(1, 2 * head_coverage)) * (0.25 + abs(lift - 1)) * ln(1 + total), 6) DESC, domain) AS BIGINT) AS place FROM j""")
+def report_by_rescue(spark, d):
+    from pyspark.sql.window import Window
+
+    scores = tail.rescue_scores(counts_of(spark, d, False), KS, capacity=40)  # a row a domain
+    return scores.select("domain", F.row_number().over(Window.orderBy(F.round("rescue_score", 6).desc(), "domain")).cast("long").alias("place"))
+
+
+@query("loader_contract", f"""WITH {BASE[False]}, m AS (SELECT tok.*, CASE WHEN tok.token <= 0 THEN 0 ELSE coalesce(r.rank, 31) END AS mapped, lead(ts) OVER (PARTITION BY user_id, tok.domain ORDER BY pos) AS older
+FROM tok LEFT JOIN (SELECT domain, token, rank FROM rk WHERE rank <= 30) r ON r.domain = tok.domain AND r.token = tok.token),
+f AS (SELECT user_id, domain, pos, CASE WHEN mapped >= 24 THEN 0 ELSE mapped END AS id, {recency_sql(E.RECENCY_ORIGINAL)} AS rec, ts > 0 AS here,
+ CASE WHEN pos < {CAP - 1} AND ts > 0 AND older > 0 THEN least({below('greatest(ts - older, 0)', E.GAP_EDGES)}, 31) + 1 ELSE 0 END AS gap FROM m WHERE pos < {CAP}),
+l AS (SELECT user_id, domain, count(*) AS n, list(id ORDER BY pos) AS ids, list(rec ORDER BY pos) AS recs, list(gap ORDER BY pos) AS gaps FROM f GROUP BY 1, 2)
+SELECT user_id, domain, n AS length, array_to_string(list_concat(ids, list_transform(range({CAP} - n), lambda x: 0)), ',') AS ids, array_to_string(list_concat(recs, list_transform(range({CAP} - n), lambda x: 0)), ',') AS recency,
+array_to_string(list_concat(gaps, list_transform(range({CAP} - n), lambda x: 0)), ',') AS gap FROM l""")
+def loader_contract(spark, d):
+    """What the loader does to a sequence, in its order: truncate, length, clean, remap, clip, pad, recency and gap ids."""
+    seq = adapters.event_sequences(spark, d)
+    mapped = tail.remap_tokens(seq, tail.topk_map(tail.token_counts(seq), 30), 30)
+    lists = adapters.as_lists(mapped, ["user_id", "domain", "row_ts"], ["mapped", "ts"], CAP)
+    clipped = F.transform("mapped", lambda v: S.clip_vocab(S.clean_int(v), 24))
+    length = S.shared_length([F.col("mapped"), F.col("ts")], CAP).cast("long")
+    ids, recency, gap = S.pad_ints(clipped, CAP), S.recency_ids(F.col("row_ts"), F.col("ts"), E.RECENCY_ORIGINAL, CAP), S.gap_ids(F.col("ts"), CAP)
+    return lists.select("user_id", "domain", length.alias("length"), F.array_join(ids, ",").alias("ids"), F.array_join(recency, ",").alias("recency"), F.array_join(gap, ",").alias("gap"))
+
+
+@query("gather_mask", f"WITH {EVENTS}, l AS (SELECT user_id, domain, least(count(*), {CAP}) AS n FROM seqs GROUP BY 1, 2) SELECT domain, i.i AS slot, count(*) FILTER (i.i < n) AS filled FROM l, range(3) i(i) GROUP BY 1, 2")
+def gather_mask(spark, d):
+    lists = adapters.as_lists(adapters.event_sequences(spark, d), ["user_id", "domain"], ["token"], CAP)
+    slots = lists.select("domain", F.posexplode(S.gather_mask(F.size("token"), 3)).alias("slot", "on"))
+    return slots.groupBy("domain", F.col("slot").cast("long").alias("slot")).agg(F.sum(F.col("on").cast("long")).alias("filled"))
+
+
+@query("holdout_ranges", f"""WITH {EVENTS}, g AS (SELECT ev.*, CAST(floor((row_number() OVER (ORDER BY event_id) - 1) / 500) AS INT) AS row_group FROM ev), s AS (SELECT max(row_group) + 1 AS n FROM g), c AS (SELECT quantile_disc(ts, 0.9) AS c FROM ev),
+p AS (SELECT ts, CASE WHEN ts >= c THEN 'time_tail' WHEN CAST('0x' || substr(md5(CAST(user_id AS VARCHAR)), 1, 8) AS BIGINT) % 10 = 0 THEN 'user_hash' WHEN row_group >= n - greatest(1, CAST(floor(n * 0.2) AS INT)) THEN 'row_group_tail' ELSE 'train' END AS part FROM g, s, c)
+SELECT part, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, count(*) FILTER (ts <= (SELECT max(ts) FROM p WHERE part = 'train')) AS within_train FROM p GROUP BY 1""")
+def holdout_ranges(spark, d):
+    """Three-way holdout with the row-group tail, and how the parts' times overlap with training."""
+    g = profile.row_groups(adapters.event_tokens(spark, d), ["event_id"], 500)
+    cut = ranks.quantiles(g, [], [0.9], "ts", nearest=True).select(F.col("v").cast("long").alias("c"))
+    _, first = profile.split_points(g.agg(F.max("row_group")).first()[0] + 1, 0.2)
+    return holdout.ts_ranges(holdout.three_way(g.crossJoin(F.broadcast(cut)), "user_id", "ts", F.col("c"), first_tail_group=F.lit(first)), "ts")  # one row

@@ -33,7 +33,10 @@ def event_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long form: user_id, domain, pos (0 is newest), token, ts, row_ts, label_type."""
     tokens = event_tokens(spark, sf_dir)
     newest = Window.partitionBy("user_id", "domain").orderBy(F.col("ts").desc(), F.col("event_id").desc())
-    return tokens.withColumn("pos", F.row_number().over(newest) - 1).join(user_rows(tokens), "user_id").drop("event_id")
+    user = Window.partitionBy("user_id")  # one shuffle by user serves all three; the table is read once
+    bought = F.max(F.when(F.col("domain") == "purchase", 2).otherwise(1)).over(user)
+    placed = tokens.withColumn("row_ts", F.max("ts").over(user)).withColumn("label_type", bought).withColumn("pos", F.row_number().over(newest) - 1)
+    return placed.select("user_id", "domain", "token", "ts", "pos", "row_ts", "label_type")
 
 
 def order_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:

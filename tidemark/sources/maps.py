@@ -43,13 +43,15 @@ def read_map(spark: SparkSession, path: str, wanted: list[str] | None = None) ->
 
 def markdown(df: DataFrame, title: str, most: int = 200) -> str:
     """A small result as a Markdown table."""
-    rows = df.limit(most).collect()
+    rows = df.limit(most + 1).collect()
+    more = ["", f"There are more rows than the {most} shown."] if len(rows) > most else []
     lines = [f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    return "\n".join(lines + ["| " + " | ".join(f"{v:.4g}" if isinstance(v, float) else str(v) for v in r) + " |" for r in rows])
+    return "\n".join(lines + ["| " + " | ".join(f"{v:.4g}" if isinstance(v, float) else str(v) for v in r) + " |" for r in rows[:most]] + more)
 
 
 def one_line(prefix: str, df: DataFrame, most: int = 200) -> str:
-    return f"{prefix} {json.dumps([r.asDict() for r in df.limit(most).collect()], default=str)}"
+    rows = [r.asDict() for r in df.limit(most + 1).collect()]
+    return f"{prefix} {json.dumps(rows[:most], default=str)}" + (f" and more than these {most}" if len(rows) > most else "")
 
 
 def write_predictions(df: DataFrame, path: str) -> None:
@@ -57,5 +59,23 @@ def write_predictions(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_prediction_object(df: DataFrame, path: str, user: str, value: str) -> int:
+    """One JSON object of user to probability, written a user at a time; returns how many. For results that one file can hold."""
+    n = 0
+    with open(path, "w", encoding="utf-8") as f:
+        f.write('{"predictions": {')
+        for r in df.select(user, value).toLocalIterator():
+            f.write(("" if not n else ", ") + json.dumps(str(r[0])) + ": " + json.dumps(r[1]))
+            n += 1
+        f.write("}}")
+    return n
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """A report of a row a feature (such as values out of bounds) as a JSON list."""
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump([r.asDict() for r in df.toLocalIterator()], f, default=str)
+
+
 def write_parquet(df: DataFrame, path: str, block_bytes: int = 128 << 20) -> None:
     df.write.mode("overwrite").option("parquet.block.size", block_bytes).parquet(path)

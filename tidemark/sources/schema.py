@@ -144,6 +144,13 @@ def parse_caps(text: str) -> dict[str, int]:
     return {d.strip(): int(c) for d, _, c in (p.partition(":") for p in text.split(",") if p.strip())}
 
 
+def check_targets(targets: list[tuple[str, int, int | None]], schema: FeatureSchema) -> None:
+    """An error that names every target which the schema's sequences do not have."""
+    unknown = [f"{d}:{f}" for d, f, _ in targets if d not in schema.seq or f not in schema.seq[d].features]
+    if unknown:
+        raise ValueError(f"the schema has no {', '.join(unknown)}")
+
+
 def infer_columns(df: DataFrame) -> DataFrame:
     """column, kind, vocab (largest value + 1, at least 1), width (longest list; 1 for scalars): one pass, one row a column."""
     aggregates, kinds = [], {}
