@@ -46,6 +46,28 @@ def test_file_row_groups(spark, tmp_path):
     assert [(r.row_group, r.lo, r.n) for r in got] == [(0, 0, 10), (1, 10, 10), (2, 20, 5), (3, 25, 5)]
 
 
+def test_file_row_groups_beyond_the_broadcast(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(profile, "BROADCAST_GROUPS", 0)
+    for k, name in enumerate(("a b.parquet", "c%20d.parquet", "e.parquet")):
+        pq.write_table(pa.table({"v": list(range(k * 7, k * 7 + 7))}), tmp_path / name, row_group_size=3)
+    got = profile.file_row_groups(spark, str(tmp_path)).groupBy("row_group").agg(F.min("v").alias("lo"), F.count("*").alias("n")).orderBy("row_group").collect()
+    assert [(r.row_group, r.lo, r.n) for r in got] == [(3 * k + g, 7 * k + 3 * g, min(3, 7 - 3 * g)) for k in range(3) for g in range(3)]
+
+
+def test_sample_lengths_count_absent_samples(spark):
+    rows = spark.createDataFrame([(1, 1), (2, 2), (3, None), (4, 2)], "k int, label_type int")
+    tokens = spark.createDataFrame([(1, "a", 5, 1), (1, "a", 0, 1), (3, "a", 7, None), (3, "b", 0, None)], "k int, domain string, token long, label_type int")
+    got = {tuple(r) for r in tail.sample_lengths(tokens, rows, "k").collect()}
+    assert got == {("a", 1, 2, 1, 1), ("a", None, 1, 1, 1), ("a", 2, 0, 0, 2), ("b", None, 1, 0, 1), ("b", 1, 0, 0, 1), ("b", 2, 0, 0, 2)}
+    assert {r.domain: (r.n_rows, r.pos_rows, r.rows_present, r.total_tokens) for r in tail.token_statistics(tokens, rows, "k").collect()} == {"a": (4, 2, 2, 3), "b": (4, 2, 0, 1)}
+
+
+def test_chunk_audit():
+    features, chunks = schema.chunk_audit([(1, 10, 1), (2, 20, 40), (3, 5, 2)], 2, 4)
+    assert features == [(1, 0, 1, 10, 0, 0), (2, 1, 40, 20, 0, 1), (3, 41, 2, 5, 1, 1)]
+    assert chunks == [(0, 6, [1, 2], True), (1, 6, [2, 3], True)]
+
+
 def test_maps(spark, tmp_path):
     counts = tail.token_counts(adapters.order_sequences(spark, SF))
     top = tail.topk_map(counts, 10)

@@ -40,10 +40,10 @@ def rows_per_user(rows: DataFrame, user: str) -> DataFrame:
 
 
 def truncation(per: DataFrame, cap: int) -> DataFrame:
-    """domain, truncated and empty rates from per-sample lengths."""
-    t = F.sum(F.when(F.col("raw_len") > cap, 1).otherwise(0))
-    e = F.sum(F.when(F.col("raw_len") == 0, 1).otherwise(0))
-    return per.groupBy("domain").agg(F.count("*").alias("n"), ratio(t, F.count("*")).alias("truncated"), ratio(e, F.count("*")).alias("empty"))
+    """domain, truncated and empty rates from the counts of sample lengths."""
+    of = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    total = F.sum("n")
+    return per.groupBy("domain").agg(total.alias("n"), ratio(of(F.col("raw_len") > cap), total).alias("truncated"), ratio(of(F.col("raw_len") == 0), total).alias("empty"))
 
 
 def recency_signs(tokens: DataFrame) -> DataFrame:
@@ -83,21 +83,57 @@ def row_groups(df: DataFrame, order: list[str], rows_per_group: int) -> DataFram
     return got.drop("__key", "__part", "__before")
 
 
-def file_row_groups(spark, path: str) -> DataFrame:
-    """df with `row_group`: the Parquet row group each row lies in, from footer sizes and the row's index in its file."""
-    import pyarrow.parquet as pq
+#: Up to this many row groups their bounds are broadcast (8 bytes each); beyond, they are joined by file.
+BROADCAST_GROUPS = 1_000_000
+
+
+def footer_rows(files: DataFrame) -> DataFrame:
+    """file, ends (rows up to the end of each of its row groups): footers are read by the tasks, through the file's own file system."""
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.fs as fs
+        import pyarrow.parquet as pq
+
+        for b in batches:
+            ends = []
+            for uri in b.column(0).to_pylist():
+                system, path = fs.FileSystem.from_uri(uri)
+                with system.open_input_file(path) as f:
+                    footer = pq.ParquetFile(f).metadata
+                sizes = [footer.row_group(g).num_rows for g in range(footer.num_row_groups)]
+                ends.append([sum(sizes[: k + 1]) for k in range(len(sizes))])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ends, pa.list_(pa.int64()))], names=["file", "ends"])
+
+    return files.select("file").mapInArrow(run, "file string, ends array<long>")
+
 
+def file_row_groups(spark, path: str) -> DataFrame:
+    """df with `row_group`: the Parquet row group each row lies in (files by name), from footer sizes and the row's index in its file."""
     df = spark.read.parquet(path).select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    spans, ordinal = [], 0
-    for r in df.select("__file").distinct().orderBy("__file").collect():  # a row a file
-        footer, at = pq.ParquetFile(r["__file"].removeprefix("file://").removeprefix("file:")).metadata, 0
-        for g in range(footer.num_row_groups):
-            n = footer.row_group(g).num_rows
-            spans.append((r["__file"], at, at + n, ordinal))
-            at, ordinal = at + n, ordinal + 1
-    side = F.broadcast(spark.createDataFrame(spans, "f string, lo long, hi long, row_group int"))  # a row a row group
-    hit = df.join(side, (F.col("__file") == F.col("f")) & (F.col("__row") >= F.col("lo")) & (F.col("__row") < F.col("hi")))
-    return hit.drop("__file", "__row", "f", "lo", "hi")
+    footers = footer_rows(df.select(F.col("__file").alias("file")).distinct())
+    first = F.coalesce(F.sum(F.size("ends")).over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a file
+    side = footers.select(F.col("file").alias("__file"), F.col("ends").alias("__ends"), first.alias("__first")).persist()
+    groups = side.agg(F.sum(F.size("__ends"))).first()[0] or 0
+    hit = df.join(F.broadcast(side) if groups <= BROADCAST_GROUPS else side, "__file")
+    at = F.size(F.filter("__ends", lambda e: e <= F.col("__row")))
+    return hit.withColumn("row_group", (F.col("__first") + at).cast("int")).drop("__file", "__row", "__ends", "__first")
+
+
+def split_profile(df: DataFrame, ts: str) -> DataFrame:
+    """One row a part: rows, row groups, spread of their sizes and positive rates, ts range, and the ts gap to the end of training.
+
+    df: part, row_group, label_type, ts. A gap under 0 means that the part's times overlap with those of training.
+    """
+    pos = F.sum(F.when(F.coalesce("label_type", F.lit(0)) == 2, 1).otherwise(0)).cast("long")
+    per = df.groupBy("part", "row_group").agg(F.count("*").alias("n"), pos.alias("pos"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
+    per = per.withColumn("rate", F.col("pos") / F.col("n"))
+    spread = [f(c).alias(f"{c}_{k}") for c in ("n", "rate") for k, f in (("min", F.min), ("mean", F.avg), ("max", F.max), ("std", F.stddev_pop))]
+    got = per.groupBy("part").agg(F.sum("n").alias("rows"), F.count("*").alias("row_groups"), F.sum("pos").alias("pos"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), *spread)
+    for c in ("n", "rate"):
+        got = got.join(F.broadcast(as_columns(quantiles(per, ["part"], [0.5], c), ["part"], [f"{c}_p50"])), "part")  # a row a part
+    end = F.max(F.when(F.col("part") == "train", F.col("last_ts"))).over(Window.partitionBy(F.lit(0)))  # over the few parts
+    return got.withColumn("pos_rate", ratio(F.col("pos"), F.col("rows"))).withColumn("gap", F.when(F.col("part") != "train", F.col("first_ts") - end))
 
 
 def seeded_order(df: DataFrame, keys: list[str], seed: int) -> DataFrame:

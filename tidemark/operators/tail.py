@@ -25,30 +25,45 @@ def count_if(c: Column) -> Column:
 
 
 def sample_lengths(tokens: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """A row for every sample and domain, with raw and nonzero length; absent sequences have length 0."""
-    domains = tokens.select("domain").distinct()
-    lengths = tokens.groupBy(key, "domain").agg(F.count("*").alias("raw_len"), count_if(F.col("token") > 0).alias("nonzero_len"))
-    grid = rows.select(key, "label_type").crossJoin(F.broadcast(domains))  # domains: a handful by schema
-    return grid.join(lengths, [key, "domain"], "left").fillna(0, ["raw_len", "nonzero_len"])
+    """domain, label_type, raw_len, nonzero_len, n: how many samples have a sequence of these lengths.
+
+    Samples without tokens of a domain have length 0; they are counted as all samples less those that have some, so no
+    row is made for them. Every sample of tokens must be in rows.
+    """
+    per = tokens.groupBy(key, "domain").agg(F.max("label_type").alias("label_type"), F.count("*").alias("raw_len"), count_if(F.col("token") > 0).alias("nonzero_len"))
+    present = per.groupBy("domain", "label_type", "raw_len", "nonzero_len").agg(F.count("*").alias("n"))
+    every = rows.groupBy("label_type").agg(F.count("*").alias("__all"))
+    grid = present.select("domain").distinct().crossJoin(F.broadcast(every))  # a row a domain and label
+    have = present.groupBy(F.col("domain").alias("__d"), F.col("label_type").alias("__l")).agg(F.sum("n").alias("__have"))
+    absent = grid.join(have, (F.col("domain") == F.col("__d")) & F.col("label_type").eqNullSafe(F.col("__l")), "left")
+    zero = F.lit(0).cast("long")
+    absent = absent.select("domain", "label_type", zero.alias("raw_len"), zero.alias("nonzero_len"), (F.col("__all") - F.coalesce("__have", zero)).alias("n"))
+    return present.unionByName(absent.where("n > 0"))
 
 
 def token_statistics(tokens: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     per = sample_lengths(tokens, rows, key)
+    of = lambda what, c=F.lit(True): F.sum(F.when(c, what).otherwise(0)).cast("long")
+    n, some = F.col("n"), F.col("nonzero_len") > 0
     return per.groupBy("domain").agg(
-        F.count("*").alias("n_rows"), count_if(positive()).alias("pos_rows"), count_if(F.col("nonzero_len") > 0).alias("rows_present"),
-        count_if((F.col("nonzero_len") > 0) & positive()).alias("pos_rows_present"), F.sum("raw_len").alias("total_tokens"),
-        F.sum("nonzero_len").alias("nonzero_tokens"), F.sum(F.when(positive(), F.col("nonzero_len")).otherwise(0)).alias("nonzero_pos_tokens"),
+        of(n).alias("n_rows"), of(n, positive()).alias("pos_rows"), of(n, some).alias("rows_present"), of(n, some & positive()).alias("pos_rows_present"),
+        of(F.col("raw_len") * n).alias("total_tokens"), of(F.col("nonzero_len") * n).alias("nonzero_tokens"), of(F.col("nonzero_len") * n, positive()).alias("nonzero_pos_tokens"),
     )
 
 
 def length_quantiles(per: DataFrame) -> DataFrame:
     """Nearest-rank quantiles of raw and nonzero lengths, from length histograms (zeros count)."""
-    parts = [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {c})").cast("long").alias(f"{n}_p{int(p * 100)}") for c, n in (("raw_len", "raw"), ("nonzero_len", "nonzero")) for p in (0.5, 0.9, 0.99)]
-    return per.groupBy("domain").agg(*parts)
+    both = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"{k}_len").alias("len")) for k in ("raw", "nonzero")])).alias("l")
+    steps = per.select("domain", "n", both).groupBy("domain", "l.kind", "l.len").agg(F.sum("n").alias("n"))
+    side = Window.partitionBy("domain", "kind")  # a row a length
+    upto = F.sum("n").over(side.orderBy("len").rowsBetween(Window.unboundedPreceding, 0))
+    placed = steps.select("domain", "kind", "len", upto.alias("upto"), F.sum("n").over(side).alias("total"))
+    cut = lambda k, p: F.min(F.when((F.col("kind") == k) & (F.col("upto") >= F.ceil(F.col("total") * F.lit(p))), F.col("len")))
+    return placed.groupBy("domain").agg(*[cut(k, p).alias(f"{k}_p{int(p * 100)}") for k in ("raw", "nonzero") for p in (0.5, 0.9, 0.99)])
 
 
 def length_histogram(per: DataFrame, length: str = "raw_len") -> DataFrame:
-    return per.groupBy("domain", length).agg(F.count("*").alias("n"))
+    return per.groupBy("domain", length).agg(F.sum("n").alias("n"))
 
 
 def position_totals(tokens: DataFrame) -> DataFrame:

@@ -450,6 +450,19 @@ def row_group_split(spark, d):
     return g.withColumn("part", part).groupBy("part").agg(F.count("*").alias("rows"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
 
 
+@query("split_profile", f"""WITH {EVENTS}, g AS (SELECT ts, CASE WHEN domain = 'purchase' THEN 1.0 ELSE 0.0 END AS y, CAST(floor((row_number() OVER (ORDER BY event_id) - 1) / 500) AS INT) AS row_group FROM ev), s AS (SELECT max(row_group) + 1 AS n FROM g),
+q AS (SELECT CASE WHEN row_group < s.n - greatest(1, CAST(floor(s.n * 0.2) AS INT)) THEN 'train' ELSE 'valid' END AS part, row_group, count(*) AS n, CAST(sum(y) AS BIGINT) AS pos, avg(y) AS rate, min(ts) AS t0, max(ts) AS t1 FROM g, s GROUP BY 1, 2)
+SELECT part, CAST(sum(n) AS BIGINT) AS rows, count(*) AS row_groups, CAST(sum(pos) AS BIGINT) AS pos, min(t0) AS first_ts, max(t1) AS last_ts, min(n) AS n_min, round(avg(n), 6) AS n_mean, max(n) AS n_max, round(stddev_pop(n), 6) AS n_std,
+ round(min(rate), 6) AS rate_min, round(avg(rate), 6) AS rate_mean, round(max(rate), 6) AS rate_max, round(stddev_pop(rate), 6) AS rate_std, round(quantile_cont(CAST(n AS DOUBLE), 0.5), 6) AS n_p50, round(quantile_cont(rate, 0.5), 6) AS rate_p50,
+ round(sum(pos) / sum(n), 6) AS pos_rate, CASE WHEN part <> 'train' THEN min(t0) - (SELECT max(t1) FROM q WHERE part = 'train') END AS gap FROM q GROUP BY 1""")
+def split_profile(spark, d):
+    """Sizes, labels and times of both sides of a row-group split."""
+    e = adapters.event_tokens(spark, d).select("event_id", "ts", F.when(F.col("domain") == "purchase", 2).otherwise(1).alias("label_type"))
+    g = profile.row_groups(e, ["event_id"], 500)
+    _, first = profile.split_points(g.agg(F.max("row_group")).first()[0] + 1, 0.2)
+    return rounded(profile.split_profile(g.withColumn("part", F.when(F.col("row_group") < first, "train").otherwise("valid")), "ts"))
+
+
 @query("user_overlap", "WITH m AS (SELECT quantile_disc(event_id, 0.8) AS c FROM events), t AS (SELECT DISTINCT user_id FROM events, m WHERE event_id <= c), v AS (SELECT DISTINCT user_id FROM events, m WHERE event_id > c) SELECT (SELECT count(*) FROM t) AS train_users, (SELECT count(*) FROM v) AS valid_users, (SELECT count(*) FROM t JOIN v USING (user_id)) AS both")
 def user_overlap(spark, d):
     e = table(spark, d, "events")

@@ -88,6 +88,25 @@ def chunk_layout(total: int, tokens: int) -> tuple[int, int]:
     return width, width * tokens - total
 
 
+def chunk_audit(entries: list[tuple[int, int, int]], tokens: int, emb_dim: int, wide: int = 16) -> tuple[list[tuple], list[tuple]]:
+    """Which features an equal split of their embeddings mixes: a row a feature, and a row a chunk.
+
+    entries: (fid, vocab, length), in order; each is embedded into emb_dim numbers. Features: (fid, offset, length, vocab,
+    first chunk, last chunk). Chunks: (chunk, numbers that are not padding, fids, whether a feature longer than `wide`
+    runs over one of its borders).
+    """
+    total = len(entries) * emb_dim
+    width, _ = chunk_layout(total, tokens)
+    features = []
+    for k, ((fid, vocab, length), (_, at, _)) in enumerate(zip(entries, layout([(f, n) for f, _, n in entries]), strict=True)):
+        features.append((fid, at, length, vocab, k * emb_dim // width, ((k + 1) * emb_dim - 1) // width))
+    chunks = []
+    for c in range(tokens):
+        inside = [f for f in features if f[4] <= c <= f[5]]
+        chunks.append((c, max(0, min(width, total - c * width)), [f[0] for f in inside], any(f[2] > wide and f[4] < f[5] for f in inside)))
+    return features, chunks
+
+
 def token_mixing(tokens: int, width: int) -> list[tuple[int, int]]:
     """Where entry (token, offset) of a tokens x width block goes when heads are regrouped: a list over the new flat order."""
     if width % tokens:
