@@ -334,6 +334,18 @@ def test_viterbi_streams(texts):
         assert sum(score[i] for i in viterbi.StreamingViterbi(pieces).encode(t)) == pytest.approx(best(t)[0])
 
 
+@pytest.mark.parametrize("text", ["a" * 100_000, "\n" * 100_000, " " * 100_000, "".join(chr(97 + (k * k + k // 7) % 10) for k in range(100_000))])
+def test_viterbi_of_one_long_stretch(text, monkeypatch):
+    import sentencepiece
+
+    path = vocabulary("piece_bpe_32k.model")()
+    widest, take = [], viterbi.StreamingViterbi._take
+    monkeypatch.setattr(viterbi.StreamingViterbi, "_take", lambda self, t: (take(self, t), widest.append(len(self.text)))[0])
+    encoder = viterbi.Encoder(viterbi.Pieces.load(path))
+    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == sentencepiece.SentencePieceProcessor(model_file=path).encode(text)
+    assert max(widest) < 20 * encoder.pieces.longest
+
+
 # 5 token files and the encoder
 def test_encoder_is_the_library(texts):
     from tokenizers import Tokenizer

@@ -140,13 +140,18 @@ class StreamingViterbi:
         self.pos = to
 
     def feed(self, text: str) -> list[int]:
-        self._take(text)
+        """Takes text in portions as long as the open window (4 longest pieces at least): while paths meet, windows stay
+        short; should they not, the window doubles, so the work on it stays in proportion to the text."""
         out: list[int] = []
-        longest, n = self.pieces.longest, len(text)
-        while n and len(self.text) - self.pos > longest:
-            self._advance(min(self.pos + 4 * longest, len(self.text) - longest))
-            self.peak = max(self.peak, self.pos)
-            out += self._commit(self._meeting())
+        longest, at = self.pieces.longest, 0
+        while at < len(text):
+            size = max(4 * longest, len(self.text))
+            self._take(text[at : at + size])
+            at += size
+            if len(self.text) - self.pos > longest:
+                self._advance(len(self.text) - longest)
+                self.peak = max(self.peak, self.pos)
+                out += self._commit(self._meeting())
         return out
 
     def _commit(self, meet: int) -> list[int]:
