@@ -156,6 +156,15 @@ def test_sharding_moves_whole_documents(messy, docs, texts, monkeypatch):
     assert Counter(map(plain, rows)) == Counter(map(plain, messy.collect()))
 
 
+def test_sharding_with_names_of_its_own(messy):
+    clash = messy.withColumns({"__block": F.lit(1), "__FROM": F.lit("x"), "___at": F.lit(2)})
+    got = sharding.shuffle_into_shards(clash, 4)
+    assert got.columns == [*(c for c in clash.columns if c != "shard"), "shard", "slot"]
+    assert {(r["__block"], r["__FROM"], r["___at"]) for r in got.collect()} == {(1, "x", 2)} and got.count() == 13
+    own = sorted((r.shard, r.slot) for r in got.collect())
+    assert [slot for s in range(4) for shard, slot in own if shard == s] == [k for s in range(4) for k in range(13 // 4 + (s < 13 % 4))]
+
+
 def test_communication_matrix():
     sizes, blocks = [5, 0, 40, 7], np.array([13, 13, 13, 13])
     m = np.array([sharding.matrix_row(sizes, blocks, k, 3) for k in range(4)])

@@ -104,8 +104,11 @@ def shuffle_into_shards(df: DataFrame, shards: int = 16, seed: int = 20_231, blo
     fitting = block_bytes * sum(sizes) // max(1, sum(r.bytes for r in found))  # rows of the mean length
     blocks, shard_of, first = block_plan(sum(sizes), shards, max(1, min(block_rows, fitting)))
     carried = [f.name for f in df.schema]
-    extra = [("__block", "long"), ("__from", "long"), ("__at", "long")]
-    sent_schema = T.StructType([*df.schema.fields, *(T.StructField(n, T.LongType()) for n, _ in extra)])
+    taken, mark = {c.lower() for c in carried}, "__"
+    while any(f"{mark}{n}" in taken for n in ("block", "from", "at")):
+        mark += "_"
+    extra = [f"{mark}{n}" for n in ("block", "from", "at")]  # names that df has not
+    sent_schema = T.StructType([*df.schema.fields, *(T.StructField(n, T.LongType()) for n in extra)])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = TaskContext.get().partitionId()
@@ -119,19 +122,19 @@ def shuffle_into_shards(df: DataFrame, shards: int = 16, seed: int = 20_231, blo
             n = b.num_rows
             own = [pa.array(to[at : at + n]), pa.array(np.full(n, p, dtype=np.int64)), pa.array(np.arange(at, at + n))]
             at += n
-            yield pa.RecordBatch.from_arrays([*b.columns, *own], names=[*b.schema.names, *(x for x, _ in extra)])
+            yield pa.RecordBatch.from_arrays([*b.columns, *own], names=[*b.schema.names, *extra])
 
     placed_schema = T.StructType([*df.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in sorted_groups(batches, "__block"):
-            k = t.column("__block")[0].as_py()
+        for t in sorted_groups(batches, extra[0]):
+            k = t.column(extra[0])[0].as_py()
             slot = first[k] + np.random.default_rng([seed, 2, k]).permutation(t.num_rows)
             t = t.select(carried).append_column("shard", pa.array(np.full(t.num_rows, shard_of[k], dtype=np.int32))).append_column("slot", pa.array(slot))
             yield from t.combine_chunks().to_batches()
 
     sent = pinned.mapInArrow(deal, sent_schema)
-    return sent.repartition(len(blocks), "__block").sortWithinPartitions("__block", "__from", "__at").mapInArrow(settle, placed_schema)
+    return sent.repartition(len(blocks), extra[0]).sortWithinPartitions(*extra).mapInArrow(settle, placed_schema)
 
 
 def shard_documents(df: DataFrame, shards: int = 16, **options) -> DataFrame:
