@@ -131,6 +131,14 @@ def check_shards(rows, n):
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(sizes[s]))
 
 
+@pytest.mark.parametrize("word", ["a", "word ", "a b ", "日本語"])
+def test_merkle_of_repeated_words(word):
+    """The kept half is seen, though it has fewer phrases than the other half, whose runs end more often."""
+    text = word * 6000
+    half = merkle.parse(merkle.fingerprint(text[: len(text) // 2] + "".join(chr(97 + k * k % 23) for k in range(len(text) // 2))))
+    assert 0.1 < merkle.likeness(merkle.parse(merkle.fingerprint(text)), half) < 0.9
+
+
 def test_sharding(messy, empty, docs, texts):
     got = sharding.shard_documents(docs, block_rows=5).collect()
     check_shards(got, len(texts))

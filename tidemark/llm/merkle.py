@@ -43,6 +43,7 @@ from tidemark.llm.common import batch_of, documents, slices, text_or_empty
 SECTION_EVERY = 8
 SHORT_LINE = 16
 LONG_WORD = 32
+LONG_RUN = 16
 NODE = 16  # bytes
 WORD = re.compile(r"\s*\S+\s*|\s+")
 
@@ -74,21 +75,23 @@ def node(data: bytes) -> bytes:
 
 
 def phrases(line: str) -> tuple[int, ...]:
-    """Phrase codes of a paragraph: of each word if it has few, else of runs that end at every fourth word or so."""
+    """Phrase codes of a paragraph: of each word if it has few, else of runs that end at every fourth word or so.
+
+    Runs hold LONG_RUN words at most: words that repeat without an end of a run among them would else be one phrase.
+    """
     words: list[bytes] = []
     for w in WORD.findall(line):
         words += [w.encode("utf-8", "surrogatepass")] if len(w) <= LONG_WORD else [w[i : i + 16].encode("utf-8", "surrogatepass") for i in range(0, len(w), 16)]
     if len(words) <= SHORT_LINE:
         return tuple(map(crc32, words))
-    out, run = [], 0
-    open_ = False
+    out, run, held = [], 0, 0
     for w in words:
         run = crc32(w, run)  # over the words of the run
-        open_ = True
-        if not crc32(w) & 3:
+        held += 1
+        if held == LONG_RUN or not crc32(w) & 3:
             out.append(run)
-            run, open_ = 0, False
-    if open_:
+            run = held = 0
+    if held:
         out.append(run)
     return tuple(out)
 
