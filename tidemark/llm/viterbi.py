@@ -175,8 +175,11 @@ class StreamingViterbi:
         return out
 
     def encode(self, text: str) -> list[int]:
-        self.start()
-        return [*self.feed(text), *self.finish()]
+        if self.text:  # left by feed(); finish() leaves nothing
+            self.start()
+        out = self.feed(text)
+        out += self.finish()
+        return out
 
     def stretches(self, text: str) -> list[str]:
         """text cut wherever no piece has the two neighbouring characters side by side: every path has a boundary there."""
