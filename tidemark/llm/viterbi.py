@@ -1,11 +1,12 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search.
 
 The segmentation of a text is the sequence of vocabulary pieces with the largest sum of piece scores. Characters that no
-piece covers cost ten below the smallest score and become byte pieces. The search reads one character at a time: open
-paths reach no further than the longest piece beyond it, and the ids before a boundary are committed as soon as the
-backpointer paths of all open positions run through it. So the window holds what follows the last such boundary, and four
-times the longest piece beside that; a text on which paths never converge would keep its window open, as any exact search
-must. Ties go to the earliest start, the longest last piece.
+piece covers cost ten below the smallest score and become byte pieces. The search goes from end to end: an automaton of
+all pieces names those that end at a character, and the best of them continues a path that ends where it starts. Pieces to
+come start no further back than the longest piece; the ids before a boundary are committed as soon as the backpointer
+paths of all positions from there on run through it. So the window holds what follows the last such boundary, and four times
+the longest piece beside that; a text on which paths never converge would keep its window open, as any exact search must.
+Ties go to the earliest start, the longest last piece.
 
 Every id comes from this search. Where no piece of the vocabulary can cross a place (before a space that follows another
 character, around a newline, between two characters that no piece has side by side), all paths converge whatever the scores;
@@ -23,10 +24,15 @@ doc_id are answered each; other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 import re
+import sys
 import zlib
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
+from operator import add, itemgetter
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,14 +45,15 @@ SPACE = "▁"
 
 
 class Pieces:
-    """Pieces by text, with spaces in place of U+2581; prefixes that are no piece are there with None."""
+    """Pieces by text, with spaces in place of U+2581, and an automaton that finds them: (text, score, id, length)."""
 
     def __init__(self, pieces: list[tuple[str, float, int]], bytes_: dict[int, int], size: int):
-        self.at: dict[str, tuple[float, int] | None] = {}
+        self.at = {text: (score, i) for text, score, i in pieces}
+        self.ending = ahocorasick.Automaton()
         for text, score, i in pieces:
-            for k in range(1, len(text)):
-                self.at.setdefault(text[:k], None)
-            self.at[text] = (score, i)
+            self.ending.add_word(text, (text, score, i, len(text)))
+        self.ending.make_automaton()
+        self.single = {t for t in self.at if len(t) == 1}
         long = [t for t, _, _ in pieces if len(t) > 1]
         self.longest = max(len(t) for t, _, _ in pieces)
         self.unknown = min(s for _, s, _ in pieces) - UNKNOWN_PENALTY
@@ -60,6 +67,14 @@ class Pieces:
         self.cut_spaces = not any(" " in t.lstrip(" ") for t in long)
         self.cut_lines = not any("\n" in t for t in long)
 
+    def found(self, text: str, start: int) -> Iterable[tuple[int, tuple[str, float, int, int]]]:
+        """Pieces in text from start on by last character, long ones first; characters that are no piece, with id -1, too."""
+        own = self.ending.iter(text, start)
+        if self.single.issuperset(text):
+            return own
+        lone = [(k, (text[k], self.unknown, -1, 1)) for k in range(start, len(text)) if text[k] not in self.single]
+        return heapq.merge(own, lone, key=itemgetter(0))
+
     @classmethod
     def load(cls, path: str) -> "Pieces":
         from sentencepiece import SentencePieceProcessor
@@ -73,28 +88,30 @@ class Pieces:
 class StreamingViterbi:
     """feed() characters, get committed ids; finish() gives the rest.
 
-    Lists over the open window, by position in it: the best score of a path that ends there, and where and with which id
-    its last piece begins (None where no path ends yet).
+    Lists over the open window, by position in it: how the best path that ends there stands (its score), and where and with
+    which id its last piece begins (None where no path ends).
     """
 
+    ORIGIN: float | str = 0.0
+
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
+        self.peak = 0
         self.start()
 
     def start(self) -> None:
         self.text = ""  # the open window: what follows the last committed boundary
-        self.pos = 0  # next start in it
-        self.score: list[float | None] = [0.0]
+        self.pos = 0  # ends up to here are settled
+        self.stand: list = [self.ORIGIN]
         self.begin: list[int | None] = [0]
         self.ident = [0]
-        self.peak = 0
 
     def _take(self, text: str) -> None:
         self.text += text
         more = [None] * len(text)
-        self.score += more
+        self.stand += more
         self.begin += more
-        self.ident += [0] * len(text)
+        self.ident += more
 
     def _path(self, end: int) -> list[int]:
         """Ids of the path that ends at a position of the window; characters without a piece are spelt in bytes."""
@@ -107,8 +124,8 @@ class StreamingViterbi:
         return out[::-1]
 
     def _open(self) -> list[int]:
-        """Positions whose paths may still be lengthened: no further ahead than the longest piece."""
-        return [e for e in range(self.pos, min(self.pos + self.pieces.longest, len(self.text)) + 1) if self.begin[e] is not None]
+        """Positions whose paths may still be lengthened: a piece that ends later starts no further back."""
+        return [e for e in range(max(0, self.pos - self.pieces.longest + 1), self.pos + 1) if self.begin[e] is not None]
 
     def _meeting(self) -> int:
         """Last boundary that the paths of all open positions run through."""
@@ -119,37 +136,27 @@ class StreamingViterbi:
             open_.add(self.begin[far])
         return open_.pop()
 
-    def _advance(self, to: int) -> None:
-        get, score, begin, ident, text = self.pieces.at.get, self.score, self.begin, self.ident, self.text
-        longest, n = self.pieces.longest, len(self.text)
-        for s in range(self.pos, to):
-            own, single = score[s], False
-            for e in range(s + 1, min(s + longest, n) + 1):
-                hit = get(text[s:e], self)
-                if hit is self:  # no piece begins like this
-                    break
-                if hit is not None:
-                    single |= e == s + 1
-                    v = own + hit[0]
-                    if score[e] is None or v > score[e]:
-                        score[e], begin[e], ident[e] = v, s, hit[1]
-            if not single:
-                v = own + self.pieces.unknown
-                if score[s + 1] is None or v > score[s + 1]:
-                    score[s + 1], begin[s + 1], ident[s + 1] = v, s, -1
-        self.pos = to
+    def _advance(self) -> None:
+        score, begin, ident, settled = self.stand, self.begin, self.ident, self.pos
+        for k, (_, own, i, size) in self.pieces.found(self.text, max(0, settled - self.pieces.longest + 1)):
+            e = k + 1
+            if e > settled and score[e - size] is not None:
+                v = score[e - size] + own
+                if score[e] is None or v > score[e]:
+                    score[e], begin[e], ident[e] = v, e - size, i
+        self.pos = len(self.text)
 
     def feed(self, text: str) -> list[int]:
         """Takes text in portions as long as the open window (4 longest pieces at least): while paths meet, windows stay
         short; should they not, the window doubles, so the work on it stays in proportion to the text."""
         out: list[int] = []
-        longest, at = self.pieces.longest, 0
+        least, at = 4 * self.pieces.longest, 0
         while at < len(text):
-            size = max(4 * longest, len(self.text))
+            size = max(least, len(self.text))
             self._take(text[at : at + size])
             at += size
-            if len(self.text) - self.pos > longest:
-                self._advance(len(self.text) - longest)
+            self._advance()
+            if self.pos >= least:
                 self.peak = max(self.peak, self.pos)
                 out += self._commit(self._meeting())
         return out
@@ -159,19 +166,19 @@ class StreamingViterbi:
         if not meet:
             return []
         out = self._path(meet)
-        low = self.score[self._open()[0]] or 0.0
-        del self.score[:meet], self.begin[:meet], self.ident[:meet]
-        self.score = [None if v is None else v - low for v in self.score]
-        self.begin = [0, *(None if b is None else b - meet for b in self.begin[1:])]
+        self._cut(meet)
+        self.begin = [0, *(None if b is None else b - meet for b in self.begin[meet + 1 :])]
+        del self.ident[:meet]
         self.text, self.pos = self.text[meet:], self.pos - meet
         return out
 
+    def _cut(self, meet: int) -> None:
+        low = self.stand[meet]
+        self.stand = [None if v is None else v - low for v in self.stand[meet:]]
+
     def finish(self) -> list[int]:
-        self._advance(len(self.text))
         out = self._path(len(self.text))
-        peak = self.peak
         self.start()
-        self.peak = peak
         return out
 
     def encode(self, text: str) -> list[int]:
@@ -184,6 +191,8 @@ class StreamingViterbi:
     def stretches(self, text: str) -> list[str]:
         """text cut wherever no piece has the two neighbouring characters side by side: every path has a boundary there."""
         pairs, out, at = self.pieces.pairs, [], 0
+        if pairs.issuperset(map(add, text, text[1:])):
+            return [text]
         for i in range(1, len(text)):
             if text[i - 1 : i + 1] not in pairs:
                 out.append(text[at:i])
@@ -193,16 +202,18 @@ class StreamingViterbi:
 
 
 class MergeSearch(StreamingViterbi):
-    """The same search with the transition scores of a merge vocabulary."""
+    """The same search with the transition scores of a merge vocabulary. A path stands by its last piece; where the window
+    begins, that is the committed one."""
+
+    ORIGIN = ""
 
     def __init__(self, pieces: Pieces, max_pairs: int = 500_000):
         self.max_pairs, self.n_pairs = max_pairs, 0
         self.stable: dict[str, dict[str, bool]] = {}  # by left piece, then right piece
         super().__init__(pieces)
 
-    def start(self) -> None:
-        super().start()
-        self.before = ""  # the committed piece that ends where the open text begins
+    def _cut(self, meet: int) -> None:
+        del self.stand[:meet]
 
     def merged(self, text: str) -> list[str]:
         """Characters merged by rank, leftmost first among equals."""
@@ -221,40 +232,51 @@ class MergeSearch(StreamingViterbi):
     def _row(self, one: str) -> dict[str, bool]:
         """What is known of the pieces that can follow one."""
         if self.n_pairs >= self.max_pairs:
-            self.stable, self.n_pairs = {}, 0
+            self.stable.clear()
+            self.n_pairs = 0
         return self.stable.setdefault(one, {})
 
-    def _test(self, row: dict[str, bool], one: str, two: str) -> bool:
+    def _test(self, one: str, two: str) -> bool:
+        row = self._row(one)
         self.n_pairs += 1
         row[two] = ok = self.merged(one + two) == ([one, two] if one else [two])
         return ok
 
-    def _advance(self, to: int) -> None:
-        get, begin, ident, text = self.pieces.at.get, self.begin, self.ident, self.text
-        longest, n = self.pieces.longest, len(self.text)
-        for s in range(self.pos, to):
-            one = text[begin[s] : s] if s else self.before
-            row = self._row(one)
-            for e in range(s + 1, min(s + longest, n) + 1):
-                part = text[s:e]
-                hit = get(part, self)
-                if hit is self:  # no piece begins like this
-                    if e == s + 1 and begin[e] is None and (row[part] if part in row else self._test(row, one, part)):
-                        begin[e], ident[e] = s, -1
-                    break
-                if begin[e] is None and (hit is not None or e == s + 1):
-                    ok = row.get(part)
+    def _advance(self) -> None:
+        last, begin, ident, settled, nothing = self.stand, self.begin, self.ident, self.pos, {}
+        known = self.stable.get
+        for k, (piece, _, i, size) in self.pieces.found(self.text, max(0, settled - self.pieces.longest + 1)):
+            e = k + 1
+            if last[e] is None and e > settled:
+                one = last[e - size]
+                if one is not None:
+                    ok = known(one, nothing).get(piece)
                     if ok is None:
-                        ok = self._test(row, one, part)
+                        ok = self._test(one, piece)
                     if ok:
-                        begin[e], ident[e] = s, -1 if hit is None else hit[1]
-        self.pos = to
+                        last[e], begin[e], ident[e] = piece, e - size, i
+        self.pos = len(self.text)
 
-    def _commit(self, meet: int) -> list[int]:
-        before = self.text[self.begin[meet] : meet] if meet else self.before
-        out = super()._commit(meet)
-        self.before = before
-        return out
+
+class Recent:
+    """Values of the keys met lately. A full table becomes the older one, and what is still asked for moves back."""
+
+    def __init__(self, max_entries: int):
+        self.max_entries = max_entries
+        self.table: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def age(self) -> None:
+        if len(self.table) > self.max_entries:
+            self.older, self.table = self.table, {}
+
+    def get(self, key: str) -> bytes | None:
+        got = self.table.get(key)
+        if got is None:
+            got = self.older.get(key)
+            if got is not None:
+                self.table[key] = got
+        return got
 
 
 class Encoder:
@@ -262,11 +284,10 @@ class Encoder:
 
     known_files: dict[str, "Encoder"] = {}
 
-    def __init__(self, pieces: Pieces, kind: str = "bpe", max_entries: int = 400_000, max_len: int = 48):
+    def __init__(self, pieces: Pieces, kind: str = "bpe", max_entries: int = 250_000, max_len: int = 48):
         self.pieces, self.search = pieces, (MergeSearch if kind == "bpe" else StreamingViterbi)(pieces)
-        self.max_entries, self.max_len = max_entries, max_len
-        self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.max_len = max_len
+        self.known, self.parts = Recent(max_entries), Recent(max_entries)
         self.stretches = re.compile("\n| *[^ \n]+| +") if pieces.cut_spaces and pieces.cut_lines else None
 
     @classmethod
@@ -284,9 +305,8 @@ class Encoder:
             return np.array(self.search.encode(" " + text), dtype="<u4").tobytes()
         parts = self.stretches.findall(" " + text)
         known = self.known
-        if len(known) > self.max_entries:
-            known.clear()
-        got = list(map(known.get, parts))
+        known.age()
+        got = list(map(known.table.get, parts))
         if None in got:
             for k, p in enumerate(parts):
                 if got[k] is None:
@@ -294,20 +314,22 @@ class Encoder:
                     if got[k] is None:
                         got[k] = self.fresh(p)
                         if len(p) <= self.max_len:
-                            known[p] = got[k]
+                            known.table[p] = got[k]
         return b"".join(got)
 
     def fresh(self, stretch: str) -> bytes:
         """Ids of a stretch not met lately, from its shorter stretches."""
         out = []
-        if len(self.parts) > self.max_entries:
-            self.parts.clear()
+        self.parts.age()
         for p in self.search.stretches(stretch):
             ids = self.parts.get(p)
             if ids is None:
-                ids = np.array(self.search.encode(p), dtype="<u4").tobytes()
+                ids = array("I", self.search.encode(p))
+                if sys.byteorder == "big":
+                    ids.byteswap()
+                ids = ids.tobytes()
                 if len(p) <= self.max_len:
-                    self.parts[p] = ids
+                    self.parts.table[p] = ids
             out.append(ids)
         return b"".join(out)
 
