@@ -275,6 +275,41 @@ def test_near_dedup_of_a_template(spark):
     assert len(got) == 1530 and {r.component_id for r in got} == {0}
 
 
+def test_near_dedup_rows_grow_with_a_group_not_faster(spark, monkeypatch):
+    """A group of near copies that is too large for a region at any depth costs a few rows a member and tree of the first depth."""
+    met, clusters = [], near_dedup.clusters
+    monkeypatch.setattr(near_dedup, "clusters", lambda members, *more: met.append(members.count()) or clusters(members, *more))
+    base, made = [f"w{k}" for k in range(200)], {}
+    for n in (300, 600):
+        pages = [" ".join([*base[:-1], f"own{k}"]) for k in range(n)]
+        fringe = [" ".join([*base[:187], *(f"f{k}x{i}" for i in range(13))]) for k in range(10)]
+        far = [" ".join([*base[:180], *(f"g{k}x{i}" for i in range(20))]) for k in range(10)]
+        rows = list(enumerate([*pages, *fringe, *far]))
+        met.clear()
+        got = {r.doc_id: r.component_id for r in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), most=64).collect()}
+        assert got == {i: v[1] for i, v in brute_components(rows).items()}
+        assert {got[i] for i in range(n + 10)} == {0} and all(got[i] == i for i in range(n + 10, n + 20))
+        made[n] = sum(met)
+        assert made[n] <= 5 * near_dedup.trees_for(near_dedup.DEPTHS[0], 85) * len(rows), made
+    assert made[600] <= 2.5 * made[300], made
+
+
+def test_near_dedup_of_families_that_share_regions(spark):
+    """Two groups, each too large for a region, that share minima without a link; and two more that only one link joins."""
+    rng = np.random.default_rng(3)
+    base = [f"w{k}" for k in range(240)]
+    put = lambda text, at: [f"x{rng.integers(0, 1 << 40)}" if k in at else w for k, w in enumerate(text)]
+    heads = [base, put(base, set(range(0, 27))), put(base, set(range(200, 216)))]
+    heads.append(put(heads[2], set(range(40, 52))))
+    rows = []
+    for head in heads:
+        rows += [" ".join(put(head, {int(rng.integers(60, 190))})) for _ in range(90)]
+    rows = [*enumerate(rows), (1000, " ".join(put(heads[2], set(range(40, 46)))))]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), most=32).collect()}
+    want = {i: v[1] for i, v in brute_components(rows).items()}
+    assert got == want and len(set(want.values())) > 1
+
+
 def test_near_dedup_compares_large_sets_in_cells(spark, monkeypatch):
     rows = near_copies(copies=12)
     want = brute_components(rows)

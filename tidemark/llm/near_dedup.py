@@ -4,24 +4,27 @@
    whole sequence). Documents with equal sets are one class; classes are numbered, and only one representative a class
    goes on, so exact copies cost one row each however many there are.
 2. Forest: each tree is an order of the signature's minima, and sorts the signatures by it. A region is a run of a tree's
-   sorted order whose members have a longest common prefix of `depth` minima or more. Depth follows the local density:
-   members of regions that hold more than `most` go on to the next of DEPTHS, with as many trees as keep the chance that a
-   pair at the threshold meets in no tree under MISS. Regions that are still too large at the last depth are sorted by
+   sorted order whose members have a longest common prefix of `depth` minima or more; a depth has as many trees as keep the
+   chance that a pair at the threshold meets in no tree under MISS. Regions that hold more than `most` are sorted by
    their trees' further minima, whatever their size (a range sort over many tasks), and cut where neighbours have the
-   shortest common prefix into runs of at most `most`; that joins their bulk. What it misses is found in step 5.
+   shortest common prefix into runs of at most `most`; that joins their bulk. What it misses is found in step 6.
 3. In each region, signatures are compared and documents whose estimated similarity to any other is under a bound are left
    out; what is left falls into clusters. A cluster that several trees find is taken once. Clusters whose sets exceed
    CELL_BYTES are cut into blocks, and every two blocks meet in a cell of their own.
 4. The full sets of each cluster's documents are brought together and compared exactly; what is reported is a spanning
    forest of the links, never all pairs.
-5. Components by alternating minimum propagation and pointer jumping, a written table a round. Then every region of the
-   last depth that was too large is gone through whole: each member outside the region's largest component meets every
-   other member in some cell (a block of the former beside a block of all), pairs of different components are compared
-   as in steps 3 and 4, and the links found are added.
+5. Components by alternating minimum propagation and pointer jumping, a written table a round.
+6. Then the regions that were too large are looked at again. One whose members are of one component is done. One with at
+   most `most` members outside its largest component is gone through whole: each of these meets every other member in
+   some cell (a block of the former beside a block of all), and so has no more to be compared with than in a region
+   that fits. The members of all others go on to the next of DEPTHS, which parts texts that are less alike; from the
+   last one, every region is gone through whole. From the second round on only pairs of different components are compared,
+   and regions of one component are left out.
 
 So a link at the threshold is lost with a probability of about MISS, in dense regions and elsewhere; a component only falls
-apart if all its joining links are. Cost in proportion to the square of a region's size arises only where more than `most`
-texts share the last depth's minima without being linked.
+apart if all its joining links are. A group of near copies costs rows in proportion to its size: one a tree at the first
+depth, and one to four more a tree where it is gone through. Cost in proportion to the square of a region's size arises only
+where more than `most` texts share the last depth's minima without being linked.
 
 Defined cases: null or blank texts have empty sets, size 0, and are linked with nothing; repeated rows are answered once
 a row; rows of equal doc_id and different texts are told apart by their texts, each answered for its own text; rows without
@@ -146,8 +149,9 @@ def sketches(df: DataFrame) -> DataFrame:
 
 
 def prefix_hashes(reps: DataFrame, depth: int, trees: int) -> DataFrame:
-    """rep, tree, region: a hash of the first depth minima of each tree's order."""
+    """rep, tree, region: a hash of the first depth minima of each tree's order; and component, where reps have it."""
     order = orders(trees)[:, :depth]
+    more = ["component"] if "component" in reps.columns else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -160,9 +164,9 @@ def prefix_hashes(reps: DataFrame, depth: int, trees: int) -> DataFrame:
                     h = np.full(len(m), t * 1_000_003 + depth, dtype=np.uint64)
                     for k in order[t]:
                         h = mix(h * np.uint64(0x9E3779B97F4A7C15) + m[:, k])
-                    yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(np.full(len(m), t, dtype=np.int32)), pa.array(h.view(np.int64))], names=["rep", "tree", "region"])
+                    yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(np.full(len(m), t, dtype=np.int32)), pa.array(h.view(np.int64)), *b.columns[2:]], names=["rep", "tree", "region", *more])
 
-    return reps.select("rep", "minima").mapInArrow(run, "rep long, tree int, region long")
+    return reps.select("rep", "minima", *more).mapInArrow(run, ", ".join(["rep long, tree int, region long", *(f"{c} long" for c in more)]))
 
 
 def in_tree_order(large: DataFrame, reps: DataFrame, depth: int, trees: int, most: int, further: int = 16) -> DataFrame:
@@ -194,30 +198,44 @@ def in_tree_order(large: DataFrame, reps: DataFrame, depth: int, trees: int, mos
     return spelt.repartitionByRange("region", "key", "rep").sortWithinPartitions("region", "key", "rep").mapInArrow(cut, "rep long, region long")
 
 
-def regions(reps: DataFrame, percent: int, most: int) -> tuple[DataFrame, DataFrame | None]:
-    """rep, region: of every region that holds 2 to `most` representatives, at the depth its density asks for; and of those that are too large at the last depth, if any."""
-    done, open_ = None, reps
-    for depth in DEPTHS:
-        trees = trees_for(depth, percent)
-        keyed = prefix_hashes(open_, depth, trees)
-        sizes = keyed.groupBy("region").agg(F.count("*").alias("n")).where("n > 1")
-        placed = stash(keyed.join(sizes, "region").select("rep", "tree", "region", "n"), f"regions-{depth}")
-        fit = placed.where(F.col("n") <= most).select("rep", "region")
-        done = fit if done is None else done.unionByName(fit)
-        large = placed.where(F.col("n") > most)
-        if large.isEmpty():
-            return done, None
-        open_ = stash(reps.join(large.select("rep").distinct(), "rep", "left_semi"), "dense")
-    return done.unionByName(in_tree_order(large, reps, DEPTHS[-1], trees, most)), large.select("rep", "region")
-
-
-def crossings(first: DataFrame, joined: DataFrame, most: int) -> DataFrame:
-    """rep, region, component: cells of at most about `most` members in which all pairs of different components of a region meet."""
+def regions(open_: DataFrame, depth: int, percent: int, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """rep, region (and component, where given): regions of 2 to `most` at a depth, and the runs of those that hold more; and rep, region of the latter, if any.
+
+    Where representatives have a component, regions of one component are left out.
+    """
+    trees = trees_for(depth, percent)
+    more = ["component"] if "component" in open_.columns else []
+    keyed = prefix_hashes(open_, depth, trees)
+    sizes = keyed.groupBy("region").agg(F.count("*").alias("n"), *(f(c).alias(f.__name__) for c in more for f in (F.min, F.max))).where("n > 1")
+    if more:
+        sizes = sizes.where("min < max").select("region", "n")
+    placed = stash(keyed.join(sizes, "region").select("rep", "tree", "region", "n", *more), f"regions-{depth}")
+    fit = placed.where(F.col("n") <= most).select("rep", "region", *more)
+    large = placed.where(F.col("n") > most)
+    if large.isEmpty():
+        return fit, None
+    runs = in_tree_order(large, open_, depth, trees, most)
+    if more:
+        runs = runs.join(open_.select("rep", *more), "rep").select("rep", "region", *more)
+    return fit.unionByName(runs), large.select("rep", "region")
+
+
+def unsettled(large: DataFrame, joined: DataFrame, reps: DataFrame, most: int, last: bool) -> tuple[DataFrame | None, DataFrame | None]:
+    """Of regions that were too large: cells of those to be gone through whole, if any (rep, region, component), and the representatives, with their components, of the others, if any."""
     named = joined.select(F.col("node").alias("rep"), "component")
-    placed = stash(first.join(named, "rep", "left").select("rep", "region", F.coalesce("component", "rep").alias("component")), "crossed")
+    placed = stash(large.join(named, "rep", "left").select("rep", "region", F.coalesce("component", "rep").alias("component")), "crossed")
     sizes = placed.groupBy("region", "component").agg(F.count("*").alias("n"))
     plan = sizes.groupBy("region").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top"))
     plan = plan.select("region", F.col("top.component").alias("top"), F.col("n"), (F.col("n") - F.col("top.n")).alias("rest")).where("rest > 0")
+    plan = stash(plan, "unsettled")
+    whole, deeper = (plan, None) if last else (plan.where(F.col("rest") <= most), plan.where(F.col("rest") > most))
+    if deeper is not None:
+        deeper = None if deeper.isEmpty() else stash(reps.join(placed.join(deeper, "region", "left_semi").select("rep", "component").distinct(), "rep"), "dense")
+    return None if whole.isEmpty() else crossings(placed, whole, most), deeper
+
+
+def crossings(placed: DataFrame, plan: DataFrame, most: int) -> DataFrame:
+    """rep, region, component: cells of at most about `most` members in which all pairs of different components of a region meet."""
     block = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(most / 2))).cast("int")
     at = placed.join(plan.select("region", "top", block(F.col("n")).alias("all"), block(F.col("rest")).alias("few")), "region")
     own = lambda blocks: F.pmod(F.xxhash64("rep"), F.col(blocks).cast("long")).cast("int")
@@ -421,20 +439,31 @@ def near_dedup(df: DataFrame, percent: int = 85, most: int = 1024, least: float
     firsts = classes.select("set_id", "rep", F.col("first").alias("doc_id"))
     reps = full.join(firsts, ["set_id", "doc_id"]).select("rep", "n_shingles", "minima").dropDuplicates(["rep"])
     reps = stash(reps, "reps")
-    members, large = regions(reps, percent, most)
-    found = clusters(members, reps, least)
-    links = links_within(docs, classes, found, percent)
-    joined = components(links)
-    if large is not None:
-        more = clusters(crossings(large, joined, most), reps, least)
-        if not more.isEmpty():
-            joined = components(links.unionByName(links_within(docs, classes, more, percent)).distinct())
-        forget(more)
+    open_, crossed, links = reps, None, None
+    for depth in (*DEPTHS, None):  # after the last depth, only cells are left
+        members, large = regions(open_, depth, percent, most) if open_ is not None else (None, None)
+        if crossed is not None:
+            members = crossed if members is None else members.unionByName(crossed)
+        if members is None:
+            break
+        found = clusters(members, reps, least)
+        if links is None:
+            links = links_within(docs, classes, found, percent)
+            joined = components(links)
+        elif not found.isEmpty():
+            more = links_within(docs, classes, found, percent)
+            if not more.isEmpty():
+                old = joined, links, more
+                links = stash(links.unionByName(more).distinct(), "links")
+                joined = components(links)
+                forget(*old)
+        forget(found)
+        crossed, open_ = (None, None) if large is None else unsettled(large, joined, reps, most, depth == DEPTHS[-1])
     named = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", "first", "rows", F.coalesce("component", "rep").alias("component"))
     named = stash(named, "named")
     names = named.groupBy("component").agg(F.min("first").alias("component_id"))
     answers = stash(named.join(names, "component").select("set_id", "rows", "component_id"), "answers")
-    forget(found, links, reps, classes, joined, named)
+    forget(links, reps, classes, joined, named)
     alone = sketch.where(F.col("set_id").isNull()).select("doc_id", "text_id", "n_shingles", F.col("doc_id").alias("component_id"))
     answered = join_hot(full.select("doc_id", "text_id", "n_shingles", "set_id"), answers, ["set_id"], "rows", full.count()).select("doc_id", "text_id", "n_shingles", "component_id")
     return answered.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
